@@ -84,3 +84,25 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if step.where("next <> label").limit(1).count() == 0:
             return label.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+class Table(dict):
+    """key -> made(key), kept in two generations of at most ``size`` keys: keys in use survive, memory stays bounded."""
+
+    size = 250_000
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def made(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.made(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got

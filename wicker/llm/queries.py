@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wicker.llm import chat
+from wicker.llm import chat, packing, pieces, simhash
 from wicker.llm.common import read_table
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed public vocabularies are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_chat_windows(spark, sf_dir):
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -17,5 +24,19 @@ def op1_chat_windows(spark, sf_dir):
     return back.select("conv_id", "n_turns", F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {"op1_chat_windows": op1_chat_windows}
+def op5_piece_encoding(spark, sf_dir):
+    got = pieces.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
+    return got.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op9_simhash_groups(spark, sf_dir):
+    got = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op5_piece_encoding, op6_best_fit_packing, op9_simhash_groups)}
 ORACLE = {}
