@@ -106,3 +106,14 @@ class Table(dict):
             self.clear()
         self[key] = got
         return got
+
+
+def blocks(text: str, size: int = 1 << 20):
+    """A text in blocks of about size characters that end where ASCII white space begins, so that long texts cost little memory."""
+    at = 0
+    while at < len(text):
+        stop = at + size
+        while stop < len(text) and text[stop] not in " \n\t\r":
+            stop += 1
+        yield text[at:stop] if at or stop < len(text) else text
+        at = stop

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wicker.llm import chat, packing, pieces, simhash
-from wicker.llm.common import read_table
+from wicker.llm import chat, packing, pieces, quality, simhash, toxicity
+from wicker.llm.common import held_out, read_table
 
 
 def vocabulary(name: str) -> str:
@@ -33,10 +33,22 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_quality_scores(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    got = quality.score_documents(docs, quality.train(docs, read_table(spark, sf_dir, "labels")), "doc_id")
+    return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_simhash_groups(spark, sf_dir):
     got = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op5_piece_encoding, op6_best_fit_packing, op9_simhash_groups)}
+def op10_toxicity_scores(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    got = toxicity.score_documents(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")), "doc_id")
+    return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op9_simhash_groups, op10_toxicity_scores)}
 ORACLE = {}
