@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wicker.llm import chat, packing, pieces, quality, simhash, toxicity
+from wicker.llm import chat, packing, pieces, quality, secrets, simhash, toxicity
 from wicker.llm.common import held_out, read_table
 
 
@@ -24,6 +24,13 @@ def op1_chat_windows(spark, sf_dir):
     return back.select("conv_id", "n_turns", F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op4_secret_spans(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = secrets.scan(docs, secrets.fit_markov(secrets.labelled_strings(spark, docs)))
+    of = [F.expr(f"cast(size(filter(base, v -> v.k = {k})) as long)").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return got.select("doc_id", *of, F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
+
+
 def op5_piece_encoding(spark, sf_dir):
     got = pieces.encode_documents(read_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
     return got.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
@@ -50,5 +57,5 @@ def op10_toxicity_scores(spark, sf_dir):
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op9_simhash_groups, op10_toxicity_scores)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op9_simhash_groups, op10_toxicity_scores)}
 ORACLE = {}
