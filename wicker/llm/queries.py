@@ -57,5 +57,11 @@ def op10_toxicity_scores(spark, sf_dir):
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op9_simhash_groups, op10_toxicity_scores)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op9_simhash_groups, op10_toxicity_scores, pipeline)}
 ORACLE = {}
