@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wicker.llm import chat, packing, pieces, quality, secrets, simhash, toxicity
+from wicker.llm import chat, forest, packing, pieces, quality, secrets, simhash, toxicity
 from wicker.llm.common import held_out, read_table
 
 
@@ -46,6 +46,10 @@ def op7_quality_scores(spark, sf_dir):
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_embedding_groups(spark, sf_dir):
+    return forest.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash_groups(spark, sf_dir):
     got = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -63,5 +67,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op9_simhash_groups, op10_toxicity_scores, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op8_embedding_groups, op9_simhash_groups, op10_toxicity_scores, pipeline)}
 ORACLE = {}
