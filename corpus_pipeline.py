@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wicker.llm import packing, quality, secrets, simhash, toxicity
+from wicker.llm import packing, quality, secret_spans, simhash, toxicity
 from wicker.llm.common import checkpoint_folder, checkpointed, read_table
 from wicker.llm.queries import vocabulary
 
@@ -35,8 +35,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are replaced by <secret>, and n_chars counts the new text."""
-    found = secrets.scan(docs, secrets.fit_markov(secrets.labelled_strings(spark, docs)))
-    text = F.when(F.size("spans") > 0, secrets.redacted()).otherwise(F.col("text"))
+    found = secret_spans.scan(docs, secret_spans.fit_markov(secret_spans.labelled_strings(spark, docs)))
+    text = F.when(F.size("spans") > 0, secret_spans.redacted()).otherwise(F.col("text"))
     return found.select("doc_id", text.alias("text"), "lang", "source", "n_chars", F.size("spans").alias("k")).select("doc_id", "text", "lang", "source", F.when(F.col("k") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wicker.llm import chat, forest, packing, pieces, quality, secrets, simhash, toxicity
+from wicker.llm import chat, forest, packing, pieces, quality, secret_spans, simhash, site_tree, toxicity
 from wicker.llm.common import held_out, read_table
 
 
@@ -24,11 +24,15 @@ def op1_chat_windows(spark, sf_dir):
     return back.select("conv_id", "n_turns", F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op3_main_text(spark, sf_dir):
+    return site_tree.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_secret_spans(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = secrets.scan(docs, secrets.fit_markov(secrets.labelled_strings(spark, docs)))
-    of = [F.expr(f"cast(size(filter(base, v -> v.k = {k})) as long)").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
-    return got.select("doc_id", *of, F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"))
+    got = secret_spans.scan(docs, secret_spans.fit_markov(secret_spans.labelled_strings(spark, docs)))
+    of = [F.expr(f"cast(size(filter(base, v -> v.k = {k})) as long)").alias(f"n_{secret_spans.KINDS[k]}") for k in range(3)]
+    return got.select("doc_id", *of, F.sha2(secret_spans.written("base"), 256).alias("base_sha256"), secret_spans.written("spans").alias("spans"))
 
 
 def op5_piece_encoding(spark, sf_dir):
@@ -67,5 +71,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op8_embedding_groups, op9_simhash_groups, op10_toxicity_scores, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_main_text, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op8_embedding_groups, op9_simhash_groups, op10_toxicity_scores, pipeline)}
 ORACLE = {}
