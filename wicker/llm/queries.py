@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wicker.llm import chat, forest, packing, pieces, quality, secret_spans, simhash, site_tree, toxicity
+from wicker.llm import chat, forest, media, packing, pieces, quality, secret_spans, simhash, site_tree, toxicity
 from wicker.llm.common import held_out, read_table
 
 
@@ -24,6 +24,11 @@ def op1_chat_windows(spark, sf_dir):
     return back.select("conv_id", "n_turns", F.sha2(whole, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op2_media_clips(spark, sf_dir):
+    got = media.clips(media.encode_documents(read_table(spark, sf_dir, "documents")))
+    return got.withColumn("feature", F.expr("array_join(transform(clips, c -> concat_ws(':', c.first, c.last, cast(round(c.level, 3) as string))), ',')")).drop("clips")
+
+
 def op3_main_text(spark, sf_dir):
     return site_tree.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -71,5 +76,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op3_main_text, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op8_embedding_groups, op9_simhash_groups, op10_toxicity_scores, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_media_clips, op3_main_text, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op8_embedding_groups, op9_simhash_groups, op10_toxicity_scores, pipeline)}
 ORACLE = {}
