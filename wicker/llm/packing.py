@@ -24,6 +24,8 @@ PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 class Cores(Table):
     """word -> its ids as little-endian unsigned 32-bit numbers."""
 
+    size = 400_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -49,6 +51,8 @@ class Words(Table):
     """The same, by way of the parts that many words share: a word without its last marks, in lower case. The tokenizer
     drops white space and parts words there, and none of its special tokens holds any."""
 
+    size = 400_000
+
     def __init__(self, path: str):
         super().__init__()
         self.cores = Cores(path)
@@ -90,7 +94,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int, size: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last = Words(tokenizer), np.array([end], "<u4").tobytes()
-        for batch in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
+        for batch in (x.slice(i, 1024) for x in batches for i in range(0, x.num_rows, 1024)):
             rows, texts = [], [words(x or "") for x in batch.column(1).to_pylist()]
             table.meet(texts)
             for doc, text in zip(batch.column(0).to_pylist(), texts):
