@@ -60,7 +60,7 @@ def fit_markov(samples: DataFrame, smooth: float = 0.5) -> list[float]:
     return [round(log(True, p) - log(False, p), 4) for p in range(128 * 128)]
 
 
-def scan(docs: DataFrame, ratio: list[float], per_char: float = 1.4, least: int = 20) -> DataFrame:
+def scan(docs: DataFrame, ratio: list[float], per_char: float = 0.6, least: int = 20) -> DataFrame:
     """docs with base, the spans of the fixed kinds, and spans, those and the runs that the models take for random: of at
     least ``least`` characters, with a log-likelihood ratio above ``per_char`` for each, that overlap no base span.
 
