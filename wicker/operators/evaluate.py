@@ -55,9 +55,9 @@ def threshold_grid(df: DataFrame, steps: int, label: str = "y", score: str = "s"
 def auc(df: DataFrame, label: str = "y", score: str = "s", by: list[str] | None = None) -> DataFrame:
     """The exact area under the ROC curve from average ranks, for each group of ``by``: ranks of distinct scores."""
     by = by or []
-    each = df.groupBy(*by, score).agg(F.sum(label).cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    r = each.withColumn("rank", below + (F.col("n") + 1) / 2).groupBy(*by).agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    each = df.groupBy(*by, score).agg(F.sum(label).cast("double").alias("_p"), F.count("*").cast("double").alias("_n"))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    r = each.withColumn("_r", below + (F.col("_n") + 1) / 2).groupBy(*by).agg(F.sum(F.col("_p") * F.col("_r")).alias("r"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
     return r.select(*by, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0.0))).alias("auc"))
 
 

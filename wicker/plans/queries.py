@@ -494,3 +494,88 @@ def adversarial_weights(spark, d):
 def recalibrate(spark, d):
     s = F.col("s") / 100
     return scores(spark, d).select("id", F.round(F.when(s < 0.3, 0.5 * s / 0.3).otherwise(0.5 + 0.5 * (s - 0.3) / 0.7), 9).alias("p"))
+
+
+# -- models: rows only
+
+
+def folded(spark, d):
+    from wicker.operators import learn
+
+    w = T.standard_scale(wide(spark, d), NUMBERS, wide(spark, d)).select("row_id", "y", *NUMBERS)
+    return V.folds(learn.assemble(w, NUMBERS), "row_id", 3, "y")
+
+
+def vectors(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query()
+def logit_oof(spark, d):
+    from wicker.operators import learn
+
+    return learn.out_of_fold(folded(spark, d), learn.logistic())
+
+
+@query()
+def rf_oof(spark, d):
+    from wicker.operators import learn
+
+    return learn.out_of_fold(folded(spark, d), learn.forest())
+
+
+@query()
+def gbt_oof(spark, d):
+    from wicker.operators import learn
+
+    return learn.out_of_fold(folded(spark, d), learn.boosted())
+
+
+@query()
+def stacking(spark, d):
+    from wicker.operators import learn
+
+    return learn.stacked(folded(spark, d), {"logit": learn.logistic(), "forest": learn.forest(10, 4)})
+
+
+@query()
+def adversarial_auc(spark, d):
+    from wicker.operators import learn
+
+    return learn.adversarial_auc(*split(wide(spark, d)), NUMBERS, "row_id")
+
+
+@query()
+def pca_explained(spark, d):
+    from wicker.operators import learn
+
+    return learn.explained(vectors(spark, d), "v")
+
+
+@query()
+def kmeans_dist(spark, d):
+    from wicker.operators import learn
+
+    return learn.cluster_distances(vectors(spark, d), "v").drop("v")
+
+
+@query()
+def quantile_normal(spark, d):
+    from wicker.operators import learn
+
+    w = wide(spark, d)
+    return learn.quantile_normal(w, "o_totalprice", split(w)[0]).select("row_id", "o_totalprice")
+
+
+@query()
+def smote(spark, d):
+    from wicker.operators import learn
+
+    return learn.smote(wide(spark, d), ["o_totalprice", "c_acctbal"], "y4", "row_id", 0.25)
+
+
+@query()
+def smotenc(spark, d):
+    from wicker.operators import learn
+
+    return learn.smote(wide(spark, d), ["o_totalprice", "c_acctbal"], "y4", "row_id", 0.25, sides=["c_mktsegment"])
