@@ -162,8 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Passages:
 
 
 def score_documents(docs: DataFrame, model: Passages, *keep: str) -> DataFrame:
-    """The kept columns, score (probability that the row's whole text is toxic; null: empty) and passages, the token
-    positions and scores of the segments beyond chance. One row for each row of docs, none for an empty table."""
+    """The kept columns and score, the probability that the row's whole text is toxic (null: empty); Passages.passages gives
+    the segments of a text. One row for each row of docs, none for an empty table."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
