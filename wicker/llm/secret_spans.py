@@ -42,7 +42,7 @@ def labelled_strings(spark: SparkSession, docs: DataFrame, each: int = 4000, bou
     random = spark.range(each).select(F.when(F.col("id") % 3 == 0, F.left(digest, F.lit(40))).when(F.col("id") % 3 == 1, F.regexp_replace(F.base64(F.unhex(digest)), "=", "")).otherwise(F.upper(F.conv(F.left(digest, F.lit(15)), 16, 36))).alias("text"), F.lit(True).alias("random"))
     ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).distinct()  # ids alone are sorted and sent
     some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    word = some.select(F.explode(F.regexp_extract_all(F.left("text", F.lit(1 << 20)), F.lit("[A-Za-z]{6,}"), 0)).alias("text")).distinct()
+    word = some.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), 0)).alias("text")).distinct()
     named = spark.sql("show functions").select(F.col("function").alias("text")).where("text rlike '^[a-z_0-9]{6,}$'")
     plain = word.union(named)
     joined = plain.select(F.concat("text", F.lit("_"), F.lower("text")).alias("text"))
