@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import wicker.plans.queries as tabular
-import wicker.plans.scoring  # noqa: F401
+import wicker.plans.further  # noqa: F401
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wicker.operators.evaluate import auc, folds, uniform
+from wicker.sources.tables import shared_folder
 
 
 def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -30,6 +33,17 @@ def boosted(rounds: int = 10, depth: int = 4) -> Estimator:
     return GBTClassifier(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, seed=7)
 
 
+def tree(depth: int = 30) -> Estimator:
+    """A tree as deep as Spark allows, which shows how much a model could memorise."""
+    return DecisionTreeClassifier(featuresCol="features", labelCol="y", maxDepth=depth, seed=7)
+
+
+def ridge() -> Estimator:
+    """Ridge regression of the label, whose output a logistic regression turns into a probability."""
+    linear = LinearRegression(featuresCol="features", labelCol="y", predictionCol="linear", regParam=0.01)
+    return Pipeline(stages=[linear, VectorAssembler(inputCols=["linear"], outputCol="score"), LogisticRegression(featuresCol="score", labelCol="y")])
+
+
 def out_of_fold(df: DataFrame, model: Estimator, key: str = "row_id", k: int = 3) -> DataFrame:
     """(key, fold, y, p): each row scored by a model of the other folds. df has features, y and fold. Folds, not rows, are
     looped over; scores stay distributed."""
@@ -110,6 +124,62 @@ def quantile_normal(df: DataFrame, column: str, fitted_on: DataFrame, knots: int
     return df.crossJoin(F.broadcast(q)).withColumn(column, normal_quantile(u)).drop("_q")
 
 
+def celled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with _v, the columns as an array, and features, the same as a vector."""
+    return df.withColumn("_v", F.array(*(F.col(c).cast("double") for c in columns))).withColumn("features", array_to_vector("_v"))
+
+
+def squared(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, y: s + y)
+
+
+def neighbours(df: DataFrame, columns: list[str], key: str, k: int = 5, cells: int = 8, sides: list[str] | None = None) -> DataFrame:
+    """(source, v, w, neighbour, sides, gap, k): the k nearest rows to each row within its cell of a k-means partition, with
+    both rows' numbers. Cells follow df's size at about 500 rows each, so distances taken grow in proportion to it."""
+    n = df.count()
+    spread = celled(df.select(key, *columns, *(sides or [])), columns)
+    placed = KMeans(k=min(max(cells, n // 500), max(2, n // 2)), seed=7, maxIter=5).fit(spread).transform(spread).select(key, "_v", *(sides or []), F.col("prediction").alias("_cell"))
+    a, b = placed.alias("a"), placed.alias("b")
+    near = a.join(b, (F.col("a._cell") == F.col("b._cell")) & (F.col(f"a.{key}") != F.col(f"b.{key}"))).select(F.col(f"a.{key}").alias("source"), F.col("a._v").alias("v"), F.col("b._v").alias("w"), F.col(f"b.{key}").alias("neighbour"), *(F.col(f"b.{c}").alias(c) for c in sides or []), squared("a._v", "b._v").alias("gap"))
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("gap", "neighbour"))).where(F.col("k") <= k)
+
+
+def nearest_category(made: DataFrame, real: DataFrame, columns: list[str], made_key: str, real_key: str, category: str) -> DataFrame:
+    """(made_key, category): the category of the nearest real row within the made row's cell of a k-means partition of the
+    real rows; ties go to the smallest key."""
+    rows = celled(real.select(real_key, category, *columns), columns)
+    model = KMeans(k=max(2, real.count() // 500), seed=7, maxIter=5).fit(rows)
+    a = model.transform(celled(made, columns)).select(made_key, F.col("_v").alias("v"), "prediction")
+    b = model.transform(rows).select(real_key, category, F.col("_v").alias("w"), "prediction")
+    return a.join(b, "prediction").groupBy(made_key).agg(F.min_by(category, F.struct(squared("v", "w"), real_key)).alias(category))
+
+
+def arm_search(df: DataFrame, arms: dict[str, list[str]], weights: tuple[float, ...]) -> DataFrame:
+    """(arm, weight, f1), best first: logistic models of each set of columns and weight of positives, fitted on the folds but
+    the first, with their F1 on that. The search loops over arms, whose number is a parameter."""
+    rows, df = [], df.persist()
+    for arm, columns in arms.items():
+        for weight in weights:
+            w = assemble(df, columns).withColumn("w", F.when(F.col("y") == 1, weight).otherwise(1.0))
+            p = logistic(weightCol="w").fit(w.where("fold <> 0")).transform(w.where("fold = 0"))
+            hit = p.agg(F.sum(F.col("y") * F.col("prediction")).alias("tp"), F.sum("y").alias("pos"), F.sum("prediction").alias("said")).first()
+            rows.append((arm, weight, 2 * hit.tp / (hit.pos + hit.said) if hit.pos + hit.said else 0.0))
+    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (-r[2], r[0], r[1])), "arm string, weight double, f1 double")
+
+
+def bundled(df: DataFrame, models: list[Estimator], key: str = "row_id") -> DataFrame:
+    """(key, p): the mean score of models fitted on df, written to the shared folder and read again."""
+    folder, parts = f"{shared_folder(df.sparkSession)}/bundle-{uuid.uuid4().hex}", []
+    for i, model in enumerate(models):
+        fitted = model.fit(df)
+        fitted.write().overwrite().save(f"{folder}/{i}")
+        parts.append(type(fitted).load(f"{folder}/{i}").transform(df).select(key, vector_to_array("probability")[1].alias("p")))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.groupBy(key).agg(F.avg("p").alias("p"))
+
+
 def smote(df: DataFrame, columns: list[str], label: str, key: str, ratio: float, k: int = 5, cells: int = 8, sides: list[str] | None = None) -> DataFrame:
     """Synthetic minority rows, enough for ``ratio`` of the majority: between a row and one of its k nearest neighbours, at
     a share drawn from an md5; columns in ``sides`` are copied from the neighbour.
@@ -117,15 +187,8 @@ def smote(df: DataFrame, columns: list[str], label: str, key: str, ratio: float,
     Neighbours are looked for among rows of the same cell of a k-means partition of the minority, so distances are
     taken within cells only; cells follow the minority's size, to keep each small."""
     n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    minority = df.where(F.col(label) == 1).select(key, *columns, *(sides or []))
     want = max(0, int(ratio * n.get(0, 0)) - n.get(1, 0))
-    spread = minority.withColumn("_v", F.array(*(F.col(c).cast("double") for c in columns))).withColumn("features", array_to_vector("_v"))
-    cells = max(cells, n.get(1, 0) // 500)
-    placed = KMeans(k=min(cells, max(2, n.get(1, 0) // 2)), seed=7, maxIter=5).fit(spread).transform(spread).select(key, "_v", *(sides or []), F.col("prediction").alias("_cell"))
-    a, b = placed.alias("a"), placed.alias("b")
-    gap = F.aggregate(F.zip_with("a._v", "b._v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, y: s + y)
-    near = a.join(b, (F.col("a._cell") == F.col("b._cell")) & (F.col(f"a.{key}") != F.col(f"b.{key}"))).select(F.col(f"a.{key}").alias("source"), F.col("a._v").alias("v"), F.col("b._v").alias("w"), F.col(f"b.{key}").alias("neighbour"), *(F.col(f"b.{c}").alias(c) for c in sides or []), gap.alias("gap"))
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("gap", "neighbour"))).where(F.col("k") <= k)
+    near = neighbours(df.where(F.col(label) == 1), columns, key, k, cells, sides)
     times = math.ceil(want / max(1, n.get(1, 0)))
     drawn = near.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, times))))).withColumn("u", uniform(F.concat_ws(":", "source", "neighbour", "copy")))
     one = drawn.withColumn("r", F.row_number().over(Window.partitionBy("source", "copy").orderBy("u", "neighbour"))).where("r = 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -19,6 +21,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where all executors can read what others write: the session's spark.checkpoint.dir; unset, as in tests, a temporary one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared")
+
+
 def wide(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customers: row_id, numbers, categories, labels y and y4, is_train by date."""
     o, c = read(spark, folder, "orders"), read(spark, folder, "customer")
