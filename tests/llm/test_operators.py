@@ -53,6 +53,7 @@ def test_media_round_trip(docs):
         data = text(dict((a, b) for a, b, *_ in ODD)[r.doc_id]).encode()
         data += bytes(-len(data) % 64 if data else 64)
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+    assert sorted(map(repr, got)) == sorted(map(repr, media.document_clips(docs).collect())) and media.document_clips(docs.limit(0)).count() == 0
     assert len(got) == len(ODD) and media.clips(media.encode_documents(docs.limit(0))).count() == 0
     x = np.random.default_rng(1).integers(0, 256, (5, 7)).astype(np.uint8)
     frame = media.jpeg(x)

@@ -203,21 +203,41 @@ def encode_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<struct<first:int,last:int,start:double,end:double,level:double>>"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.float64()), ("end", pa.float64()), ("level", pa.float64())]))]
+NAMES = ["doc_id", "n_bytes", *(x.split(" ")[0] for x in READ.split(", "))]
+
+
+def read_film(media: bytes) -> tuple:
+    """The values of READ of one film: its payload's digests, its own, and a clip for each shot."""
+    frames, length, rate = read_avi(media)
+    payload = b"".join(x.tobytes() for x in frames)[:length]
+    cut = [{"first": a, "last": b, "start": a / rate, "end": (b + 1) / rate, "level": float(np.mean([x.mean() for x in frames[a : b + 1]]))} for a, b in shots(frames)]
+    return len(payload), sha256(payload).hexdigest(), crc32(payload[-64:]), len(media), sha256(media).hexdigest(), cut
+
+
 def clips(films: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and clips: what reading the media
     column back gives, with a clip (first and last frame, start and end in seconds, mean level) for each shot."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<struct<first:int,last:int,start:double,end:double,level:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            rows = [(doc.as_py(), n.as_py(), *read_film(media.as_py())) for doc, n, media in zip(*part.columns)]
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), KINDS)], NAMES)
+
+    return films.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, {READ}")
+
+
+def document_clips(docs: DataFrame) -> DataFrame:
+    """clips(encode_documents(docs)) in one pass: each text becomes a film, whose bytes are read back before the next one's, so
+    a task holds one film at a time and no film goes through a second worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             rows = []
-            for doc, n, media in zip(*(c.to_pylist() for c in batch.columns)):
-                frames, length, rate = read_avi(media)
-                payload = b"".join(x.tobytes() for x in frames)[:length]
-                cut = [{"first": a, "last": b, "start": a / rate, "end": (b + 1) / rate, "level": float(np.mean([x.mean() for x in frames[a : b + 1]]))} for a, b in shots(frames)]
-                rows.append((doc, n, len(payload), sha256(payload).hexdigest(), crc32(payload[-64:]), len(media), sha256(media).hexdigest(), cut))
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.float64()), ("end", pa.float64()), ("level", pa.float64())]))]
-                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"])
-
-    return films.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+            for doc, text in zip(*part.columns):
+                payload, n = payload_of(text.as_py())
+                rows.append((doc.as_py(), n, *read_film(write_avi(payload))))
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), KINDS)], NAMES)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, n_bytes long, {READ}")

@@ -25,7 +25,7 @@ def op1_chat_windows(spark, sf_dir):
 
 
 def op2_media_clips(spark, sf_dir):
-    got = media.clips(media.encode_documents(read_table(spark, sf_dir, "documents")))
+    got = media.document_clips(read_table(spark, sf_dir, "documents"))
     return got.withColumn("feature", F.expr("array_join(transform(clips, c -> concat_ws(':', c.first, c.last, cast(round(c.level, 3) as string))), ',')")).drop("clips")
 
 
