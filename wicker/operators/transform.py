@@ -51,10 +51,11 @@ def row_sum(xs: Column) -> Column:
 
 
 def row_quantile(ordered: Column, p: float) -> Column:
-    """Linear interpolation between the sorted values, for a non-empty array."""
+    """Linear interpolation between the sorted values; null for an empty array."""
     at = (F.size(ordered) - 1) * F.lit(p)
     low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
-    return ordered[low] + (ordered[high] - ordered[low]) * (at - low)
+    a, b = F.get(ordered, low), F.get(ordered, high)
+    return a + (b - a) * (at - low)
 
 
 def row_stats(df: DataFrame, vector: str) -> DataFrame:
