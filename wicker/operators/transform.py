@@ -64,11 +64,11 @@ def row_stats(df: DataFrame, vector: str) -> DataFrame:
     deviation. Nulls and NaN are left out; an empty row has null statistics."""
     x = F.filter(F.col(vector), lambda v: v.isNotNull() & ~F.isnan(v))
     d = df.withColumn("_x", F.array_sort(x)).withColumn("n_valid", F.size("_x").cast("long")).withColumn("row_mean", row_sum(F.col("_x")) / F.nullif("n_valid", F.lit(0)))
-    power = lambda k: row_sum(F.transform("_x", lambda v: reduce(lambda a, b: a * b, [v - F.col("row_mean")] * k))) / F.col("n_valid")
+    power = lambda k: row_sum(F.transform("_x", lambda v: reduce(lambda a, b: a * b, [v - F.col("row_mean")] * k))) / F.nullif("n_valid", F.lit(0))
     d = d.withColumns({"_m2": power(2), "_m3": power(3), "_m4": power(4), "row_median": row_quantile(F.col("_x"), 0.5)})
     deviation = F.array_sort(F.transform("_x", lambda v: F.abs(v - F.col("row_median"))))
     out = {
         "row_std0": F.sqrt("_m2"), "row_std1": F.when(F.col("n_valid") > 1, F.sqrt(F.col("_m2") * F.col("n_valid") / (F.col("n_valid") - 1))), "row_min": F.array_min("_x"), "row_max": F.array_max("_x"),
         "row_q25": row_quantile(F.col("_x"), 0.25), "row_q75": row_quantile(F.col("_x"), 0.75), "n_zero": F.size(F.filter("_x", lambda v: v == 0)).cast("long"), "n_negative": F.size(F.filter("_x", lambda v: v < 0)).cast("long"),
-        "row_skew": F.when(F.col("_m2") > 0, F.col("_m3") / F.pow("_m2", F.lit(1.5))).otherwise(0.0), "row_kurt": F.when(F.col("_m2") > 0, F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3).otherwise(0.0), "row_mad": row_quantile(deviation, 0.5)}
+        "row_skew": F.when(F.col("_m2") > 0, F.col("_m3") / F.pow("_m2", F.lit(1.5))).when(F.col("_m2") == 0, 0.0), "row_kurt": F.when(F.col("_m2") > 0, F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3).when(F.col("_m2") == 0, 0.0), "row_mad": row_quantile(deviation, 0.5)}
     return d.withColumns(out).drop("_x", "_m2", "_m3", "_m4")

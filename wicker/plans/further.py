@@ -167,10 +167,10 @@ def products_top_variance(spark, d):
     return w.select("row_id", F.round(F.col(a) * F.col(b), 4).alias("v"))
 
 
-@query("SELECT row_id, round(o_totalprice / (c_nationkey + 1e-6), 4) AS per_nation, round(o_totalprice - c_acctbal, 4) AS deficit, round(c_acctbal / (abs(o_totalprice) + 1e-6), 6) AS debt, round(o_totalprice * c_nationkey, 4) AS scaled FROM wide", WIDE)
+@query("SELECT row_id, round(o_totalprice / (c_nationkey + 1e-6), 2) AS per_nation, round(o_totalprice - c_acctbal, 4) AS deficit, round(c_acctbal / (abs(o_totalprice) + 1e-6), 6) AS debt, round(o_totalprice * c_nationkey, 4) AS scaled FROM wide", WIDE)
 def domain_ratios(spark, d):
     o, a, n = F.col("o_totalprice"), F.col("c_acctbal"), F.col("c_nationkey")
-    return wide(spark, d).select("row_id", F.round(o / (n + 1e-6), 4).alias("per_nation"), F.round(o - a, 4).alias("deficit"), F.round(a / (F.abs(o) + 1e-6), 6).alias("debt"), F.round(o * n, 4).alias("scaled"))
+    return wide(spark, d).select("row_id", F.round(o / (n + 1e-6), 2).alias("per_nation"), F.round(o - a, 4).alias("deficit"), F.round(a / (F.abs(o) + 1e-6), 6).alias("debt"), F.round(o * n, 4).alias("scaled"))
 
 
 @query("SELECT doc_id, (quality - toxic)::INT AS net, (quality = 0 AND toxic = 0)::INT AS neither FROM labels")
