@@ -171,6 +171,19 @@ def test_embeddings_against_all_pairs(spark):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_forest_recall_holds_as_tables_grow():
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    sample, u, w = (unit(rng.normal(size=(n, 64))) for n in (forest.SAMPLE, 3000, 3000))
+    v = 0.9 * u + (1 - 0.9**2) ** 0.5 * unit(w - (w * u).sum(axis=1, keepdims=True) * u)
+    for n in (20_000, 2_000_000, 20_000_000):
+        trees = forest.fit(sample, n)
+        a, b = (trees.leaves(x).reshape(len(u), -1, 4) for x in (u, v))
+        met = ((a[:, :, :, None] == b[:, :, None, :]) & (a[:, :, :, None] >= 0)).any(axis=(2, 3))
+        assert met.any(axis=1).mean() > 0.93
+        assert abs(met.mean() - forest.tree_recall(trees.directions.shape[1], 0.9)) < 0.03
+
+
 def test_simhash_against_all_pairs(spark, docs):
     rng = random.Random(8)
     fps = [rng.getrandbits(64) for _ in range(300)]

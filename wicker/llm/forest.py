@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +50,43 @@ class Forest:
         return out.reshape(len(unit), -1)
 
 
-def fit(sample: np.ndarray, n: int, trees: int = 5, leaf: int = 200, spill: float = 0.06, seed: int = 7) -> Forest:
+def tree_recall(depth: int, cosine: float, spill: float = 0.06, spills: int = 2) -> float:
+    """The share of pairs at a cosine that meet in a leaf of one tree, for isotropic vectors and exact medians: the
+    projections of a pair on a level's direction are normal with that correlation, and each level is drawn anew."""
+    normal, points = NormalDist(), 4096
+    x = np.array([normal.inv_cdf((i + 0.5) / points) for i in range(points)])
+    beside = np.sqrt(1 - min(cosine, 1 - 1e-12) ** 2)
+    below = lambda edge: np.array([normal.cdf((edge - cosine * v) / beside) for v in x])
+    z = normal.inv_cdf(0.5 + spill)
+    both = np.mean((np.abs(x) <= z) * (below(z) - below(-z)))
+    lost = {(e, f): 2 * np.mean((x < -e) * (1 - below(f))) for e in (0.0, z) for f in (0.0, z)}
+    at = np.zeros((spills + 1, spills + 1))  # pairs still together, by the spills that each of the two has spent
+    at[0, 0] = 1.0
+    for _ in range(depth):
+        after = np.zeros_like(at)
+        for (a, b), p in np.ndenumerate(at):
+            u, v = a < spills, b < spills
+            one, other, shared = 2 * spill * u, 2 * spill * v, both * (u and v)
+            after[a, b] += p * (1 - one - other + shared - lost[z * u, z * v])
+            for da, db, share in ((u, v, shared), (u, 0, one - shared), (0, v, other - shared)):
+                after[a + da, b + db] += p * share
+        at = after
+    return float(at.sum())
+
+
+def trees_for(depth: int, cosine: float, spill: float = 0.06, recall: float = 0.95, least: int = 5) -> int:
+    """How many trees find ``recall`` of the pairs at a cosine: as depth grows, each finds less."""
+    one = min(tree_recall(depth, cosine, spill), 1 - 1e-9)
+    return max(least, int(np.ceil(np.log(1 - recall) / np.log(1 - one))))
+
+
+def fit(sample: np.ndarray, n: int, trees: int | None = None, leaf: int = 200, spill: float = 0.06, seed: int = 7, least: float = 0.9) -> Forest:
     """Thresholds are medians of the sample's projections at each node, with the quantiles ``spill`` to either side; a node
-    that fewer than eight of the sample reach takes its parent's. Depth follows n, the number of vectors to index."""
+    that fewer than eight of the sample reach takes its parent's. Depth follows n, the number of vectors to index, and the
+    number of trees follows depth, so that recall at a cosine of ``least`` holds at any n."""
     rng = np.random.default_rng(seed)
     depth = int(np.clip(np.ceil(np.log2(max(n, 1) / leaf)), 0, 20))
+    trees = trees or trees_for(depth, least, spill)
     dims = sample.shape[1] if len(sample) else 1
     directions = rng.normal(size=(trees, max(depth, 1), dims))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
@@ -127,7 +160,10 @@ def leaf_links(reps: DataFrame, forest: Forest, n: int, dims: int, least: float)
                         continue
                     for c in range(0, len(p), 1 << 16):  # count a pair where its first common leaf is
                         u, v = p[c : c + (1 << 16)], q[c : c + (1 << 16)]
-                        common = np.where((seen[u][:, :, None] == seen[v][:, None, :]) & (seen[u][:, :, None] >= 0), seen[u][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
+                        common = np.full(len(u), np.iinfo(np.int64).max)
+                        for t in range(0, seen.shape[1], 2**forest.spills):  # a leaf is of one tree: memory doesn't grow with their number
+                            su, sv = (seen[w, t : t + 2**forest.spills] for w in (u, v))
+                            common = np.minimum(common, np.where((su[:, :, None] == sv[:, None, :]) & (su[:, :, None] >= 0), su[:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2)))
                         first = common == leaf[rows[0]]
                         u, v = at[rows[u]], at[rows[v]]
                         np.add.at(links, u[first], weight[rows[q[c : c + (1 << 16)]]][first])
@@ -137,7 +173,7 @@ def leaf_links(reps: DataFrame, forest: Forest, n: int, dims: int, least: float)
         some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
         yield pa.record_batch([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["rep", "links", "root"])
 
-    to = partitions(reps, 8 * n, 100_000)
+    to = partitions(reps, 2 * len(forest.directions) * n, 100_000)
     return dealt.repartition(to, "leaf", "one", "two").mapInArrow(compare, "rep long, links long, root long")
 
 
@@ -158,7 +194,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = SAMPLE
     reps = checkpointed(good.where(F.size("v") == dims).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).select("rep", "weight", "v"))
     n = reps.count()
     fitted = units(pa.array([x for x in some if len(x) == dims], pa.list_(pa.float64())), dims) if len(some) else np.zeros((0, dims))
-    found = checkpointed(leaf_links(reps, fit(fitted, n), n, dims, least))
+    found = checkpointed(leaf_links(reps, fit(fitted, n, least=least), n, dims, least))
     group = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     total = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = reps.join(total, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
