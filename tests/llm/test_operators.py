@@ -76,6 +76,21 @@ def test_main_text(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_is_judged_inside_and_beside_the_article(spark):
+    words = lambda i: f"page {i} " + f"w{i} " * 20 + "end"
+    inside = "<body><article>By us<h1>title {0}</h1><p>Share this</p><p>{1}</p><div class=box>the same note</div></article></body>"
+    beside = "<body><article class=card>teaser {0}</article><div class=x>{1}</div><div class=y>same words</div></body>"
+    pages = [(i, "http://in.example/", inside.format(i, words(i))) for i in range(6)] + [(10 + i, "http://by.example/", beside.format(i, words(i))) for i in range(6)]
+    pages += [(20 + i, "http://copy.example/", inside.format(0, words(0))) for i in range(4)] + [(30, "http://one.example/", beside.format(0, words(0)))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_tree.extract(df).collect()}
+    assert [got[i] for i in range(6)] == [f"title {i}\nShare this\n{words(i)}" for i in range(6)]
+    assert [got[10 + i] for i in range(6)] == [f"teaser {i}\n{words(i)}" for i in range(6)]
+    assert [got[20 + i] for i in range(4)] == [f"By us\ntitle 0\nShare this\n{words(0)}\nthe same note"] * 4
+    assert words(0) in got[30]
+    assert {r.page_id: r.text for r in site_tree.extract(df, bound=0).collect()} == got
+
+
 def test_secrets(spark, docs):
     ratio = secret_spans.fit_markov(secret_spans.labelled_strings(spark, docs))
     cases = ["é😀 TOKEN = abc; Secret:\"" + "x9" * 8 + "\" " + "ab12" * 10 + " AKIA" + "Z" * 12 + " secret: api_key: longvalue1", "key Zk3xQ9vLw82hTtYb7RfA getUserAccountNameById"]

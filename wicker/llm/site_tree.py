@@ -114,21 +114,25 @@ def parse(html: str) -> tuple[Node, list[tuple[list[Node], str]]]:
 
 
 def style_rows(root: Node) -> Iterator[tuple[int, int, int]]:
-    """For each path of the page: how it looks there (its children's styles in order) and what it says, as hashes."""
-    todo, seen = [root], set()
+    """For each path of the page that style doesn't rule out, those inside the article included: how it looks there (its
+    children's styles in order) and what it says in all its elements, as hashes."""
+    todo, nodes = [root], {}
     while todo:
         node = todo.pop()
-        todo.extend(node.children)
-        if node.path not in seen and node.prior is None:
-            seen.add(node.path)
-            look = xxhash.xxh64_intdigest(" ".join(dict.fromkeys(str(c.path) for c in node.children))) >> 1
-            yield node.path, look, xxhash.xxh64_intdigest("\n".join(node.text)) >> 1 if node.text else 0
+        todo.extend(reversed(node.children))
+        if node.prior != 0:
+            look, says = nodes.setdefault(node.path, ({}, []))
+            look.update(dict.fromkeys(c.path for c in node.children))
+            says.extend(node.text)
+    for path, (look, says) in nodes.items():
+        yield path, xxhash.xxh64_intdigest(" ".join(map(str, look))) >> 1, xxhash.xxh64_intdigest("\n".join(says)) >> 1 if says else 0
 
 
 def unimportant(pages: DataFrame, least_pages: int = 3, threshold: float = 0.3) -> DataFrame:
     """(host, path) of the style tree's nodes of low importance: those on at least ``least_pages`` pages of the host whose
     text and look hardly vary. Importance is the larger of both entropies, to the base of the number of pages: 1 if all
-    pages differ, 0 if all agree. Nodes whose style alone decides (prior) aren't judged.
+    pages differ, 0 if all agree. Nodes that style rules out aren't judged. Path 0, the page itself, is in the result for
+    each host with ``least_pages`` pages: there the tree can judge.
 
     Counts are summed in each batch and again before the shuffle, so a host with a third of all pages costs no more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,25 +152,33 @@ def unimportant(pages: DataFrame, least_pages: int = 3, threshold: float = 0.3)
     value = seen.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     kind = value.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"))
     imp = F.when(F.col("m") < least_pages, 1.0).otherwise((F.ln("m") - F.col("s") / F.col("m")) / F.ln("m"))
-    node = kind.withColumn("imp", imp).groupBy("host", "path").agg(F.max("imp").alias("imp"), F.max("kind").alias("says"))
-    return node.where((F.col("imp") < threshold) & (F.col("says") == 1)).select("host", "path")
+    node = kind.withColumn("imp", imp).groupBy("host", "path").agg(F.max("imp").alias("imp"), F.max("kind").alias("says"), F.max("m").alias("m"))
+    low = (F.col("path") != 0) & (F.col("imp") < threshold) & (F.col("says") == 1)
+    return node.where(low | (F.col("path") == 0) & (F.col("m") >= least_pages)).select("host", "path")
 
 
 def article(html: str, low: set[int]) -> str:
-    """The page's blocks without those in branches of low importance. If an element's style says that it is the article,
-    blocks outside it go too."""
-    blocks = parse(html)[1]
-    kept = [(above[-1].prior, text) for above, text in blocks if above[-1].prior == 1 or above[-1].prior is None and not any(x.path in low for x in above[1:] if x.tag not in ("html", "body"))]
-    if any(prior == 1 for prior, _ in kept):
-        kept = [x for x in kept if x[0] == 1]
-    return "\n".join(text for _, text in kept)
+    """The page's blocks without those whose element style rules out or has low importance on its host.
+
+    Style is a prior only. Blocks that it takes for the article go like others if they are of low importance, unless more would
+    go of it than stays on the page: then the host's pages are copies of each other, and the article stays. Where the host
+    has too few pages to judge, the article's blocks stay alone if they are at least half of the text."""
+    found = [(above[-1].prior == 1, above[-1].path in low and above[-1].tag not in ("", "html", "body"), text) for above, text in parse(html)[1] if above[-1].prior != 0]
+    size = lambda rows: sum(len(text) for *_, text in rows)
+    kept = [x for x in found if not x[1]]
+    if size(x for x in found if x[0] and x[1]) > size(kept):
+        kept = [x for x in found if x[0] or not x[1]]
+    styled = [x for x in kept if x[0]]
+    if 0 not in low and 2 * size(styled) >= size(kept):
+        kept = styled or kept
+    return "\n".join(text for *_, text in kept)
 
 
 def extract(pages: DataFrame, bound: int = 200_000) -> DataFrame:
     """page_id, url, text: the main text of each page; a null or empty html gives an empty text, a null url is a host of
     its own name. Every row of pages gives a row; other columns are left out.
 
-    The pruned nodes are few: up to ``bound`` of them go to every task. Beyond that they are joined by host, as one set for
+    The pruned nodes and judged hosts are few: up to ``bound`` of them go to every task. Beyond that they are joined by host, as one set for
     each host, and adaptive execution splits the pages of a hot host."""
     low = checkpointed(unimportant(pages))
     many = low.limit(bound + 1).count() > bound
