@@ -76,6 +76,17 @@ def test_main_text(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_survives_words_in_names_of_wrappers():
+    text = "<p>first</p><div class='side-by-side'>second</div>"
+    for wrap in ("<div class='wrap has-sidebar'>", "<div class='no-sidebar'>", "<body class='overflow-hidden'>", "<div aria-hidden='false'>", "<div data-hidden=x>", "<div class='widget'>", "<div id=search class=a><div>"):
+        for inner in ("article", "main", "div role=main"):
+            assert site_tree.article(f"<nav>n</nav>{wrap}<{inner}>{text}", set()) == "first\nsecond", (wrap, inner)
+    for gone in ("<div class='x sidebar'>", "<div hidden>", "<div aria-hidden=true>", "<div style='display: none'>", "<div id=comments>", "<aside>"):
+        assert site_tree.article(f"<main>{text}{gone}<article>no</article>", set()) == "first\nsecond", gone
+        assert site_tree.article(f"<main>{text}</main>{gone}<article>no</article>", set()) == "first\nsecond", gone
+    assert site_tree.article("<div hidden><article>no</article></div><div>yes</div>", set()) == "yes"
+
+
 def test_main_text_is_judged_inside_and_beside_the_article(spark):
     words = lambda i: f"page {i} " + f"w{i} " * 20 + "end"
     inside = "<body><article>By us<h1>title {0}</h1><p>Share this</p><p>{1}</p><div class=box>the same note</div></article></body>"

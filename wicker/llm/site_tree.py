@@ -20,22 +20,23 @@ RAW = set("script style textarea title noscript template iframe svg select optio
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CHROME = set("nav footer header aside form menu dialog".split())
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|notice|consent|gdpr|sidebar|side|menu|nav\w*|footer|header|masthead|comments?|disqus|replies|related|share|sharing|social|newsletter|subscribe|login|search|popup|modal|breadcrumbs?|widget)(?:$|[\s_-])", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+MARKED = re.compile(r"ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|notice|consent|gdpr|sidebar|side|menu|nav\w*|footer|header|masthead|comments?|disqus|replies|related|share|sharing|social|newsletter|subscribe|login|search|popup|modal|breadcrumbs?|widget")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    """An element of a page: its style is its name with class, id and role, digits aside; path holds the styles above it."""
+    """An element of a page: its style is its name with class, id and role, digits aside; path holds the styles above it.
+    wrapper is true where nothing but class words outside an article ruled it out: an article in it may still count."""
 
-    __slots__ = ("tag", "path", "prior", "children", "text")
+    __slots__ = ("tag", "path", "prior", "wrapper", "children", "text")
 
-    def __init__(self, tag: str, path: int, prior: float | None):
-        self.tag, self.path, self.prior, self.children, self.text = tag, path, prior, [], []
+    def __init__(self, tag: str, path: int, prior: float | None, wrapper: bool = False):
+        self.tag, self.path, self.prior, self.wrapper, self.children, self.text = tag, path, prior, wrapper, [], []
 
 
 def host(url: str | None) -> str:
@@ -45,7 +46,8 @@ def host(url: str | None) -> str:
 
 def parse(html: str) -> tuple[Node, list[tuple[list[Node], str]]]:
     """The root and the blocks in page order: the elements around each and its text. prior is 0 for elements whose style
-    says that they aren't the article, 1 for the article and what it holds, None where style says nothing.
+    says that they aren't the article, 1 for the article and what it holds, 0.5 for an article in a wrapper whose class
+    words speak against it, None where style says nothing.
 
     Unclosed and misnested elements end where their parents do or where a sibling begins; hidden elements, scripts and
     the like have no text."""
@@ -95,16 +97,28 @@ def parse(html: str) -> tuple[Node, list[tuple[list[Node], str]]]:
             if name in BLOCK and stack[i].tag == "p":
                 del stack[i:]
                 break
-        style = name + " " + " ".join(x.strip("\"'") for x in NAMED.findall(m[3]))
-        style = re.sub(r"\d+", "", style.lower())
+        named, unseen = [], False
+        for key, value in ATTRIBUTE.findall(m[3]):
+            key, value = key.lower(), value.strip("\"'")
+            if key in ("class", "id", "role"):
+                named.append((key, value.lower()))
+            unseen |= key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and bool(UNSEEN.search(value))
+        style = re.sub(r"\d+", "", name + " " + " ".join(v for _, v in named).lower())
+        marked = name not in ("html", "body", "article", "main") and any(MARKED.fullmatch(w.strip("-_")) for _, v in named for w in re.sub(r"\d+", "", v).split())
         top = stack[-1]
-        prior = top.prior
-        if prior != 0:
-            if (name in CHROME and not (name == "header" and top.prior == 1)) or name == "head" or HIDDEN.search(m[3]) or (" " in style and name not in ("html", "body", "article", "main") and MARKED.search(style.split(" ", 1)[1])):
-                prior = 0
-            elif name in ("article", "main") or "role" in m[3] and "main" in style:
-                prior = 1
-        node = Node(name, xxhash.xxh64_intdigest(f"{top.path}/{style}") >> 1, prior)
+        prior, wrapper = top.prior, top.wrapper
+        chrome = unseen or name == "head" or name in CHROME and not (name == "header" and prior in (1, 0.5))
+        main = name in ("article", "main") or any(k == "role" and "main" in v.split() for k, v in named)
+        if chrome:
+            prior, wrapper = 0, False
+        elif prior == 0:
+            if main and wrapper:
+                prior, wrapper = 0.5, False
+        elif marked:
+            prior, wrapper = 0, prior is None
+        elif main and prior is None:
+            prior = 1
+        node = Node(name, xxhash.xxh64_intdigest(f"{top.path}/{style}") >> 1, prior, wrapper)
         top.children.append(node)
         stack.append(node)
     if not raw and at < len(html):
@@ -162,8 +176,11 @@ def article(html: str, low: set[int]) -> str:
 
     Style is a prior only. Blocks that it takes for the article go like others if they are of low importance, unless more would
     go of it than stays on the page: then the host's pages are copies of each other, and the article stays. Where the host
-    has too few pages to judge, the article's blocks stay alone if they are at least half of the text."""
-    found = [(above[-1].prior == 1, above[-1].path in low and above[-1].tag not in ("", "html", "body"), text) for above, text in parse(html)[1] if above[-1].prior != 0]
+    has too few pages to judge, the article's blocks stay alone if they are at least half of the text. An article in a
+    marked wrapper counts on pages that have no other."""
+    blocks = [(above[-1], text) for above, text in parse(html)[1] if above[-1].prior != 0]
+    best = max((node.prior for node, _ in blocks if node.prior), default=1)
+    found = [(node.prior == best, node.path in low and node.tag not in ("", "html", "body"), text) for node, text in blocks if node.prior in (best, None)]
     size = lambda rows: sum(len(text) for *_, text in rows)
     kept = [x for x in found if not x[1]]
     if size(x for x in found if x[0] and x[1]) > size(kept):
