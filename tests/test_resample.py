@@ -45,6 +45,20 @@ def test_neighbours_are_the_nearest_of_their_cell(spark):
     assert {r.source: abs(r.source - r.neighbour) for r in near} == {i: 2 for i in range(8)}
 
 
+def test_neighbours_are_the_nearest_of_all_rows(spark):
+    draw = random.Random(3)
+    rows = [(i, draw.gauss(0, 1), draw.gauss(0, 30)) for i in range(900)] + [(900 + i, 500.0 * (i + 1), 0.0) for i in range(3)] + [(910 + i, 1.0, 1.0) for i in range(4)]
+    gap = lambda a, b: (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {(r.source, r.k): r.neighbour for r in learn.neighbours(df, ["x", "y"], "id", k=5, cells=40).collect()}
+    want = {(a[0], j + 1): b[0] for a in rows for j, b in enumerate(sorted((b for b in rows if b[0] != a[0]), key=lambda b: (gap(a, b), b[0]))[:5])}
+    assert got == want
+    made = [(f"m{i}", draw.gauss(0, 2), draw.gauss(0, 60)) for i in range(300)]
+    near = learn.nearest_category(spark.createDataFrame(made, "made string, x double, y double"), df.unionByName(df.selectExpr("id + 5000 id", "x + 0.01 x", "y")).withColumn("c", F.col("id").cast("string")), ["x", "y"], "made", "id", "c").collect()
+    real = rows + [(i + 5000, x + 0.01, y) for i, x, y in rows]
+    assert {r.made: r.c for r in near} == {a[0]: str(min(real, key=lambda b: (gap(a, b), b[0]))[0]) for a in made}
+
+
 def test_row_stats_of_empty_constant_and_missing_rows(spark):
     df = spark.createDataFrame([(1, []), (2, [2.0, 2.0]), (3, [None, 1.0, 3.0])], "id int, v array<double>")
     got = {r.id: r for r in T.row_stats(df, "v").collect()}

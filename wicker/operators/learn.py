@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -133,25 +136,67 @@ def squared(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, y: s + y)
 
 
+def nearest(a: DataFrame, b: DataFrame, centres: list[np.ndarray], k: int, same: bool) -> DataFrame:
+    """(source, v, w, neighbour, ..., gap, k): the k nearest rows of b (neighbour, w, _cell, ...) to each row of a (source, v,
+    _cell), ties by neighbour; with ``same``, a row isn't its own neighbour.
+
+    The k nearest of a row's own cell come first. Then every other cell is searched that may hold a nearer one: whose
+    centre is no further than its radius and the k-th gap (triangle inequality). Where the own cell has fewer than k, the
+    cells' centres, radii and sizes bound the gap. Centres and radii, one for each cell, go to every task."""
+    a, b = a.persist(), b.persist()
+    cells = a.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "_cell int, _centre array<double>")
+    known = b.join(F.broadcast(cells), "_cell").groupBy("_cell").agg(F.sqrt(F.max(squared("w", "_centre"))).alias("radius"), F.count("*").alias("m")).orderBy("_cell").collect()
+    cell, radius, m = (np.array([r[i] for r in known]) for i in range(3))
+    middle = np.array(centres)[cell] if len(cell) else np.zeros((0, 1))
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("gap", "neighbour"))).where(F.col("k") <= k)
+
+    def met(sources: DataFrame) -> DataFrame:
+        pairs = sources.join(b, "_cell").withColumn("gap", squared("v", "w")).drop("_cell")
+        return pairs.where("source <> neighbour") if same else pairs
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 2_000_000 // max(1, middle.size))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                own, far = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
+                d = np.sqrt(((x[:, None] - middle) ** 2).sum(axis=2))
+                order = np.argsort(d + radius, axis=1)
+                enough = np.cumsum(m[order], axis=1) >= k + same
+                upper = np.where(enough.any(axis=1), np.take_along_axis((d + radius), np.take_along_axis(order, enough.argmax(axis=1)[:, None], 1), 1)[:, 0], np.inf)
+                bound = np.fmin(np.sqrt(far), upper)
+                row, j = np.nonzero((d - radius - 1e-9 * (d + radius) <= bound[:, None] * (1 + 1e-9)) & (cell != own[:, None]))
+                yield pa.record_batch([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell[j], pa.int32())], ["source", "v", "_cell"])
+
+    first = ranked(met(a)).drop("k").persist()
+    far = first.groupBy("source").agg(F.max("gap").alias("far"), F.count("*").alias("m")).where(F.col("m") == k).select("source", "far")
+    if not len(cell):
+        return ranked(first)
+    sought = a.join(far, "source", "left").select("source", "v", "_cell", "far").mapInArrow(route, f"source {a.schema['source'].dataType.simpleString()}, v array<double>, _cell int")
+    return ranked(first.unionByName(met(sought)))
+
+
 def neighbours(df: DataFrame, columns: list[str], key: str, k: int = 5, cells: int = 8, sides: list[str] | None = None) -> DataFrame:
-    """(source, v, w, neighbour, sides, gap, k): the k nearest rows to each row within its cell of a k-means partition, with
-    both rows' numbers. Cells follow df's size at about 500 rows each, so distances taken grow in proportion to it."""
+    """(source, v, w, neighbour, sides, gap, k): the k nearest rows to each row, with both rows' numbers. Cells of a k-means
+    partition, which follow df's size at about 500 rows each, say where to look."""
     n = df.count()
     spread = celled(df.select(key, *columns, *(sides or [])), columns)
-    placed = KMeans(k=min(max(cells, n // 500), max(2, n // 2)), seed=7, maxIter=5).fit(spread).transform(spread).select(key, "_v", *(sides or []), F.col("prediction").alias("_cell"))
-    a, b = placed.alias("a"), placed.alias("b")
-    near = a.join(b, (F.col("a._cell") == F.col("b._cell")) & (F.col(f"a.{key}") != F.col(f"b.{key}"))).select(F.col(f"a.{key}").alias("source"), F.col("a._v").alias("v"), F.col("b._v").alias("w"), F.col(f"b.{key}").alias("neighbour"), *(F.col(f"b.{c}").alias(c) for c in sides or []), squared("a._v", "b._v").alias("gap"))
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("gap", "neighbour"))).where(F.col("k") <= k)
+    model = KMeans(k=min(max(cells, n // 500), max(2, n // 2)), seed=7, maxIter=5).fit(spread)
+    placed = model.transform(spread).select(F.col(key).alias("source"), F.col("_v").alias("v"), F.col("prediction").alias("_cell"), *(sides or []))
+    found = nearest(placed.select("source", "v", "_cell"), placed.select(F.col("source").alias("neighbour"), F.col("v").alias("w"), "_cell", *(sides or [])), model.clusterCenters(), k, True)
+    return found.select("source", "v", "w", "neighbour", *(sides or []), "gap", "k")
 
 
 def nearest_category(made: DataFrame, real: DataFrame, columns: list[str], made_key: str, real_key: str, category: str) -> DataFrame:
-    """(made_key, category): the category of the nearest real row within the made row's cell of a k-means partition of the
-    real rows; ties go to the smallest key."""
+    """(made_key, category): the category of the nearest real row; ties go to the smallest key."""
     rows = celled(real.select(real_key, category, *columns), columns)
     model = KMeans(k=max(2, real.count() // 500), seed=7, maxIter=5).fit(rows)
-    a = model.transform(celled(made, columns)).select(made_key, F.col("_v").alias("v"), "prediction")
-    b = model.transform(rows).select(real_key, category, F.col("_v").alias("w"), "prediction")
-    return a.join(b, "prediction").groupBy(made_key).agg(F.min_by(category, F.struct(squared("v", "w"), real_key)).alias(category))
+    a = model.transform(celled(made, columns)).select(F.col(made_key).alias("source"), F.col("_v").alias("v"), F.col("prediction").alias("_cell"))
+    b = model.transform(rows).select(F.col(real_key).alias("neighbour"), F.col("_v").alias("w"), F.col("prediction").alias("_cell"), F.col(category).alias("_category"))
+    return nearest(a, b, model.clusterCenters(), 1, False).select(F.col("source").alias(made_key), F.col("_category").alias(category))
 
 
 def arm_search(df: DataFrame, arms: dict[str, list[str]], weights: tuple[float, ...]) -> DataFrame:
@@ -182,10 +227,7 @@ def bundled(df: DataFrame, models: list[Estimator], key: str = "row_id") -> Data
 
 def smote(df: DataFrame, columns: list[str], label: str, key: str, ratio: float, k: int = 5, cells: int = 8, sides: list[str] | None = None) -> DataFrame:
     """Synthetic minority rows, enough for ``ratio`` of the majority: between a row and one of its k nearest neighbours, at
-    a share drawn from an md5; columns in ``sides`` are copied from the neighbour.
-
-    Neighbours are looked for among rows of the same cell of a k-means partition of the minority, so distances are
-    taken within cells only; cells follow the minority's size, to keep each small."""
+    a share drawn from an md5; columns in ``sides`` are copied from the neighbour."""
     n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     want = max(0, int(ratio * n.get(0, 0)) - n.get(1, 0))
     near = neighbours(df.where(F.col(label) == 1), columns, key, k, cells, sides)
