@@ -59,6 +59,13 @@ def test_neighbours_are_the_nearest_of_all_rows(spark):
     assert {r.made: r.c for r in near} == {a[0]: str(min(real, key=lambda b: (gap(a, b), b[0]))[0]) for a in made}
 
 
+def test_smotenc_takes_the_most_frequent_category_of_the_neighbours(spark):
+    rows = [(i, float(i), 0.0, 1, c) for i, c in enumerate("ccaab")] + [(10 + i, 1000.0 + i, 0.0, 1, c) for i, c in enumerate("xyyyx")] + [(100 + i, 0.0, 0.0, 0, "z") for i in range(60)]
+    made = learn.smote(spark.createDataFrame(rows, "id long, x double, y double, t int, c string"), ["x", "y"], "t", "id", 0.5, k=4, cells=2, sides=["c"]).collect()
+    want = {0: "a", 1: "a", 2: "c", 3: "c", 4: "a"} | {10: "y", 11: "x", 12: "x", 13: "x", 14: "y"}
+    assert len(made) == 20 and all(r.c == want[r.source] for r in made)
+
+
 def test_row_stats_of_empty_constant_and_missing_rows(spark):
     df = spark.createDataFrame([(1, []), (2, [2.0, 2.0]), (3, [None, 1.0, 3.0])], "id int, v array<double>")
     got = {r.id: r for r in T.row_stats(df, "v").collect()}

@@ -227,10 +227,13 @@ def bundled(df: DataFrame, models: list[Estimator], key: str = "row_id") -> Data
 
 def smote(df: DataFrame, columns: list[str], label: str, key: str, ratio: float, k: int = 5, cells: int = 8, sides: list[str] | None = None) -> DataFrame:
     """Synthetic minority rows, enough for ``ratio`` of the majority: between a row and one of its k nearest neighbours, at
-    a share drawn from an md5; columns in ``sides`` are copied from the neighbour."""
+    a share drawn from an md5; columns in ``sides`` take the most frequent value among the k neighbours, the smallest of equals."""
     n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     want = max(0, int(ratio * n.get(0, 0)) - n.get(1, 0))
     near = neighbours(df.where(F.col(label) == 1), columns, key, k, cells, sides)
+    if sides:
+        most = near.groupBy("source").agg(*(F.mode(c, True).alias(c) for c in sides))
+        near = near.drop(*sides).join(most, "source")
     times = math.ceil(want / max(1, n.get(1, 0)))
     drawn = near.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, times))))).withColumn("u", uniform(F.concat_ws(":", "source", "neighbour", "copy")))
     one = drawn.withColumn("r", F.row_number().over(Window.partitionBy("source", "copy").orderBy("u", "neighbour"))).where("r = 1")
