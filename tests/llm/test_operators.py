@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,22 +127,63 @@ def test_pieces_are_the_library_s(docs):
     assert sorted((r.doc_id, r.ids, r.n_tokens, r.decoded) for r in got) == sorted((d, *(plain.text(text(t))[i] for i in (0, 1, 2))) for d, t, *_ in ODD)
 
 
-def test_packing(docs):
+def test_word_ids_are_the_tokenizer_s():
     path = vocabulary("word_bpe_49k.json")
-    table = packing.Words(path)
-    rng = random.Random(2)
-    some = ["a", "B", " ", "\n", "é", "É", "İ", "Σ", "́", "\x1c", "\xa0", "<|endoftext|>", "'s", "1", "!!", ".", "😀", "ß", "ǅ"]
-    for _ in range(3000):
-        x = "".join(rng.choice(some) for _ in range(rng.randint(0, 9)))
-        table.meet([packing.words(x)])
-        want = np.array(table.cores.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        assert b"".join(map(table.__getitem__, packing.words(x))) == want, repr(x)
-    p = packing.pack_documents(docs, path, size=512).toPandas()
+    assert packing.separable(path) and not packing.separable(vocabulary("byte_bpe_50k.json"))
+    table, rng = packing.Words(path, 1), random.Random(2)
+    some = ["a", "B", " ", "\n", "é", "É", "İ", "Σ", "\u0301", "\x1c", "\x0b", "\xa0", "<|endoftext|>", "'s", "1", "!!", ".", "😀", "ß", "ǅ", "the", "ing"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    texts += ["a" * 100_000, "É" * 3000 + " b", "é" * 31 + "x", "ab" * 32 + "...", "ab" * 33, "", " ", "word " * 30_000]
+    ids, length = table.encode(pa.array(texts))
+    want = [[*table.tokenizer.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert length.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    assert table.encode(pa.array([], pa.string()))[0].tolist() == []
+    assert sum(n for _, n in packing.steps(pa.array(texts))) == len(texts)
+
+
+def test_sum_of_squares_is_the_rule():
+    rng = np.random.default_rng(4)
+    for size in (16, 40):
+        lengths = rng.integers(1, size + 1, 400)
+        count, n, gaps = {}, 0, []
+        to, at = packing.sum_of_squares(lengths, size)
+        for s, b, place in zip(lengths.tolist(), to.tolist(), at.tolist()):
+            def total(gap):  # the sum of squares of open bins per gap after s goes where the gap is; size: a new bin
+                after = dict(count)
+                if gap < size:
+                    after[gap] -= 1
+                if gap > s:
+                    after[gap - s] = after.get(gap - s, 0) + 1
+                return sum(v * v for g, v in after.items() if g)
+
+            gap = min((total(g), g) for g in [g for g, v in count.items() if v and g >= s] + [size])[1]
+            assert place == size - gap and b == (n if gap == size else b) and (gap == size or gaps[b] == gap)
+            if gap == size:
+                gaps.append(size)
+                n += 1
+            else:
+                count[gap] -= 1
+            gaps[b] -= s
+            count[gaps[b]] = count.get(gaps[b], 0) + 1
+
+
+def test_packing(spark, docs):
+    path = vocabulary("word_bpe_49k.json")
+    p = packing.pack_documents(docs.withColumn("length", F.lit(1)).withColumn("shard", F.lit(1)), path, size=512).toPandas()
     assert p.groupby("sequence_id")["length"].sum().max() <= 512
     o = p.sort_values(["sequence_id", "offset"])
     assert (o.groupby("sequence_id")["length"].cumsum() - o["length"] == o["offset"]).all()
     assert p[p.doc_id == 4]["length"].sum() == 30_001 and p[p.doc_id == 1]["length"].tolist() == [1]
+    whole = packing.Whole(path, 1)
+    for d, t in {(d, t) for d, t, *_ in ODD}:
+        ids = whole.encode(pa.array([t or ""]))[0]
+        for r in p[p.doc_id == d].itertuples():
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].astype("<u4")) and r.start == 512 * r.piece
     assert packing.pack_documents(docs.limit(0), path).count() == 0
+    same = spark.createDataFrame([(None, None)] * 3000 + [(1, "a b c")] * 3000, "doc_id long, text string")
+    got = packing.pack(common.checkpointed(packing.tokenised(same, path, 1, 64)), 64, shard=500).toPandas()
+    assert len(got) == 6000 and got["sequence_id"].nunique() <= 1.1 * got["length"].sum() / 64
+    assert got.groupby(got["sequence_id"] % 12)["length"].count().max() < 800  # rows that repeat don't meet in one shard
     lengths = np.sort(np.random.default_rng(3).integers(1, 300, 2000))[::-1]
     to, _ = packing.sum_of_squares(lengths, 512)
     assert to.max() + 1 <= 1.01 * lengths.sum() / 512 + 2
