@@ -3,19 +3,20 @@ leave the choice of a broadcast to the optimizer's size check."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from wicker.operators.order import numbered
 
 
 def codes(df: DataFrame, column: str) -> DataFrame:
-    """(level, code): position among the sorted levels, from 0. Positions come from a sort of the distinct levels only."""
-    level = df.select(F.col(column).alias("level")).where("level is not null").distinct()
-    return level.withColumn("code", (F.row_number().over(Window.orderBy("level")) - 1).cast("long"))
+    """(level, code): position among the sorted levels, from 0. Only distinct levels are sorted, range by range."""
+    return numbered(df.select(F.col(column).alias("level")).where("level is not null").distinct(), "level", name="code")
 
 
 def first_seen(df: DataFrame, column: str, key: str) -> DataFrame:
     """(level, code): codes in the order of each level's first row."""
     level = df.groupBy(F.col(column).alias("level")).agg(F.min(key).alias("at"))
-    return level.select("level", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("code"))
+    return numbered(level, "at", "level", name="code").select("level", "code")
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
@@ -38,15 +39,18 @@ def target_means(df: DataFrame, column: str, label: str, smoothing: float) -> Da
 
 def target_encode_oof(df: DataFrame, column: str, label: str, fold: str, smoothing: float, fold_prior: bool = False) -> DataFrame:
     """df with te, from the rows of other folds only: per level the sums of all folds less those of the row's own. The prior
-    is the overall mean, or with fold_prior the mean of the other folds. Two small aggregations, no loop over folds."""
+    is the overall mean, or with fold_prior the mean of the other folds. Null is a level like any other. Two small
+    aggregations, no loop over folds."""
     by = df.groupBy(column, fold).agg(F.sum(label).alias("s"), F.count("*").alias("n"))
     level = by.groupBy(column).agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
     folds = by.groupBy(fold).agg(F.sum("s").alias("s_fold"), F.sum("n").alias("n_fold"))
     total = folds.agg(F.sum("s_fold").alias("s_tot"), F.sum("n_fold").alias("n_tot"))
     prior = (F.col("s_tot") - F.col("s_fold")) / (F.col("n_tot") - F.col("n_fold")) if fold_prior else F.col("s_tot") / F.col("n_tot")
-    table = by.join(level, column).join(folds, fold).crossJoin(F.broadcast(total))
+    level = level.withColumnRenamed(column, "_level")
+    table = by.join(level, F.col(column).eqNullSafe(F.col("_level"))).join(F.broadcast(folds), fold).crossJoin(F.broadcast(total))
     te = (F.col("s_all") - F.col("s") + smoothing * prior) / (F.col("n_all") - F.col("n") + smoothing)
-    return df.join(table.select(column, fold, te.alias("te")), [column, fold])
+    table = table.select(F.col(column).alias("_level"), F.col(fold).alias("_fold"), te.alias("te"))
+    return df.join(table, F.col(column).eqNullSafe(F.col("_level")) & (F.col(fold) == F.col("_fold"))).drop("_level", "_fold")
 
 
 def group_stats(df: DataFrame, column: str, numbers: list[str]) -> DataFrame:
@@ -54,7 +58,19 @@ def group_stats(df: DataFrame, column: str, numbers: list[str]) -> DataFrame:
     return df.groupBy(F.col(column).alias("level")).agg(*(x for c in numbers for x in (F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev(c), F.lit(0.0)).alias(f"{c}_std"))))
 
 
+def apply_all(df: DataFrame, column: str, fitted: DataFrame, default: float = 0.0) -> DataFrame:
+    """df with all the fitted numbers of its level (group_stats); unseen levels and nulls take the default."""
+    return df.join(fitted.withColumnRenamed("level", column), column, "left").fillna(default, [c for c in fitted.columns if c != "level"])
+
+
+def levels(df: DataFrame, column: str, most: int = 50) -> list[str] | None:
+    """The sorted levels of a column that has at most ``most``, else None."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    return sorted(found) if len(found) <= most else None
+
+
 def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
+    """df with a 0/1 column for each level, in the order of levels; unknown levels and nulls have zeros."""
     return df.withColumns({f"{column}_{i}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for i, v in enumerate(levels)})
 
 

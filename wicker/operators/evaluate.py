@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from wicker.operators.order import dealt, numbered, quantiles, running
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -12,18 +14,20 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def folds(df: DataFrame, key: str, k: int, label: str | None = None) -> DataFrame:
-    """df with fold, 0..k-1: row numbers in md5 order, within each label if one is given."""
-    over = Window.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
-    over = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key) if label else over
-    return df.withColumn("fold", ((F.row_number().over(over) - 1) % k).cast("int"))
+    """df with fold, 0..k-1: row numbers in md5 order, within each label if one is given; the md5's first digits part rows into
+    ranges, so no task sorts a whole class."""
+    placed = dealt(df, F.md5(F.col(key).cast("string").cast("binary")), [key], [label] if label else [], "_at")
+    return placed.withColumn("fold", (F.col("_at") % k).cast("int")).drop("_at")
 
 
 def curve(df: DataFrame, label: str = "y", score: str = "s") -> DataFrame:
-    """Counts and F1 at every distinct cut: rows with a score of at least threshold are positive."""
+    """Counts and F1 at every distinct cut: rows with a score of at least threshold are positive. Rows without a score are left
+    out."""
+    df = df.where(F.col(score).isNotNull())
     each = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = each.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    c = each.withColumn("tp", F.sum("p").over(down)).withColumn("n_pred_pos", F.sum("n").over(down)).crossJoin(F.broadcast(total))
+    total = df.agg(F.sum(label).cast("long").alias("all_p"), F.count("*").alias("all_n"))
+    c = running(each, "threshold", {"_p": "p", "_n": "n"}, inclusive=False).crossJoin(F.broadcast(total))
+    c = c.withColumns({"tp": F.col("all_p") - F.col("_p"), "n_pred_pos": F.col("all_n") - F.col("_n")})
     c = c.withColumns({"fp": F.col("n_pred_pos") - F.col("tp"), "fn": F.col("all_p") - F.col("tp")}).withColumn("tn", F.col("all_n") - F.col("all_p") - F.col("fp"))
     f1 = lambda hit, a, b: F.when(2 * F.col(hit) + F.col(a) + F.col(b) > 0, 2 * F.col(hit) / (2 * F.col(hit) + F.col(a) + F.col(b))).otherwise(0.0)
     c = c.withColumn("binary_f1", f1("tp", "fp", "fn"))
@@ -39,7 +43,8 @@ def plateau_threshold(df: DataFrame, label: str = "y", score: str = "s", tol: fl
     """The middle of the plateau: cuts within tol of the peak, the integer median of their counts, and the nearest cut."""
     c = curve(df, label, score)
     near = c.crossJoin(F.broadcast(c.agg(F.max("binary_f1").alias("peak")))).where(F.col("binary_f1") >= F.col("peak") - tol)
-    k = near.agg(F.floor(F.percentile("n_pred_pos", F.lit(0.5))).alias("k"), F.count("*").alias("n_plateau"))
+    middle = quantiles(near, {"n_pred_pos": [0.5]})["n_pred_pos"][0]
+    k = near.agg(F.lit(middle).cast("long").alias("k"), F.count("*").alias("n_plateau"))
     at = c.crossJoin(F.broadcast(k)).agg(F.min(F.struct(F.abs(F.col("n_pred_pos") - F.col("k")).alias("d"), "n_pred_pos", "threshold", "k", "n_plateau")).alias("b"))
     return at.select("b.threshold", F.col("b.n_pred_pos").alias("n_pred_pos"), F.col("b.k").cast("long").alias("k"), F.col("b.n_plateau").alias("n_plateau"))
 
@@ -53,21 +58,21 @@ def threshold_grid(df: DataFrame, steps: int, label: str = "y", score: str = "s"
 
 
 def auc(df: DataFrame, label: str = "y", score: str = "s", by: list[str] | None = None) -> DataFrame:
-    """The exact area under the ROC curve from average ranks, for each group of ``by``: ranks of distinct scores."""
+    """The exact area under the ROC curve from average ranks, for each group of ``by``: ranks of distinct scores. Rows without
+    a score are left out."""
     by = by or []
-    each = df.groupBy(*by, score).agg(F.sum(label).cast("double").alias("_p"), F.count("*").cast("double").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    r = each.withColumn("_r", below + (F.col("_n") + 1) / 2).groupBy(*by).agg(F.sum(F.col("_p") * F.col("_r")).alias("r"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
+    each = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(label).cast("double").alias("_p"), F.count("*").cast("double").alias("_n"))
+    r = running(each, score, {"_below": "_n"}, by, inclusive=False).withColumn("_r", F.col("_below") + (F.col("_n") + 1) / 2).groupBy(*by).agg(F.sum(F.col("_p") * F.col("_r")).alias("r"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
     return r.select(*by, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0.0))).alias("auc"))
 
 
 def rank_norm(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
-    """df with the average rank of score over the number of rows; ranks of distinct scores are joined back."""
-    each = df.groupBy(score).agg(F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = each.select(score, (below + (F.col("n") + 1) / 2).alias("_r"))
-    total = each.agg(F.sum("n").alias("_n"))
-    return df.join(ranked, score).crossJoin(F.broadcast(total)).withColumn(name, F.col("_r") / F.col("_n")).drop("_r", "_n")
+    """df with the average rank of score over the number of rows with one, null where the score is; ranks of distinct scores
+    are joined back."""
+    each = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("_m"))
+    ranked = running(each, score, {"_below": "_m"}, inclusive=False).select(score, (F.col("_below") + (F.col("_m") + 1) / 2).alias("_r"))
+    total = df.agg(F.count(score).alias("_n"))
+    return df.join(ranked, score, "left").crossJoin(F.broadcast(total)).withColumn(name, F.col("_r") / F.col("_n")).drop("_r", "_n")
 
 
 def confusion(label: str, predicted: Column) -> dict[str, Column]:
@@ -77,5 +82,10 @@ def confusion(label: str, predicted: Column) -> dict[str, Column]:
 
 def top_fraction(df: DataFrame, score: str, key: str, fraction: float, least: int = 1) -> DataFrame:
     """The share of rows with the highest scores, ties by key, at least ``least`` rows."""
-    k = max(least, int(df.count() * fraction))
-    return df.orderBy(F.desc(score), key).limit(k)
+    return top(df, score, key, max(least, int(df.count() * fraction)))
+
+
+def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """The k rows with the highest scores, ties by key, from all rows' positions: k may be a share of the table."""
+    last = F.when(F.col(score).isNull(), float("inf")).otherwise(-F.col(score))
+    return numbered(df, last, key, name="_at").where(F.col("_at") < k).drop("_at")

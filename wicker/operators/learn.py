@@ -17,6 +17,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wicker.operators.evaluate import auc, folds, uniform
+from wicker.operators.order import numbered, quantiles
 from wicker.sources.tables import shared_folder
 
 
@@ -118,7 +119,7 @@ def normal_quantile(p: Column) -> Column:
 def quantile_normal(df: DataFrame, column: str, fitted_on: DataFrame, knots: int = 100, clip: float = 1e-7) -> DataFrame:
     """df with the column mapped to a normal law through fitted quantiles: linear between knots, the middle of a flat stretch."""
     at = [i / (knots - 1) for i in range(knots)]
-    q = fitted_on.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("_q"))
+    q = df.sparkSession.createDataFrame([(quantiles(fitted_on, {column: at})[column],)], "_q array<double>")
     x, n = F.col(column), F.lit(float(knots - 1))
     below, upto = F.size(F.filter("_q", lambda v: v < x)), F.size(F.filter("_q", lambda v: v <= x))
     inside = (below - 1 + (x - F.col("_q")[below - 1]) / (F.col("_q")[below] - F.col("_q")[below - 1])) / n
@@ -238,5 +239,5 @@ def smote(df: DataFrame, columns: list[str], label: str, key: str, ratio: float,
     drawn = near.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, times))))).withColumn("u", uniform(F.concat_ws(":", "source", "neighbour", "copy")))
     one = drawn.withColumn("r", F.row_number().over(Window.partitionBy("source", "copy").orderBy("u", "neighbour"))).where("r = 1")
     share = uniform(F.concat_ws("|", "source", "copy"))
-    rows = one.orderBy("copy", F.md5(F.col("source").cast("string").cast("binary")), "source").limit(want)
+    rows = numbered(one, "copy", F.md5(F.col("source").cast("string").cast("binary")), "source", name="_at").where(F.col("_at") < want)
     return rows.select("source", "copy", *((F.col("v")[i] + share * (F.col("w")[i] - F.col("v")[i])).alias(c) for i, c in enumerate(columns)), *(sides or []))

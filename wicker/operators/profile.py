@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from wicker.operators.order import numbered, quantiles
 
 
 def per_column(df: DataFrame, columns: list[str], **measures) -> DataFrame:
@@ -14,8 +19,11 @@ def per_column(df: DataFrame, columns: list[str], **measures) -> DataFrame:
 
 
 def describe_exact(df: DataFrame, columns: list[str]) -> DataFrame:
-    q = lambda p: lambda c: F.round(F.percentile(c, F.lit(p)), 6)
-    return per_column(df, columns, n=F.count, mean=lambda c: F.round(F.avg(c), 6), std=lambda c: F.round(F.stddev(c), 6), low=F.min, q25=q(0.25), q50=q(0.5), q75=q(0.75), high=F.max)
+    found = quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+    rows = [(c, *(None if x is None else round(x, 6) for x in q)) for c, q in found.items()]
+    bulk = df.sparkSession.createDataFrame(rows, "column string, q25 double, q50 double, q75 double")
+    rest = per_column(df, columns, n=F.count, mean=lambda c: F.round(F.avg(c), 6), std=lambda c: F.round(F.stddev(c), 6), low=F.min, high=F.max)
+    return rest.join(F.broadcast(bulk), "column")
 
 
 def zero_ratio(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,15 +39,16 @@ def sentinel_scan(df: DataFrame, columns: list[str], sentinels: list[float]) ->
 def ghost_values(df: DataFrame, columns: list[str], top: int = 3, least: int = 5, spread: float = 20, size: float = 50) -> DataFrame:
     """Frequent values far outside a column's bulk: among the top most frequent, occurring at least ``least`` times, further than
     ``spread`` times p99 - p1 from the median, beyond ``size``, in columns of more than two values."""
-    from pyspark.sql import Window
-
     long = df.select(F.expr(f"stack({len(columns)}, {', '.join(f'{chr(39)}{c}{chr(39)}, cast(`{c}` as double)' for c in columns)}) as (column, v)")).where("v is not null")
     count = long.groupBy("column", "v").agg(F.count("*").alias("n"))
-    bulk = long.groupBy("column").agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("p"))
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "v")
-    ranked = count.withColumn("k", F.row_number().over(order)).withColumn("distinct", F.count("*").over(Window.partitionBy("column")))
-    best = ranked.where((F.col("k") <= top) & (F.col("n") >= least) & (F.abs("v") > size) & (F.col("distinct") > 2)).join(bulk, "column")
-    return best.where(F.abs(F.col("v") - F.col("p")[1]) > spread * (F.col("p")[2] - F.col("p")[0])).select("column", "v", "n")
+    distinct = count.groupBy("column").agg(F.count("*").alias("distinct"))
+    salted = count.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(64)))  # first the most frequent of 64 shares, then of all
+    for by in (["column", "salt"], ["column"]):
+        salted = salted.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "v"))).where(F.col("k") <= top).drop("k")
+    best = salted.join(F.broadcast(distinct), "column").where((F.col("n") >= least) & (F.abs("v") > size) & (F.col("distinct") > 2)).select("column", "v", "n").collect()
+    found = quantiles(df, {c: [0.01, 0.5, 0.99] for c in {r["column"] for r in best}}) if best else {}
+    far = [r for r in best for low, mid, high in [found[r["column"]]] if abs(r.v - mid) > spread * (high - low)]
+    return df.sparkSession.createDataFrame(far, "column string, v double, n long")
 
 
 def out_of_range(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
@@ -87,33 +96,51 @@ def label_conflicts(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 
 
 def block_rates(df: DataFrame, key: str, label: str, blocks: int = 10) -> DataFrame:
-    """The label's rate in contiguous blocks of rows in key order; the last takes the remainder. Row numbers come from the
-    key's rank within ranges and the ranges' counts, so no task sorts all rows."""
+    """The label's rate in contiguous blocks of rows in key order; the last takes the remainder."""
     n = df.count()
-    keyed = df.select(key, label).repartitionByRange(key).sortWithinPartitions(key)
-    keyed = keyed.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33)).persist()
-    counts = keyed.groupBy("part").agg(F.count("*").alias("size"))
-    base = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("base"))
-    block = F.least(F.floor((F.col("at") + F.col("base")) / max(1, n // blocks)), F.lit(blocks - 1)).cast("long")
-    return keyed.join(F.broadcast(base), "part").groupBy(block.alias("block")).agg(F.count("*").alias("n"), F.round(F.avg(label), 9).alias("rate"))
+    block = F.least(F.floor(F.col("k") / max(1, n // blocks)), F.lit(blocks - 1)).cast("long")
+    return numbered(df.select(key, label), key).groupBy(block.alias("block")).agg(F.count("*").alias("n"), F.round(F.avg(label), 9).alias("rate"))
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) for every two columns, in their order: Pearson's correlation over the rows without a null in any, null where a
+    column is constant. One pass over the rows; the matrix, a number for each pair, is on the driver."""
+    rows = VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="skip").transform(df.select(*(F.col(c).cast("double") for c in columns)))
+    matrix = Correlation.corr(rows, "x").first()[0].toArray().tolist() if not rows.isEmpty() else [[math.nan] * len(columns)] * len(columns)
+    out = [(a, b, None if math.isnan(matrix[i][j]) else matrix[i][j]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    return df.sparkSession.createDataFrame(out, "a string, b string, r double")
 
 
 def near_duplicate_columns(df: DataFrame, columns: list[str], least: float = 0.999) -> DataFrame:
     """(column, group): columns joined by correlations beyond ``least`` in size; a group is named by its first column."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    corr = df.agg(*(F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs))).first()
     group = {c: c for c in columns}
-    for (a, b), r in zip(pairs, corr):
-        if r is not None and abs(r) > least:
-            low, high = sorted((group[a], group[b]))
-            group = {c: low if g == high else g for c, g in group.items()}
+    for a, b, _ in correlations(df, columns).where(F.abs("r") > least).collect():
+        low, high = sorted((group[a], group[b]))
+        group = {c: low if g == high else g for c, g in group.items()}
     return df.sparkSession.createDataFrame(sorted(group.items()), "column string, group string")
 
 
-def contract(df: DataFrame, key: str, label: str, low: float, high: float) -> DataFrame:
-    """One row of checks of an output: unique keys, no nulls, labels 0 or 1, a plausible positive rate."""
+def contract(df: DataFrame, key: str, label: str, low: float, high: float, expected: DataFrame) -> DataFrame:
+    """One row of checks of an output: as many rows as expected, the same keys, each once, no nulls, labels 0 or 1, a plausible
+    positive rate."""
     rate = F.avg(label)
-    return df.agg(F.count("*").alias("n"), (F.count_distinct(key) == F.count("*")).alias("unique_key"), (F.count(label) == F.count("*")).alias("no_nulls"), F.bool_and(F.col(label).isin(0, 1)).alias("binary"), ((rate > low) & (rate < high)).alias("plausible"))
+    own = df.agg(F.count("*").alias("n"), (F.count_distinct(key) == F.count("*")).alias("unique_key"), (F.count(label) == F.count("*")).alias("no_nulls"), F.bool_and(F.col(label).isin(0, 1)).alias("binary"), ((rate > low) & (rate < high)).alias("plausible"))
+    both = df.groupBy(key).agg(F.count("*").alias("_a")).join(expected.groupBy(key).agg(F.count("*").alias("_b")), key, "full")
+    same = both.agg(F.coalesce(F.bool_and(F.col("_a").eqNullSafe(F.col("_b"))), F.lit(True)).alias("same_keys"), (F.coalesce(F.sum("_a"), F.lit(0)) == F.coalesce(F.sum("_b"), F.lit(0))).alias("same_count"))
+    return own.crossJoin(F.broadcast(same))
+
+
+def probability_contract(df: DataFrame, key: str, score: str) -> DataFrame:
+    """One row of checks: keys are 0..n-1, each once; scores are finite and strictly between 0 and 1."""
+    p = F.col(score)
+    finite = p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf"))
+    return df.agg(F.count("*").alias("n"), ((F.min(key) == 0) & (F.max(key) == F.count("*") - 1) & (F.count_distinct(key) == F.count("*"))).alias("dense_keys"), F.bool_and(finite).alias("finite"), F.bool_and(F.coalesce((p > 0) & (p < 1), F.lit(False))).alias("inside"))
+
+
+def missing_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The number of missing cells, nulls and NaN, over all the columns."""
+    lost = lambda c: F.col(c).isNull() | F.isnan(F.col(c)) if dict(df.dtypes)[c] in ("double", "float") else F.col(c).isNull()
+    return df.agg(F.sum(sum((lost(c).cast("long") for c in columns), F.lit(0).cast("long"))).alias("missing"))
 
 
 def all_of(conditions: list[Column]) -> Column:

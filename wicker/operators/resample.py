@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from wicker.operators.evaluate import auc, curve, rank_norm, uniform
+from wicker.operators.evaluate import auc, curve, rank_norm, top as best, uniform
+from wicker.operators.order import numbered, quantiles
 
 
-def numbered(df: DataFrame, key: str, name: str = "k") -> DataFrame:
-    """df with its row's position in key order, from 0: places within ranges of keys plus the sizes of the ranges before, so
-    no task sorts all rows. One row for each range is broadcast."""
-    keyed = df.repartitionByRange(key).sortWithinPartitions(key)
-    keyed = keyed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33)).persist()
-    size = keyed.groupBy("_part").agg(F.count("*").alias("_n"))
-    base = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return keyed.join(F.broadcast(size.select("_part", base.alias("_base"))), "_part").withColumn(name, F.col("_at") + F.col("_base")).drop("_part", "_at", "_base")
+def bootstrap(df: DataFrame, key: str, multiplier: float = 1.0, name: str = "boot") -> DataFrame:
+    """(i, key): ``multiplier`` times as many rows as df has, drawn with replacement by md5 uniforms of i."""
+    n = df.count()
+    drawn = df.sparkSession.range(int(n * multiplier)).select(F.col("id").alias("i"), F.floor(uniform(name, F.col("id")) * n).alias("k"))
+    return drawn.join(numbered(df.select(key), key), "k").select("i", key)
 
 
 def jitter(value: Column, key: Column, sigma: float) -> Column:
@@ -26,8 +24,8 @@ def jitter(value: Column, key: Column, sigma: float) -> Column:
 def class_shuffle(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """(draw, columns): as many rows as df has, every column drawn on its own from df's rows, with replacement. Positions are
     drawn, then joined; columns follow each other, so rows of one draw come from different rows of df."""
-    rows = numbered(df.select(key, *columns), key).drop(key).persist()
-    n = rows.count()
+    rows = numbered(df.select(key, *columns), key).drop(key)
+    n = df.count()
     out = df.sparkSession.range(n).withColumnRenamed("id", "draw")
     for c in columns:
         one = rows.select("k", c)
@@ -49,6 +47,18 @@ def relaxed_thresholds(df: DataFrame, score: str, positive: float, negative: flo
     return df.agg(*each).select(F.inline(F.array(first("pos"), first("neg"))))
 
 
+def pseudo_percentile(df: DataFrame, score: str, key: str, high: float, low: float, least: int = 50) -> DataFrame:
+    """(key, label): 1 for scores at or above the high quantile, 0 at or below the low one; if fewer than ``least`` rows are
+    positive so, the ``least`` highest scores are, ties by key."""
+    top, bottom = quantiles(df, {score: [high, low]})[score]
+    if top is None:
+        return df.limit(0).select(key, F.lit(1).alias("label"))
+    few = df.where(F.col(score) >= top).limit(least).count() < least
+    chosen = best(df, score, key, least).select(key) if few else df.where(F.col(score) >= top).select(key)
+    rest = df.where(F.col(score) <= bottom).join(chosen, key, "left_anti") if few else df.where((F.col(score) <= bottom) & (F.col(score) < top))
+    return chosen.select(key, F.lit(1).alias("label")).unionByName(rest.select(key, F.lit(0).alias("label")))
+
+
 def drop_top(importance: DataFrame, k: int) -> DataFrame:
     """(column, importance, covered): the k columns of the largest importance, ties by name, and the share of all importance
     that they have together. A row for each column comes in, so a global order is small."""
@@ -61,6 +71,7 @@ def drop_top(importance: DataFrame, k: int) -> DataFrame:
 def composite(df: DataFrame, label: str = "y", score: str = "s") -> DataFrame:
     """(threshold, n_pred_pos, composite) at every distinct cut: weighted F1, AUC, precision, recall, balanced accuracy and
     specificity."""
+    # fixed values: the weights
     c = curve(df, label, score).crossJoin(F.broadcast(auc(df, label, score)))
     p, r, s = F.col("tp") / F.col("n_pred_pos"), F.col("tp") / (F.col("tp") + F.col("fn")), F.col("tn") / (F.col("tn") + F.col("fp"))
     return c.select("threshold", "n_pred_pos", (0.3 * F.col("binary_f1") + 0.25 * F.col("auc") + 0.15 * p + 0.15 * r + 0.1 * (r + s) / 2 + 0.05 * s).alias("composite"))
@@ -70,7 +81,7 @@ def plateau_rate(df: DataFrame, label: str = "y", score: str = "s", tol: float =
     """(n_plateau, rate): the share of rows above the middle of the cuts whose composite is within tol of the best."""
     c = composite(df, label, score)
     near = c.crossJoin(F.broadcast(c.agg(F.max("composite").alias("best")))).where(F.col("composite") >= F.col("best") - tol)
-    k = near.agg(F.count("*").alias("n_plateau"), F.floor(F.percentile("n_pred_pos", F.lit(0.5))).alias("k"))
+    k = near.agg(F.count("*").alias("n_plateau"), F.lit(quantiles(near, {"n_pred_pos": [0.5]})["n_pred_pos"][0]).cast("long").alias("k"))
     return k.crossJoin(F.broadcast(df.agg(F.count("*").alias("n")))).select("n_plateau", (F.col("k") / F.col("n")).alias("rate"))
 
 

@@ -6,11 +6,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wicker.operators.order import quantiles
+
 
 def bounds(df: DataFrame, columns: list[str], low: float = 0.0, high: float = 1.0) -> DataFrame:
     """One row: c_lo and c_hi for each column, quantiles or, at 0 and 1, the extremes."""
-    edge = lambda c, p, f: f(c) if p in (0.0, 1.0) else F.percentile(c, F.lit(p))
-    return df.agg(*(x for c in columns for x in (edge(c, low, F.min).alias(f"{c}_lo"), edge(c, high, F.max).alias(f"{c}_hi"))))
+    inner = [p for p in (low, high) if p not in (0.0, 1.0)]
+    found = quantiles(df, {c: inner for c in columns}) if inner else {}
+    edge = lambda c, p, f: f(c) if p in (0.0, 1.0) else F.lit(found[c][inner.index(p)]).cast("double")
+    return df.agg(F.lit(0).alias("_"), *(x for c in columns for x in (edge(c, low, F.min).alias(f"{c}_lo"), edge(c, high, F.max).alias(f"{c}_hi")))).drop("_")
 
 
 def clip(df: DataFrame, columns: list[str], fitted: DataFrame) -> DataFrame:
@@ -26,9 +30,10 @@ def standard_scale(df: DataFrame, columns: list[str], fitted_on: DataFrame) -> D
 
 
 def robust_scale(df: DataFrame, columns: list[str], fitted_on: DataFrame, low: float = 0.25, high: float = 0.75) -> DataFrame:
-    fitted = fitted_on.agg(*(F.percentile(c, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias(f"{c}_q") for c in columns))
-    out = {c: (F.col(c) - F.col(f"{c}_q")[1]) / F.when(F.col(f"{c}_q")[2] == F.col(f"{c}_q")[0], 1.0).otherwise(F.col(f"{c}_q")[2] - F.col(f"{c}_q")[0]) for c in columns}
-    return df.crossJoin(F.broadcast(fitted)).withColumns(out).drop(*fitted.columns)
+    """Centred on the median, in units of the distance between two quantiles, 1 where that is none; nulls without any value."""
+    found = quantiles(fitted_on, {c: [low, 0.5, high] for c in columns})
+    spread = lambda q: 1.0 if q[2] is None or q[2] == q[0] else q[2] - q[0]
+    return df.withColumns({c: (F.col(c) - F.lit(found[c][1]).cast("double")) / F.lit(spread(found[c])) for c in columns})
 
 
 def interactions(columns: list[str]) -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wicker.operators import encode as E, evaluate as V, profile as P, resample as R, transform as T
-from wicker.plans.queries import AUC, CURVE, NUMBERS, OOF, ORACLE, RANK, RAW, each, folded, query, rounded, split
+from wicker.plans.queries import AUC, COPIES, CURVE, EQUAL, NUMBERS, OOF, ORACLE, RANK, RAW, column_pairs, each, folded, query, rounded, split
 from wicker.plans.scoring import F1, PRED, pred
 from wicker.sources.tables import SCORES, WIDE, read, scores, wide
 
@@ -129,17 +129,18 @@ def ghost_recurrence(spark, d):
     return P.ghost_values(wide(spark, d), RAW).groupBy(F.round("v", 2).alias("v")).agg(F.count("*").alias("n"))
 
 
-PAIRED = "SELECT 'a_price' AS kept, 'dup' AS dropped FROM wide {w} HAVING bool_and(o_totalprice IS NOT DISTINCT FROM o_totalprice)"
+BOTH = ["a_price", "c_acctbal", "dup", "sent"]
+SIDES = "copies AS (SELECT *, sent FROM (SELECT row_id, is_train, o_totalprice AS a_price, o_totalprice AS dup, c_acctbal, sent FROM wide)), one AS (SELECT * FROM copies WHERE is_train = 1), two AS (SELECT * FROM copies WHERE is_train = 0)"
 
 
-@query(f"SELECT * FROM ({PAIRED.format(w='WHERE is_train = 1')}) INTERSECT SELECT * FROM ({PAIRED.format(w='WHERE is_train = 0')})", WIDE)
+@query(f"SELECT min(a) AS kept, b AS dropped FROM (SELECT * FROM ({column_pairs(EQUAL, BOTH, 'one')}) INTERSECT SELECT * FROM ({column_pairs(EQUAL, BOTH, 'two')})) GROUP BY b", WIDE, SIDES)
 def duplicate_columns_both(spark, d):
     w = wide(spark, d).select("row_id", "is_train", F.col("o_totalprice").alias("a_price"), F.col("o_totalprice").alias("dup"), "c_acctbal", "sent")
     one, two = (P.duplicate_columns(part, ["a_price", "dup", "c_acctbal", "sent"], "row_id") for part in split(w))
     return one.intersect(two)
 
 
-@query("SELECT 'const' AS \"column\" FROM wide HAVING min(1) = max(1) UNION SELECT 'dup'", WIDE)
+@query("SELECT DISTINCT \"column\" FROM (" + each("SELECT '{c}' AS \"column\" FROM copies HAVING min({c}) = max({c})", ["a_price", "c_acctbal", "const", "dup"]) + f" UNION ALL SELECT b FROM ({column_pairs(EQUAL, ['a_price', 'c_acctbal', 'const', 'dup'])}))", WIDE, COPIES)
 def droppable_columns(spark, d):
     w = wide(spark, d).select("row_id", F.col("o_totalprice").alias("a_price"), F.col("o_totalprice").alias("dup"), "c_acctbal", F.lit(1.0).alias("const"))
     names = w.columns[1:]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wicker.operators import encode as E, evaluate as V, profile as P, transform as T
+from wicker.operators.order import dealt, quantiles
 from wicker.sources.tables import SCORES, WIDE, read, scores, wide
 
 QUERIES, ORACLE = {}, {}
@@ -63,8 +64,8 @@ def fill_zero(spark, d):
 @query("SELECT row_id, round(coalesce(nullif(sent, -999999), (SELECT quantile_cont(nullif(sent, -999999), 0.5) FROM wide WHERE is_train = 1)), 6) AS v FROM wide", WIDE)
 def fill_median(spark, d):
     w = wide(spark, d).withColumn("v", F.nullif("sent", F.lit(-999999.0)))
-    m = split(w)[0].agg(F.median("v").alias("m"))
-    return w.crossJoin(F.broadcast(m)).select("row_id", F.round(F.coalesce("v", "m"), 6).alias("v"))
+    m = quantiles(split(w)[0], {"v": [0.5]})["v"][0]
+    return w.select("row_id", F.round(F.coalesce("v", F.lit(m).cast("double")), 6).alias("v"))
 
 
 @query("SELECT row_id, CASE WHEN sparse = 0 THEN NULL ELSE round(o_totalprice / sparse, 6) END AS v FROM wide", WIDE)
@@ -100,9 +101,10 @@ def target_balance(spark, d):
     return wide(spark, d).agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.round(F.avg("y"), 9).alias("rate"))
 
 
-@query("SELECT sum((nullif(sent, -999999) IS NULL)::INT)::BIGINT AS missing FROM wide", WIDE)
+@query("SELECT sum((nullif(sent, -999999) IS NULL)::INT + (nullif(sparse, 0) IS NULL)::INT + (nullif(c_nationkey, 3) IS NULL)::INT + (c_mktsegment IS NULL)::INT)::BIGINT AS missing FROM wide", WIDE)
 def missing_cells(spark, d):
-    return wide(spark, d).agg(F.sum(F.nullif("sent", F.lit(-999999.0)).isNull().cast("long")).alias("missing"))
+    null = {"sent": -999999.0, "sparse": 0.0, "c_nationkey": 3.0}
+    return P.missing_cells(wide(spark, d).withColumns({c: F.nullif(c, F.lit(v)) for c, v in null.items()}), [*null, "c_mktsegment"])
 
 
 def each(sql: str, columns: list[str]) -> str:
@@ -205,26 +207,37 @@ def duplicate_rows(spark, d):
     return P.duplicate_rows(read(spark, d, "documents"), ["text"])
 
 
-@query("SELECT text, count(*)::BIGINT AS n, count(DISTINCT quality)::BIGINT AS labels, round(avg(quality), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT quality) > 1")
+@query("SELECT c_nationkey, c_mktsegment, o_orderpriority, count(*)::BIGINT AS n, count(DISTINCT y)::BIGINT AS labels, round(avg(y), 6) AS rate FROM wide GROUP BY 1, 2, 3 HAVING count(*) > 1 AND count(DISTINCT y) > 1", WIDE)
 def label_conflicts(spark, d):
-    return P.label_conflicts(read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id"), ["text"], "quality")
+    return P.label_conflicts(wide(spark, d), ["c_nationkey", "c_mktsegment", "o_orderpriority"], "y")
 
 
-@query("SELECT 'a_price' AS kept, 'dup' AS dropped", WIDE)
+COPIES = "copies AS (SELECT row_id, is_train, o_totalprice AS a_price, o_totalprice AS dup, 2 * o_totalprice AS scaled, c_acctbal, 1.0::DOUBLE AS const FROM wide)"
+
+
+def column_pairs(test: str, columns: list[str], frame: str = "copies") -> str:
+    """SQL for the pairs (a, b) of columns that pass a test, an aggregate over the frame with {a} and {b}."""
+    return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b FROM {frame} HAVING {test.format(a=a, b=b)}" for i, a in enumerate(columns) for b in columns[i + 1 :])
+
+
+COPIED, EQUAL = ["a_price", "c_acctbal", "const", "dup", "scaled"], "bool_and({a} IS NOT DISTINCT FROM {b})"
+
+
+@query(f"SELECT min(a) AS kept, b AS dropped FROM ({column_pairs(EQUAL, COPIED)}) GROUP BY b", WIDE, COPIES)
 def duplicate_columns(spark, d):
     w = wide(spark, d).select("row_id", F.col("o_totalprice").alias("a_price"), F.col("o_totalprice").alias("dup"), (2 * F.col("o_totalprice")).alias("scaled"), "c_acctbal", F.lit(1.0).alias("const"))
     return P.duplicate_columns(w, ["a_price", "dup", "scaled", "c_acctbal", "const"], "row_id")
 
 
-@query("SELECT * FROM (VALUES ('a_price', 'a_price'), ('dup', 'a_price'), ('scaled', 'a_price'), ('c_acctbal', 'c_acctbal')) t(\"column\", \"group\")", WIDE)
+@query("SELECT c AS \"column\", coalesce(min(a), c) AS \"group\" FROM (SELECT unnest(['a_price', 'c_acctbal', 'dup', 'scaled']) AS c) LEFT JOIN (" + column_pairs("abs(corr({a}, {b})) > 0.999", ["a_price", "c_acctbal", "dup", "scaled"]) + ") ON b = c GROUP BY c", WIDE, COPIES)
 def near_duplicate_columns(spark, d):
     w = wide(spark, d).select(F.col("o_totalprice").alias("a_price"), F.col("o_totalprice").alias("dup"), (2 * F.col("o_totalprice")).alias("scaled"), "c_acctbal")
     return P.near_duplicate_columns(w, w.columns)
 
 
-@query("SELECT count(*)::BIGINT AS n, true AS unique_key, true AS no_nulls, true AS binary, avg(y4) > 0.01 AND avg(y4) < 0.15 AS plausible FROM wide", WIDE)
+@query("SELECT count(*)::BIGINT AS n, count(DISTINCT row_id) = count(*) AS unique_key, count(y4) = count(*) AS no_nulls, bool_and(y4 IN (0, 1)) AS binary, avg(y4) > 0.01 AND avg(y4) < 0.15 AS plausible, (SELECT count(*) FROM (SELECT row_id FROM wide EXCEPT SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders EXCEPT SELECT row_id FROM wide)) = 0 AS same_keys, count(*) = (SELECT count(*) FROM orders) AS same_count FROM wide", WIDE)
 def validate_output(spark, d):
-    return P.contract(wide(spark, d), "row_id", "y4", 0.01, 0.15)
+    return P.contract(wide(spark, d), "row_id", "y4", 0.01, 0.15, read(spark, d, "orders").select(F.col("o_orderkey").alias("row_id")))
 
 
 @query("SELECT c_nationkey, c_mktsegment, count(*)::BIGINT AS n, round(avg(y), 9) AS rate, round(stddev(y), 9) AS spread FROM wide GROUP BY 1, 2", WIDE)
@@ -470,9 +483,9 @@ def shift_holdout(spark, d):
 @query("SELECT round_, row_id, y FROM (SELECT round_, row_id, y, row_number() OVER (PARTITION BY round_, y ORDER BY md5(row_id::VARCHAR || ':' || round_::VARCHAR), row_id) AS k FROM wide, range(3) t(round_)) WHERE k <= (SELECT sum(y) FROM wide)", WIDE)
 def balanced_bags(spark, d):
     w = wide(spark, d)
-    k = F.row_number().over(Window.partitionBy("round_", "y").orderBy(F.md5(F.concat_ws(":", "row_id", "round_").cast("binary")), "row_id"))
-    rounds = w.select("row_id", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("round_")).withColumn("k", k)
-    return rounds.crossJoin(F.broadcast(w.agg(F.sum("y").alias("pos")))).where("k <= pos").select("round_", "row_id", "y")
+    rounds = w.select("row_id", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("round_"))
+    placed = dealt(rounds, F.md5(F.concat_ws(":", "row_id", "round_").cast("binary")), ["row_id"], ["round_", "y"])
+    return placed.crossJoin(F.broadcast(w.agg(F.sum("y").alias("pos")))).where("k < pos").select("round_", "row_id", "y")
 
 
 UNI = "(('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"

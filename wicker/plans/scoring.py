@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from wicker.operators import encode as E, evaluate as V, profile as P, transform as T
+from wicker.operators import encode as E, evaluate as V, profile as P, resample as R, transform as T
+from wicker.operators.order import dealt, numbered, quantiles
 from wicker.plans.queries import FOLDED, NUMBERS, RAW, UNI, each, query, rounded, split
-from wicker.sources.tables import SCORES, WIDE, read, scores, wide
+from wicker.sources.tables import SCORES, WIDE, contract_columns, read, scores, wide
 
 #: Two scores from hashes beside a label.
 PRED = f"pred AS (SELECT id, y, {UNI} AS p, {UNI.replace('id::VARCHAR', chr(39) + 'b' + chr(39) + ' || id::VARCHAR')} AS q FROM scores)"
@@ -19,9 +20,9 @@ def pred(spark, d):
 # -- contracts
 
 
-@query("SELECT count(*)::BIGINT AS n, min(p) > -1e-9 AND max(p) < 1 AS inside, count(DISTINCT id) = count(*) AS unique_id FROM pred", SCORES, PRED)
+@query("SELECT count(*)::BIGINT AS n, min(id) = 0 AND max(id) = count(*) - 1 AND count(DISTINCT id) = count(*) AS dense_keys, bool_and(p IS NOT NULL AND isfinite(p)) AS finite, bool_and(p > 0 AND p < 1) AS inside FROM pred", SCORES, PRED)
 def validate_proba(spark, d):
-    return pred(spark, d).agg(F.count("*").alias("n"), ((F.min("p") > -1e-9) & (F.max("p") < 1)).alias("inside"), (F.count_distinct("id") == F.count("*")).alias("unique_id"))
+    return P.probability_contract(pred(spark, d), "id", "p")
 
 
 @query("SELECT round(avg((p >= 0.8)::INT) / avg(y), 9) AS ratio, avg((p >= 0.8)::INT) / avg(y) BETWEEN 0.5 AND 2 AS expected FROM pred", SCORES, PRED)
@@ -41,18 +42,22 @@ def predictions_by_id(spark, d):
     return wide(spark, d).join(pred(spark, d), F.col("row_id") == F.col("id")).select("row_id", "p")
 
 
-@query("SELECT column_name AS \"column\" FROM (VALUES ('o_totalprice'), ('c_acctbal'), ('c_nationkey'), ('custkey'), ('sent'), ('sparse')) t(column_name)")
+#: Names and types of the columns of wide, from its first row.
+TYPED = "typed AS (SELECT unnest(json_keys(j)) AS name, unnest([lower(x) FOR x IN t]) AS kind FROM (SELECT to_json(wide) AS j, [" + ", ".join(f"typeof({c})" for c in ("row_id", "o_totalprice", "c_acctbal", "c_nationkey", "custkey", "cust", "o_orderpriority", "c_mktsegment", "y", "y4", "is_train", "sent", "sparse")) + "] AS t FROM wide LIMIT 1))"
+
+
+@query("SELECT name AS \"column\" FROM typed WHERE kind = 'double'", WIDE, TYPED)
 def schema_roles(spark, d):
     names = [(f.name,) for f in wide(spark, d).schema if f.dataType.typeName() == "double"]
     return spark.createDataFrame(names, "column string")
 
 
-@query("SELECT * FROM (VALUES ('bigint', 1::BIGINT), ('double', 6::BIGINT), ('int', 3::BIGINT), ('string', 3::BIGINT)) t(kind, n)")
+@query("SELECT CASE kind WHEN 'integer' THEN 'int' WHEN 'varchar' THEN 'string' ELSE kind END AS kind, count(*)::BIGINT AS n FROM typed GROUP BY 1", WIDE, TYPED)
 def schema_report(spark, d):
     return spark.createDataFrame([(t,) for _, t in wide(spark, d).dtypes], "kind string").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'orders' AS \"group\", 2::BIGINT AS n UNION ALL SELECT 'customers', 3 UNION ALL SELECT 'other', 8")
+@query("SELECT CASE WHEN starts_with(name, 'o_') THEN 'orders' WHEN starts_with(name, 'c_') THEN 'customers' ELSE 'other' END AS \"group\", count(*)::BIGINT AS n FROM typed GROUP BY 1", WIDE, TYPED)
 def column_groups(spark, d):
     group = lambda c: "orders" if c.startswith("o_") else "customers" if c.startswith("c_") else "other"
     return spark.createDataFrame([(group(c),) for c in wide(spark, d).columns], "group string").groupBy("group").agg(F.count("*").alias("n"))
@@ -60,10 +65,7 @@ def column_groups(spark, d):
 
 @query("SELECT row_id, y, o_totalprice FROM wide", WIDE)
 def column_contract(spark, d):
-    w, order = wide(spark, d), ["row_id", "y", "o_totalprice"]
-    if set(order) - set(w.columns):
-        raise ValueError(f"columns are missing: {sorted(set(order) - set(w.columns))}")
-    return w.select(*order)
+    return contract_columns(wide(spark, d), ["row_id", "y", "o_totalprice"])[0]
 
 
 # -- profiles
@@ -90,8 +92,9 @@ def dominant_value(spark, d):
 @query("SELECT count(*) FILTER (o_totalprice < q)::BIGINT AS below, (SELECT min(o_totalprice) FROM wide WHERE o_totalprice > (SELECT min(o_totalprice) FROM wide)) AS second FROM wide, (SELECT quantile_cont(o_totalprice, 0.01) AS q FROM wide)", WIDE)
 def tail_profile(spark, d):
     w = wide(spark, d)
-    q = w.agg(F.percentile("o_totalprice", F.lit(0.01)).alias("q"), F.min("o_totalprice").alias("least"))
-    return w.crossJoin(F.broadcast(q)).agg(F.count_if(F.col("o_totalprice") < F.col("q")).alias("below"), F.min(F.when(F.col("o_totalprice") > F.col("least"), F.col("o_totalprice"))).alias("second"))
+    q = quantiles(w, {"o_totalprice": [0.01]})["o_totalprice"][0]
+    least = w.agg(F.min("o_totalprice").alias("least"))
+    return w.crossJoin(F.broadcast(least)).agg(F.count_if(F.col("o_totalprice") < F.lit(q)).alias("below"), F.min(F.when(F.col("o_totalprice") > F.col("least"), F.col("o_totalprice"))).alias("second"))
 
 
 @query(each("SELECT '{c}' AS \"column\", avg((abs({c} - round({c})) <= 1e-8 + 1e-5 * abs(round({c})))::INT) >= 0.99 AS integer_like FROM wide", NUMBERS), WIDE)
@@ -103,7 +106,8 @@ def integer_like(spark, d):
 def value_uniqueness(spark, d):
     w = wide(spark, d)
     n = w.groupBy("c_acctbal").agg(F.count("*").alias("n"))
-    return w.join(n, "c_acctbal").select("row_id", "n", (F.col("n") == 1).alias("single"))
+    n = n.withColumnRenamed("c_acctbal", "_v")
+    return w.join(n, F.col("c_acctbal").eqNullSafe(F.col("_v"))).select("row_id", "n", (F.col("n") == 1).alias("single"))
 
 
 @query("SELECT bool_or(length(v) > 15 AND starts_with(v, 'yes')) AS is_text_boolean FROM (SELECT CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END || ', this item was flagged by review' AS v FROM labels ORDER BY doc_id LIMIT 300)")
@@ -126,13 +130,14 @@ def flag_rate_shift(spark, d):
 @query("SELECT doc_id, dense_rank() OVER (ORDER BY source, lang)::BIGINT AS g FROM documents")
 def group_number(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "source", "lang")
-    keys = docs.select("source", "lang").distinct().withColumn("g", F.row_number().over(Window.orderBy("source", "lang")).cast("long"))
-    return docs.join(keys, ["source", "lang"]).select("doc_id", "g")
+    keys = numbered(docs.select("source", "lang").distinct(), "source", "lang", name="g").withColumn("g", F.col("g") + 1)
+    return docs.join(keys.withColumnsRenamed({"source": "_s", "lang": "_l"}), F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l"))).select("doc_id", "g")
 
 
 @query("SELECT doc_id, greatest(m, 1 - m) AS w FROM (SELECT doc_id, avg(quality) OVER (PARTITION BY text) AS m FROM documents JOIN labels USING (doc_id))")
 def purity_weight(spark, d):
     rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", "text", "quality")
+    rows = rows.withColumn("text", F.coalesce(F.sha2("text", 256), F.lit("")))  # texts are compared by digest, null to null
     m = rows.groupBy("text").agg(F.avg("quality").alias("m"))
     return rows.join(m, "text").select("doc_id", F.greatest("m", 1 - F.col("m")).alias("w"))
 
@@ -151,7 +156,8 @@ def union_tagged(spark, d):
 
 @query("SELECT round(quantile_cont(p, 0.9), 9) AS p90, round(quantile_cont(p, 0.95), 9) AS p95, round(quantile_cont(p, 0.99), 9) AS p99 FROM pred", SCORES, PRED)
 def score_percentiles(spark, d):
-    return pred(spark, d).agg(*(F.round(F.percentile("p", F.lit(x / 100)), 9).alias(f"p{x}") for x in (90, 95, 99)))
+    found = quantiles(pred(spark, d), {"p": [0.9, 0.95, 0.99]})["p"]
+    return spark.createDataFrame([tuple(round(x, 9) for x in found)], "p90 double, p95 double, p99 double")
 
 
 @query("SELECT round(corr(p, q), 9) AS r FROM pred", SCORES, PRED)
@@ -214,8 +220,7 @@ def composite_score(spark, d):
 @query("SELECT id, (row_number() OVER (ORDER BY p DESC, id) <= round(0.2 * (SELECT count(*) FROM pred)))::INT AS label FROM pred", SCORES, PRED)
 def topk_rate_label(spark, d):
     df = pred(spark, d)
-    top = df.orderBy(F.desc("p"), "id").limit(round(0.2 * df.count())).select("id", F.lit(1).alias("top"))
-    return df.join(top, "id", "left").select("id", F.coalesce("top", F.lit(0)).alias("label"))
+    return numbered(df.select("id", "p"), -F.col("p"), "id").select("id", (F.col("k") < round(0.2 * df.count())).cast("int").alias("label"))
 
 
 @query("SELECT id, greatest(0.001, least(0.999, p + 0.5 - 0.375)) AS p FROM pred", SCORES, PRED)
@@ -225,17 +230,15 @@ def affine_shift(spark, d):
 
 @query("SELECT id, CASE WHEN p >= a THEN 1 ELSE 0 END::INT AS label FROM pred, (SELECT quantile_cont(p, 0.99) AS a, quantile_cont(p, 0.3) AS b FROM pred) WHERE p >= a OR p <= b", SCORES, PRED)
 def pseudo_percentile(spark, d):
-    df = pred(spark, d)
-    q = df.agg(F.percentile("p", F.array(F.lit(0.99), F.lit(0.3))).alias("cut"))
-    return df.crossJoin(F.broadcast(q)).where("p >= cut[0] or p <= cut[1]").select("id", (F.col("p") >= F.col("cut")[0]).cast("int").alias("label"))
+    return R.pseudo_percentile(pred(spark, d), "p", "id", 0.99, 0.3)
 
 
 @query("SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5(id::VARCHAR), id) AS k, sum(label) OVER () AS pos FROM (SELECT id, (p > 0.99)::INT AS label FROM pred WHERE p > 0.99 OR p < 0.5)) WHERE label = 1 OR k <= 10 * pos", SCORES, PRED)
 def pseudo_cap(spark, d):
     df = pred(spark, d).where("p > 0.99 or p < 0.5").select("id", (F.col("p") > 0.99).cast("int").alias("label"))
     pos = df.where("label = 1")
-    some = df.where("label = 0").orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(10 * pos.count())
-    return pos.unionByName(some)
+    some = dealt(df.where("label = 0"), F.md5(F.col("id").cast("string").cast("binary")), ["id"])
+    return pos.unionByName(some.where(F.col("k") < 10 * pos.count()).drop("k"))
 
 
 @query("SELECT row_id, fold FROM folded UNION ALL SELECT -id, -1 FROM pred WHERE p > 0.95", WIDE, FOLDED, SCORES, PRED)
@@ -254,10 +257,7 @@ def round_codes(spark, d):
     return pred(spark, d).select("id", F.greatest(F.lit(0), F.least(F.floor(F.col("p") * 12 + 0.5), F.lit(9))).cast("int").alias("code"))
 
 
-@query("SELECT i::BIGINT AS i, row_id FROM (SELECT i, ((('0x' || substr(md5('boot' || i::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * (SELECT count(*) FROM wide))::DOUBLE AS u FROM range(500) t(i)) JOIN (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS k FROM wide) ON k = floor(u)", WIDE)
+@query("SELECT i::BIGINT AS i, row_id FROM (SELECT i, ((('0x' || substr(md5('boot' || i::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * (SELECT count(*) FROM wide))::DOUBLE AS u FROM (SELECT row_number() OVER () - 1 AS i FROM wide)) JOIN (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS k FROM wide) ON k = floor(u)", WIDE)
 def bootstrap_rows(spark, d):
     w = wide(spark, d).select("row_id")
-    n = w.count()
-    numbered = w.select("row_id", (F.row_number().over(Window.orderBy("row_id")) - 1).cast("long").alias("k"))
-    drawn = spark.range(500).select(F.col("id").alias("i"), F.floor(V.uniform("boot", F.col("id")) * n).alias("k"))
-    return drawn.join(numbered, "k").select("i", "row_id")
+    return R.bootstrap(w, "row_id", 1.0)

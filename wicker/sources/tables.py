@@ -11,19 +11,53 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV file with a header and a declared schema; nothing is inferred."""
-    return spark.read.schema(schema).csv(path, header=True)
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A CSV file or folder with headers: with a declared schema, else one inferred in a pass of its own; only ``columns``,
+    if given, are parsed."""
+    reader = spark.read.schema(schema) if schema else spark.read.option("inferSchema", True)
+    df = reader.csv(path, header=True, escape='"')
+    return df.select(*columns) if columns else df
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV part files with headers, written by all executors."""
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def write_report(df: DataFrame, path: str, separator: str = " | ") -> None:
+    """A folder of text files with a line for each row: its values, null as an empty string."""
+    df.select(F.concat_ws(separator, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("line")).write.mode("overwrite").text(path)
+
+
+def first_existing(spark: SparkSession, candidates: list[str]) -> str:
+    """The first of the paths that exists, in whatever file system it names."""
+    for path in candidates:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
+            return path
+    raise FileNotFoundError(f"none of {candidates} exists")
+
+
+def all_columns(*frames: DataFrame) -> list[str]:
+    """The union of the frames' column names, sorted."""
+    return sorted({c for df in frames for c in df.columns})
+
+
+def contract_columns(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+    """df in a saved column order, and the columns that it has beyond; missing ones are an error."""
+    missing = sorted(set(order) - set(df.columns))
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    return df.select(*order), [c for c in df.columns if c not in order]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where all executors can read what others write: the session's spark.checkpoint.dir; unset, as in tests, a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared")
+    """Where all executors can read what others write: the session's spark.checkpoint.dir; unset, a temporary folder, but only if
+    driver and executors are one machine, as in tests."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="shared")
 
 
 def wide(spark: SparkSession, folder: str) -> DataFrame:
