@@ -9,6 +9,7 @@ import pytest
 
 import wicker.plans.queries as tabular
 import wicker.plans.further  # noqa: F401
+import wicker.plans.wider  # noqa: F401
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

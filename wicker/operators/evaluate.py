@@ -89,3 +89,28 @@ def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
     """The k rows with the highest scores, ties by key, from all rows' positions: k may be a share of the table."""
     last = F.when(F.col(score).isNull(), float("inf")).otherwise(-F.col(score))
     return numbered(df, last, key, name="_at").where(F.col("_at") < k).drop("_at")
+
+
+def fold_scores(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """(fold, f1): the F1 of each fold's rows at a threshold."""
+    said = F.col(score) >= threshold
+    return df.groupBy("fold").agg((2 * F.count_if(said & (F.col(label) == 1)) / F.nullif(F.count_if(said) + F.sum(label), F.lit(0))).alias("f1"))
+
+
+def best_grid_threshold(df: DataFrame, steps: int, label: str = "y", score: str = "s", default: float = 0.5) -> DataFrame:
+    """(threshold, f1): the first of the thresholds i / steps with the largest F1 that call any row positive, else the default."""
+    grid = threshold_grid(df, steps, label, score).where("n_pred_pos > 0")
+    best = grid.agg(F.max(F.struct(F.round("f1", 12).alias("f"), (-F.col("threshold")).alias("t"))).alias("b"))
+    return best.select(F.coalesce(-F.col("b.t"), F.lit(default)).alias("threshold"), F.coalesce("b.f", F.lit(0.0)).alias("f1"))
+
+
+def plateau_sensitivity(df: DataFrame, tolerances: tuple[float, ...], label: str = "y", score: str = "s") -> DataFrame:
+    """(tol, n_plateau, rate): for each tolerance, the cuts within it of the peak F1 and the middle of their counts as a share of
+    the rows. A number of quantiles that the tolerances give, all in the same passes."""
+    c = curve(df, label, score)
+    peak = c.agg(F.max("binary_f1").alias("peak"))
+    near = c.crossJoin(F.broadcast(peak)).select(*(F.when(F.col("binary_f1") >= F.col("peak") - t, F.col("n_pred_pos")).alias(f"t{i}") for i, t in enumerate(tolerances)))
+    middle = quantiles(near, {f"t{i}": [0.5] for i in range(len(tolerances))})
+    n, held = df.where(F.col(score).isNotNull()).count(), near.agg(*(F.count(x).alias(x) for x in near.columns)).first()
+    rows = [(t, held[f"t{i}"], int(middle[f"t{i}"][0]) / n) for i, t in enumerate(tolerances) if held[f"t{i}"]]
+    return df.sparkSession.createDataFrame(rows, "tol double, n_plateau long, rate double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wicker.operators.evaluate import auc, folds, uniform
-from wicker.operators.order import numbered, quantiles
+from wicker.operators.order import dealt, quantiles
 from wicker.sources.tables import shared_folder
 
 
@@ -33,8 +34,10 @@ def forest(trees: int = 20, depth: int = 6) -> Estimator:
     return RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees, maxDepth=depth, seed=7)
 
 
-def boosted(rounds: int = 10, depth: int = 4) -> Estimator:
-    return GBTClassifier(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, seed=7)
+def boosted(rounds: int = 10, depth: int = 4, holdout: str | None = None) -> Estimator:
+    """Boosted trees; rows with holdout true aren't fitted, and rounds end where these gain less than 0.001."""
+    early = {"validationIndicatorCol": holdout, "validationTol": 0.001} if holdout else {}
+    return GBTClassifier(featuresCol="features", labelCol="y", maxIter=rounds, maxDepth=depth, seed=7, **early)
 
 
 def tree(depth: int = 30) -> Estimator:
@@ -48,16 +51,62 @@ def ridge() -> Estimator:
     return Pipeline(stages=[linear, VectorAssembler(inputCols=["linear"], outputCol="score"), LogisticRegression(featuresCol="score", labelCol="y")])
 
 
-def out_of_fold(df: DataFrame, model: Estimator, key: str = "row_id", k: int = 3) -> DataFrame:
+def out_of_fold(df: DataFrame, model: Estimator, key: str = "row_id", k: int = 3, holdout: str | None = None) -> DataFrame:
     """(key, fold, y, p): each row scored by a model of the other folds. df has features, y and fold. Folds, not rows, are
-    looped over; scores stay distributed."""
+    looped over; scores stay distributed. holdout names a column for early stopping, true for a tenth of the rows. The
+    rows are kept in memory while models are fitted."""
+    if holdout:
+        df = df.withColumn(holdout, uniform("early", F.col(key)) < 0.1)
     df = df.persist()
-    parts = [model.fit(df.where(F.col("fold") != i)).transform(df.where(F.col("fold") == i)) for i in range(k)]
-    out = [p.select(key, "fold", "y", vector_to_array("probability")[1].alias("p")) for p in parts]
-    whole = out[0]
-    for p in out[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    try:
+        models = [model.fit(df.where(F.col("fold") != i)) for i in range(k)]
+    finally:
+        df.unpersist()
+    return union([m.transform(df.where(F.col("fold") == i)).select(key, "fold", "y", vector_to_array("probability")[1].alias("p")) for i, m in enumerate(models)])
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def out_of_fold_smote(df: DataFrame, columns: list[str], model: Estimator, ratio: float, key: str = "row_id", k: int = 3) -> DataFrame:
+    """(key, fold, y, p): out of fold as above, where each model is fitted on its folds and synthetic rows made of them alone."""
+    parts = []
+    for i in range(k):
+        train = df.where(F.col("fold") != i)
+        made = smote(train, columns, "y", key, ratio).select(F.lit(1).alias("y"), *columns)
+        fitted = model.fit(assemble(train.select("y", *columns).unionByName(made), columns))
+        parts.append(fitted.transform(assemble(df.where(F.col("fold") == i), columns)).select(key, "fold", "y", vector_to_array("probability")[1].alias("p")))
+    return union(parts)
+
+
+def averaged_over_folds(train: DataFrame, test: DataFrame, model: Estimator, key: str = "row_id", k: int = 3) -> DataFrame:
+    """(key, p): test rows' mean score over the models of the training folds. A row's scores are columns side by side."""
+    scored = test
+    for i in range(k):
+        fitted = model.fit(train.where(F.col("fold") != i))
+        scored = fitted.transform(scored).withColumn(f"_p{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    return scored.select(key, (sum((F.col(f"_p{i}") for i in range(k)), F.lit(0.0)) / k).alias("p"))
+
+
+def projected(df: DataFrame, fitted_on: DataFrame, vector: str, target: float = 0.95) -> DataFrame:
+    """df with pc, its vectors on the first components of fitted_on's PCA that explain ``target`` of the variance."""
+    raw = lambda x: x.withColumn("_raw", array_to_vector(vector))
+    centre = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=False).fit(raw(fitted_on))
+    rows = centre.transform(raw(fitted_on))
+    found = PCA(k=centre.mean.size, inputCol="_x", outputCol="_pc").fit(rows)
+    kept = int(np.searchsorted(np.cumsum(found.explainedVariance.toArray()), target - 1e-12)) + 1
+    out = found.transform(centre.transform(raw(df)))
+    return out.withColumn("pc", F.slice(vector_to_array("_pc"), 1, kept)).drop("_raw", "_x", "_pc")
+
+
+def clusters(df: DataFrame, vector: str, sizes: tuple[int, ...], seed: int = 7) -> DataFrame:
+    """df with cluster_k and nearest_k, the distance to the own centre, for each number k of clusters."""
+    for k in sizes:
+        found = cluster_distances(df, vector, k, seed)
+        own = F.least(*(F.col(f"distance_{i}") for i in range(k))) if k > 1 else F.col("distance_0")
+        df = found.withColumn(f"nearest_{k}", own).withColumnRenamed("cluster", f"cluster_{k}").drop(*(f"distance_{i}" for i in range(k)))
+    return df
 
 
 def adversarial_auc(train: DataFrame, test: DataFrame, columns: list[str], key: str) -> DataFrame:
@@ -239,5 +288,7 @@ def smote(df: DataFrame, columns: list[str], label: str, key: str, ratio: float,
     drawn = near.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, times))))).withColumn("u", uniform(F.concat_ws(":", "source", "neighbour", "copy")))
     one = drawn.withColumn("r", F.row_number().over(Window.partitionBy("source", "copy").orderBy("u", "neighbour"))).where("r = 1")
     share = uniform(F.concat_ws("|", "source", "copy"))
-    rows = numbered(one, "copy", F.md5(F.col("source").cast("string").cast("binary")), "source", name="_at").where(F.col("_at") < want)
+    minority = df.where(F.col(label) == 1).select(F.col(key).alias("source"))
+    place = dealt(minority, F.md5(F.col("source").cast("string").cast("binary")), ["source"], name="_at")
+    rows = one.join(place, "source").where((F.col("copy") - 1) * n.get(1, 0) + F.col("_at") < want)  # the first in the order of copy and md5
     return rows.select("source", "copy", *((F.col("v")[i] + share * (F.col("w")[i] - F.col("v")[i])).alias(c) for i, c in enumerate(columns)), *(sides or []))

@@ -145,3 +145,19 @@ def missing_cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def flag_tables(df: DataFrame, flags: list[str], least: float) -> DataFrame:
+    """(a, b, both, only_a, only_b, neither) for the pairs of 0/1 columns with a correlation beyond ``least`` in size."""
+    pairs = [(r.a, r.b) for r in correlations(df, flags).where(F.abs("r") > least).collect()]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, both long, only_a long, only_b long, neither long")
+    hit = lambda a, b, x, y, name: F.count_if((F.col(a) == x) & (F.col(b) == y)).alias(name)
+    one = df.agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), hit(a, b, 1, 1, "both"), hit(a, b, 1, 0, "only_a"), hit(a, b, 0, 1, "only_b"), hit(a, b, 0, 0, "neither")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
+    return one.select(F.inline(F.array(*(f"_{i}" for i in range(len(pairs))))))
+
+
+def constant_sides(df: DataFrame, columns: list[str], side: str) -> DataFrame:
+    """(column, in_train, in_test): whether the rows with side 1, and those with 0, have at most one value."""
+    alone = lambda k: lambda c: F.coalesce(F.min(F.when(F.col(side) == k, c)) == F.max(F.when(F.col(side) == k, c)), F.lit(True))
+    return per_column(df, columns, in_train=alone(1), in_test=alone(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wicker.operators.evaluate import auc, curve, rank_norm, top as best, uniform
 from wicker.operators.order import numbered, quantiles
@@ -94,3 +94,13 @@ def blend_search(df: DataFrame, one: str, two: str, label: str, draws: int) -> D
     long = long.select(label, "candidate", "weight", F.round(F.col("weight") * F.col("a") + (1 - F.col("weight")) * F.col("b"), 12).alias("s"))
     found = auc(long, label, "s", ["candidate", "weight"])
     return found.select("candidate", F.round("weight", 9).alias("weight"), F.round("auc", 9).alias("auc")).orderBy(F.desc("auc"), "candidate").limit(1)
+
+
+def simplex(spark: SparkSession, models: int, draws: int) -> DataFrame:
+    """(candidate, weights): equal weights, each model alone, then ``draws`` from the flat Dirichlet law, by md5 uniforms."""
+    fixed = [[1 / models] * models] + [[float(i == j) for j in range(models)] for i in range(models)]
+    given = spark.createDataFrame(list(enumerate(fixed)), "candidate long, weights array<double>")
+    parts = F.array(*(-F.log(1 - uniform(f"simplex{i}:", F.col("id"))) for i in range(models)))
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    drawn = spark.range(draws).select((F.col("id") + len(fixed)).alias("candidate"), parts.alias("x")).select("candidate", F.transform("x", lambda v: v / total).alias("weights"))
+    return given.unionByName(drawn)

@@ -77,3 +77,18 @@ def row_stats(df: DataFrame, vector: str) -> DataFrame:
         "row_q25": row_quantile(F.col("_x"), 0.25), "row_q75": row_quantile(F.col("_x"), 0.75), "n_zero": F.size(F.filter("_x", lambda v: v == 0)).cast("long"), "n_negative": F.size(F.filter("_x", lambda v: v < 0)).cast("long"),
         "row_skew": F.when(F.col("_m2") > 0, F.col("_m3") / F.pow("_m2", F.lit(1.5))).when(F.col("_m2") == 0, 0.0), "row_kurt": F.when(F.col("_m2") > 0, F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3).when(F.col("_m2") == 0, 0.0), "row_mad": row_quantile(deviation, 0.5)}
     return d.withColumns(out).drop("_x", "_m2", "_m3", "_m4")
+
+
+def sentinel_flags(df: DataFrame, codes: dict[str, float]) -> DataFrame:
+    """df with a 0/1 flag for each column that may hold a code for missing, n_flags, their sum, and the codes nulled."""
+    flag = {f"{c}_flag": F.coalesce((F.col(c) == v).cast("int"), F.lit(0)) for c, v in codes.items()}
+    out = df.withColumns(flag).withColumn("n_flags", sum((F.col(f) for f in flag), F.lit(0)))
+    return out.withColumns({c: F.nullif(c, F.lit(v)) for c, v in codes.items()})
+
+
+def product_features(df: DataFrame, columns: list[str], top: int = 30, pairs: int = 50) -> tuple[list[str], DataFrame]:
+    """The ``top`` columns of the largest variance, ties by name, and df with the products of the first ``pairs`` pairs of them."""
+    spread = df.agg(*(F.var_samp(c).alias(c) for c in columns)).first().asDict()
+    names = sorted(columns, key=lambda c: (-(spread[c] or 0.0), c))[:top]
+    some = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]][:pairs]
+    return names, df.withColumns({f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in some})
