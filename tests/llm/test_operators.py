@@ -3,6 +3,8 @@ ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -103,6 +105,46 @@ def test_main_text_is_judged_inside_and_beside_the_article(spark):
     assert {r.page_id: r.text for r in site_tree.extract(df, bound=0).collect()} == got
 
 
+def test_main_text_passes_over_raw_elements_and_all_white_space():
+    text = lambda html: site_tree.article(html, set())
+    assert text("<article><p>a</p><script>for(i=0;i<n;i++){}</script><p>b</p></article>") == "a\nb"
+    assert text("<article><p>a</p><script>var t='</p><b>';if(a<b)x</SCRIPT ><p>b</article>") == "a\nb"
+    assert text("<article>a<style>p>a{}</style><svg><text>no</text></svg> b<button>no</button></article>") == "a b"
+    assert text("<article>a<script>no end <p>b") == "a" and text("<article>a <button>no end <p>b") == "a no end\nb"
+    assert text("<article><p>a\u3000\u2003b\u2028\x85c&nbsp; d</p><p>\u3000</p><p>e") == "a b c d\ne"
+    assert text("<article><p title=don't data-x='a>b' class=\"c>d\">it's</p>1 < 2 &lt; 3</article>") == "it's\n1 < 2 < 3"
+    assert text("<article><div class=post-header><h1>t</h1></div><div class='side-by-side'>x</div><option>y<option>z</article>") == "t\nx\ny\nz"
+    assert text("<article><!-- <p>no --><p>a<!-- open") == "a" and text("<select><option>no</select><article>a") == "a"
+
+
+def test_main_text_keeps_a_marked_branch_that_holds_a_host_s_text(spark):
+    words = lambda i: f"page {i} " + f"w{i} " * 30 + "end"
+    html = "<body><div class='widget'><p>{0}</p><div class=share>Share this</div></div><div class=sidebar>see {1}</div></body>"
+    df = spark.createDataFrame([(i, "http://w.example/", html.format(words(i), i)) for i in range(5)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in site_tree.extract(df).collect()} == {i: words(i) for i in range(5)}
+
+
+def test_style_tree_is_the_one_of_plain_python(spark):
+    rng = random.Random(14)
+    pages = []
+    for i in range(40):
+        parts = [f"<div class=a>{rng.choice(['one', 'two'])}</div>", f"<div class=b>own {i}</div>", "<ul class=c>" + "<li>x</li>" * rng.randint(1, 3) + "</ul>", f"<p>text {rng.randint(0, 30)}</p>", "<div class=ad>buy</div>"]
+        pages.append((i, f"http://h{i % 2}.example/{i}", "<body><div class='x1'>" + "".join(p for p in parts if rng.random() < 0.8) + "</div><article><p>" + f"words {i} " * 9 + "</p></article></body>"))
+    want = set()
+    for h in (0, 1):
+        seen = {}
+        for i, url, html in pages:
+            if i % 2 == h:
+                for path, kind, value, _ in site_tree.style_rows(*site_tree.parse(html)):
+                    if kind < 2:
+                        seen.setdefault(path, ([], []))[kind].append(value)
+        entropy = lambda x: 1.0 if len(x) < 3 else -sum(x.count(v) / len(x) * np.log(x.count(v) / len(x)) for v in set(x)) / np.log(len(x))
+        site = site_tree.xxhash.xxh64_intdigest(f"h{h}.example") >> 1
+        want |= {(site, path) for path, (looks, says) in seen.items() if path == 0 or says and max(entropy(x) for x in (looks, says) if x) < 0.3}
+    got = {(r.host, r.path) for r in site_tree.unimportant(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want and len(got) >= 4
+
+
 def test_secrets(spark, docs):
     ratio = secret_spans.fit_markov(secret_spans.labelled_strings(spark, docs))
     cases = ["é😀 TOKEN = abc; Secret:\"" + "x9" * 8 + "\" " + "ab12" * 10 + " AKIA" + "Z" * 12 + " secret: api_key: longvalue1", "key Zk3xQ9vLw82hTtYb7RfA getUserAccountNameById"]
@@ -114,6 +156,59 @@ def test_secrets(spark, docs):
     assert secret_spans.scan(df.limit(0), ratio).count() == 0
 
 
+def test_redaction_is_linear_and_exact(spark):
+    rng, rows = random.Random(11), []
+    for i in range(300):
+        x = "".join(rng.choice("aé😀\n ") for _ in range(rng.randint(0, 60)))
+        cuts = sorted((tuple(sorted(rng.sample(range(len(x) + 1), 2))), rng.randrange(4)) for _ in range(rng.randint(0, 9) if len(x) else 0))
+        rows.append((i, x, [(a, b, k, "") for (a, b), k in cuts]))
+    rows.append((999, "ab" * 16_000, [(2 * i, 2 * i + 1, 0, "") for i in range(16_000)]))
+    df = spark.createDataFrame(rows, "id int, text string, spans array<struct<s int, e int, k int, m string>>").cache()
+    assert df.count() == len(rows)
+    began = time.time()
+    got = {r.id: r.t for r in df.select("id", secret_spans.redacted().alias("t")).collect()}
+    assert time.time() - began < 10
+    for i, x, spans in rows:
+        out, at = [], 0
+        for a, b, *_ in spans:
+            if a >= at:
+                out.append(x[at:a] + "<secret>")
+            at = max(at, b)
+        assert got[i] == "".join(out) + x[at:], (i, x, spans)
+
+
+def test_base_spans_are_python_s(spark):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    rng, rows = random.Random(12), []
+    some = ["token", "API_KEY", "apikey", "pass", "word", "passwd", "secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH1234", "deadbeef", "0123456789abcdef", "é😀", "Z", "_", "longer-value", "\n", "ſecret"]
+    for i in range(600):
+        rows.append((i, "".join(rng.choice(some) for _ in range(rng.randint(0, 14)))))
+    want = {}
+    for i, x in rows:
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(x) if len(m[2]) >= 8]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 16]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 32]
+        want[i] = ",".join(f"{secret_spans.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+    got = secret_spans.scan(spark.createDataFrame(rows, "doc_id long, text string"), [0.0] * 128 * 128)
+    assert {r.doc_id: r.b for r in got.select("doc_id", secret_spans.written("base").alias("b")).collect()} == want
+
+
+def test_markov_models_on_strings_held_out(spark):
+    words = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ratio = secret_spans.fit_markov(secret_spans.labelled_strings(spark, words))
+    rng = random.Random(13)
+    alphabets = ["0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    secrets = ["".join(rng.choice(a) for _ in range(rng.randint(20, 44))) for a in alphabets for _ in range(200)]
+    parts = "get set user account name by id list parse config value default handler request response session number of items update create delete index table column reader writer buffer stream manager factory service".split()
+    plain = [rng.choice(["_".join(w), w[0] + "".join(map(str.capitalize, w[1:])), "-".join(w)]) for w in ([rng.choice(parts) for _ in range(5)] for _ in range(600))]
+    plain = [x for x in plain if len(x) >= 20]
+    rows = [(i, f"x {s} y") for i, s in enumerate(secrets + plain)]
+    got = {r.doc_id: r.n > 0 for r in secret_spans.scan(spark.createDataFrame(rows, "doc_id long, text string"), ratio).select("doc_id", F.size("spans").alias("n")).collect()}
+    recall = np.mean([got[i] for i in range(len(secrets))])
+    false = np.mean([got[i] for i in range(len(secrets), len(rows))])
+    assert recall > 0.95 and false < 0.01, (recall, false)
+
+
 def test_pieces_are_the_library_s(docs):
     path = vocabulary("piece_bpe_32k.model")
     plain, table = pieces.Plain(path), pieces.Chunks(path)
@@ -201,7 +296,8 @@ def test_quality_and_toxicity(spark, docs):
     seen = toxicity.score_documents(df, marks, "doc_id", "toxic").toPandas()
     assert ((seen["score"] >= 0.7) == (seen["toxic"] == 1)).mean() > 0.98
     for module, fitted in ((quality, model), (toxicity, marks)):
-        odd = module.score_documents(docs, fitted, "doc_id", "base").toPandas()
+        odd = module.score_documents(docs.withColumn("score", F.lit("x")).withColumn("text_", F.lit(1)), fitted, "doc_id", "text", "text_", "base", "score").toPandas()
+        assert list(odd.columns) == ["doc_id", "text", "text_", "base", "score"]
         assert len(odd) == len(ODD) and odd["score"].between(0, 1).all()
         none = module.train(docs.limit(0), labels.limit(0))
         assert module.score_documents(docs, none, "doc_id").toPandas()["score"].between(0, 1).all()
@@ -236,6 +332,12 @@ def test_embeddings_against_all_pairs(spark):
     links = (u @ u.T >= 0.9).sum(axis=1) - 1
     assert got.loc[: len(x) - 1, "n_links"].sum() >= 0.97 * links.sum() and (got["n_links"].loc[: len(x) - 1].to_numpy() <= links).all()
     assert (got.loc[5000:, "n_links"] == 0).all() and got.loc[5000:, "kept"].all()
+    held, forest.LARGE = forest.LARGE, 40
+    try:
+        blocks = forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").sort_index()
+    finally:
+        forest.LARGE = held
+    assert blocks.equals(got)
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
@@ -244,12 +346,23 @@ def test_forest_recall_holds_as_tables_grow():
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     sample, u, w = (unit(rng.normal(size=(n, 64))) for n in (forest.SAMPLE, 3000, 3000))
     v = 0.9 * u + (1 - 0.9**2) ** 0.5 * unit(w - (w * u).sum(axis=1, keepdims=True) * u)
-    for n in (20_000, 2_000_000, 20_000_000):
+    for n in (20_000, 2_000_000, 20_000_000, 200_000_000):
         trees = forest.fit(sample, n)
         a, b = (trees.leaves(x).reshape(len(u), -1, 4) for x in (u, v))
         met = ((a[:, :, :, None] == b[:, :, None, :]) & (a[:, :, :, None] >= 0)).any(axis=(2, 3))
         assert met.any(axis=1).mean() > 0.93
-        assert abs(met.mean() - forest.tree_recall(trees.directions.shape[1], 0.9)) < 0.03
+        assert abs(met.mean() - forest.tree_recall(trees.depth, 0.9)) < 0.03 and trees.low.size + trees.high.size < 1e5
+        branch = trees.branches(a)
+        assert (branch >= 0).sum() == (a >= 0).sum() and max(len(set(x[x >= 0].tolist())) for x in branch.reshape(len(u), -1)[:50]) <= 4 * len(trees.directions)
+
+
+def test_lookups_of_hot_keys_are_joins(spark):
+    rows = common.checkpointed(spark.range(6000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("k"), "id"))
+    table = spark.range(5000).select(F.col("id").alias("k"), (2 * F.col("id")).alias("v"))
+    assert [r.k for r in common.hot_keys(rows, "k").collect()] == [7]
+    got = {r.id: r.v for r in common.looked_up(rows, "k", table).collect()}
+    assert got == {i: 14 if i < 4000 else 2 * i if i < 5000 else None for i in range(6000)}
+    assert {r.id: r.v for r in common.looked_up(rows, "k", table.where("k <> 7")).collect()} == {i: v if v != 14 else None for i, v in got.items()}
 
 
 def test_simhash_against_all_pairs(spark, docs):
@@ -263,6 +376,18 @@ def test_simhash_against_all_pairs(spark, docs):
     whole.link(a, b)
     found.link(np.array([at[r.a] for r in links]), np.array([at[r.b] for r in links]))
     assert (whole.root == found.root).all()
+    held, simhash.CROWD = simhash.CROWD, 3
+    try:
+        blocks = simhash.near_links(spark.createDataFrame([(x,) for x in f.view(np.int64).tolist()], "fp long").distinct(), len(f)).collect()
+    finally:
+        simhash.CROWD = held
+    found = common.Union(len(f))
+    found.link(np.array([at[r.a] for r in blocks]), np.array([at[r.b] for r in blocks]))
+    assert (whole.root == found.root).all()
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert got == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 3), (5, 3)]
+    odd = spark.createDataFrame([(5, "one two", 1), (5, "three four five", 2), (5, "three four five", 2), (None, "six", 3), (None, "six", 3), (6, "ONE two", 1), (None, None, 4), (None, "", 4)], "doc_id long, text string, _group int")
+    kept = simhash.representatives(odd).collect()
+    assert sorted(r._group for r in kept) == [1, 2, 3, 4] and [r.doc_id for r in kept if r._group == 1] == [5] and set(kept[0].asDict()) == {"doc_id", "text", "_group"}
+    assert simhash.representatives(odd.limit(0)).count() == 0
     assert simhash.fingerprint("a b") == simhash.fingerprint("A  b") != 0 and simhash.near_duplicates(docs.limit(0)).count() == 0

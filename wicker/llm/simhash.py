@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from wicker.llm.common import Union, checkpointed, components, partitions
+from wicker.llm.common import Union, checkpointed, components, looked_up, numbered_rows, partitions
 
 SEED = 42  # fixed value: the hash's seed
 #: The ring of segments: first bit and width of each.
@@ -17,6 +18,8 @@ SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 DISTANCE = 4
 #: Shingles whose bits are held at once.
 BLOCK = 1 << 15
+#: Fingerprints of a bucket that one task compares with each other; those of larger buckets are compared block by block.
+CROWD = 4096
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -36,15 +39,17 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Other columns of docs are left out."""
+def fingerprints(docs: DataFrame, shingle: int = 4, *keep: str) -> DataFrame:
+    """(doc_id, fp, kept columns): the fingerprint as a signed long. Other columns of docs are left out."""
+    schema = StructType([StructField("doc_id", LongType()), StructField("fp", LongType()), *(docs.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(x, shingle) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(f"`{c}`") for c in keep))
+    return rows.toDF(*(f"_{i}" for i in range(len(keep) + 2))).mapInArrow(run, schema)
 
 
 def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,16 +73,15 @@ def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def near_pairs(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions within runs of equal keys (sorted, without bit 0) whose fingerprints link. At least one of
-    the two must have the key as its own. Chains are pruned by their cumulative differences, then all bits count."""
-    own, bucket = (key & np.uint64(1)).astype(bool), key >> np.uint64(1)
-    start = (bucket >> np.uint64(26)).astype(np.int64)
+def near_pairs(run: np.ndarray, start: np.ndarray, own: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions within runs (equal numbers stand together) whose fingerprints link; start is the segment where a run's
+    chain begins. At least one of the two must have the run's key as its own. Chains are pruned by their cumulative
+    differences, then all bits count."""
     near, step = np.arange(len(fp)), 0
     while True:
         step += 1
         near = near[: np.searchsorted(near, len(fp) - step)]
-        near = near[bucket[near] == bucket[near + step]]
+        near = near[run[near] == run[near + step]]
         if not len(near):
             return
         a = near[own[near] | own[near + step]]
@@ -95,6 +99,20 @@ def near_pairs(key: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> Ite
             yield a, a + step
 
 
+def crowded(keys: DataFrame, few: int = 100_000) -> DataFrame:
+    """keys (bucket, own, fp) dealt to pairs of blocks, one and two: for buckets that more than CROWD fingerprints have as
+    their own, every two blocks meet; all others are a block of themselves. Up to ``few`` large buckets are broadcast."""
+    own = keys.where("own").groupBy("bucket").agg(F.count("*").alias("n"))
+    large = checkpointed(own.where(F.col("n") > CROWD))
+    if large.isEmpty():
+        return keys.select("bucket", F.lit(0).alias("one"), F.lit(0).alias("two"), "own", "fp")
+    large = F.broadcast(large) if large.count() <= few else large
+    k = F.coalesce(F.ceil(F.col("n") / (CROWD // 2)).cast("int"), F.lit(1))  # about as many come under a cleared bit
+    dealt = keys.join(large, "bucket", "left").withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return met.select("bucket", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "own", "fp")
+
+
 def near_links(fps: DataFrame, n: int) -> DataFrame:
     """(a, b): links between n distinct fingerprints fp, thinned to a forest within each task, so that a group of many
     near copies gives as many rows as it has members, not as many as it has pairs."""
@@ -109,32 +127,46 @@ def near_links(fps: DataFrame, n: int) -> DataFrame:
         parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
         if not parts:
             return
-        bucket, own, fp = (np.concatenate(x) for x in zip(*parts))
-        key = bucket.astype(np.uint64) << np.uint64(1) | own.astype(np.uint64)
-        order = np.lexsort((fp, bucket))
-        key, fp = key[order], fp[order].view(np.uint64)
+        bucket, one, two, own, fp = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((fp, two, one, bucket)) if two.any() else np.lexsort((fp, bucket))
+        bucket, one, two, own, fp = (x[order] for x in (bucket, one, two, own, fp))
+        run = np.cumsum(np.concatenate([[False], (np.diff(bucket) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)])[: len(fp)])
+        fp = fp.view(np.uint64)
         value, at = np.unique(fp, return_inverse=True)
         joined = Union(len(value))
-        for a, b in near_pairs(key, fp):
+        for a, b in near_pairs(run, bucket >> 26, own, fp):
             joined.link(at[a], at[b])
         member = np.flatnonzero(joined.root != np.arange(len(value)))
         yield pa.record_batch([pa.array(value[x].view(np.int64)) for x in (member, joined.root[member])], ["a", "b"])
 
     keys = fps.select("fp").mapInArrow(spread, "bucket long, own boolean, fp long")
-    return keys.repartition(partitions(fps, 37 * n, 2_000_000), "bucket").mapInArrow(meet, "a long, b long")
+    return crowded(keys).repartition(partitions(fps, 37 * n, 2_000_000), "bucket", "one", "two").mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): documents whose fingerprints differ in at most 4 bits link; component_id is the
-    smallest doc_id that links reach.
+def near_duplicates(docs: DataFrame, shingle: int = 4, *keep: str) -> DataFrame:
+    """(doc_id, fp, component_id, component, kept columns): documents whose fingerprints differ in at most 4 bits link;
+    component_id is the smallest doc_id that links reach, component the smallest fingerprint, which names the group even
+    where doc_ids are null or repeat.
 
     Equal fingerprints meet once: their rows count as one with the smallest doc_id. Every row of docs gives a row,
     repeated ones too; a null doc_id gets the component of its fingerprint's group (null if no other row has it); an
-    empty table gives none."""
-    fps = checkpointed(fingerprints(docs, shingle))
+    empty table gives none. Other columns of docs are left out. A fingerprint or a component that many rows have is
+    looked up apart (common.looked_up)."""
+    fps = checkpointed(fingerprints(docs, shingle, *keep))
     one = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     group = components(near_links(one, one.count()))
-    rep = one.join(group.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    rep = checkpointed(one.join(group.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
     least = rep.groupBy("component").agg(F.min("first").alias("component_id"))
-    whole = rep.join(least, "component").select("fp", "component_id")
-    return fps.join(whole, "fp", "left").select("doc_id", "fp", "component_id")
+    whole = looked_up(rep, "component", least).select("fp", "component_id", "component")
+    return looked_up(fps, "fp", whole).select("doc_id", "fp", "component_id", "component", *keep)
+
+
+def representatives(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """docs with one row of each group alone: that with the smallest doc_id, of rows that repeat any one. Null doc_ids come
+    last. Texts are dealt out only if the rows that go are too many to be sent to every task."""
+    rows = numbered_rows(docs)
+    key = ["_file", "_row"]
+    group = checkpointed(near_duplicates(rows, shingle, *key))
+    first = group.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key)).alias("k")).select("k._file", "k._row")
+    gone = checkpointed(group.select(*key).join(first, key, "left_anti"))
+    return rows.join(gone, key, "left_anti").drop(*key)
