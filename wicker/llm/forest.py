@@ -10,34 +10,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wicker.llm.common import Union, checkpointed, components, partitions
+from wicker.llm.common import Union, checkpointed, components, looked_up, partitions
 
 #: Vectors that the forest's thresholds are fitted on at most; every vector is indexed.
 SAMPLE = 16_384
-#: Rows of a leaf that one task compares at once; larger leaves are compared block by block.
-BLOCK = 2048
+#: Rows of a leaf that are compared at once; levels of a tree whose leaves are compared in one task; vectors of a branch beyond
+#: which it is split to blocks.
+BLOCK, BRANCH, LARGE = 2048, 6, 32_768
 
 
 @dataclass(frozen=True)
 class Forest:
-    """directions[tree, level] are unit vectors; low and high[tree, node] bound the spill around a node's median. The
-    children of node i are 2i + 1 and 2i + 2."""
+    """directions[tree, level] are unit vectors; low and high[tree, node] bound the spill around a node's median, those of
+    deeper[tree, level] the spill at all nodes of a level that the sample doesn't reach. The children of node i are
+    2i + 1 and 2i + 2."""
 
     directions: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    deeper: np.ndarray
     spills: int = 2
 
-    def leaves(self, unit: np.ndarray) -> np.ndarray:
-        """Leaf numbers of each row, over all trees: (rows, trees x 2^spills), -1 where there is none. A vector within a node's
-        spill goes both ways, on at most ``spills`` levels of a path: then a tight group at a threshold can't fill the tree."""
-        trees, depth = self.directions.shape[:2]
-        out = np.full((len(unit), trees, 2**self.spills), -1, np.int64)
-        for t in range(trees):
+    @property
+    def depth(self) -> int:
+        return self.directions.shape[1]
+
+    def edges(self, tree: int, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if 2 ** (level + 1) - 1 <= self.low.shape[1]:
+            return self.low[tree, node], self.high[tree, node]
+        low, high = self.deeper[tree, level]
+        return np.full(len(node), low), np.full(len(node), high)
+
+    def leaves(self, unit: np.ndarray, only: int | None = None) -> np.ndarray:
+        """Leaf numbers of each row, over all trees or only one: (rows, trees x 2^spills), -1 where there is none. A vector
+        within a node's spill goes both ways, on at most ``spills`` levels of a path: then a tight group at a threshold
+        can't fill the tree."""
+        trees = range(len(self.directions)) if only is None else [only]
+        out = np.full((len(unit), len(trees), 2**self.spills), -1, np.int64)
+        for k, t in enumerate(trees):
             row, node, spent, slot = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
-            for level in range(depth):
+            for level in range(self.depth):
                 p = (unit @ self.directions[t, level])[row]
-                low, high = self.low[t, node], self.high[t, node]
+                low, high = self.edges(t, level, node)
                 both = (p > low) & (p <= high) & (spent < self.spills)
                 right = p > (low + high) / 2
                 spent = spent + both
@@ -46,9 +60,14 @@ class Forest:
                 row, node = np.concatenate([row, row[more]]), np.concatenate([child, 4 * node[more] + 3 - child[more]])
                 slot = np.concatenate([slot, slot[more] + 2 ** (spent[more] - 1)])
                 spent = np.concatenate([spent, spent[more]])
-            out[row, t, slot] = node + (t << 40)
+            out[row, k, slot] = node + (t << 40)
         return out.reshape(len(unit), -1)
 
+    def branches(self, leaves: np.ndarray) -> np.ndarray:
+        """The node BRANCH levels above each leaf, with its tree; -1 for none. Vectors go to the branches, once to each."""
+        node = (((leaves & ((1 << 40) - 1)) + 1) >> min(self.depth, BRANCH)) - 1
+        return np.where(leaves < 0, -1, node + (leaves >> 40 << 40))
+
 
 def tree_recall(depth: int, cosine: float, spill: float = 0.06, spills: int = 2) -> float:
     """The share of pairs at a cosine that meet in a leaf of one tree, for isotropic vectors and exact medians: the
@@ -81,30 +100,33 @@ def trees_for(depth: int, cosine: float, spill: float = 0.06, recall: float = 0.
 
 
 def fit(sample: np.ndarray, n: int, trees: int | None = None, leaf: int = 200, spill: float = 0.06, seed: int = 7, least: float = 0.9) -> Forest:
-    """Thresholds are medians of the sample's projections at each node, with the quantiles ``spill`` to either side; a node
-    that fewer than eight of the sample reach takes its parent's. Depth follows n, the number of vectors to index, and the
-    number of trees follows depth, so that recall at a cosine of ``least`` holds at any n."""
+    """Thresholds are medians of the sample's projections at each node, with the quantiles ``spill`` to either side. Levels where
+    a node has fewer than 16 of the sample on average take the level's own quantiles over the whole sample, and so does a
+    node that fewer than eight reach: its direction is new to the tree, so they are near its own. Depth follows n, the
+    number of vectors to index, and the number of trees follows depth, so that recall at a cosine of ``least`` holds at
+    any n; the thresholds' number follows the sample alone."""
     rng = np.random.default_rng(seed)
-    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / leaf)), 0, 20))
+    depth = int(np.clip(np.ceil(np.log2(max(n, 1) / leaf)), 0, 36))
     trees = trees or trees_for(depth, least, spill)
     dims = sample.shape[1] if len(sample) else 1
     directions = rng.normal(size=(trees, max(depth, 1), dims))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
-    low, high = np.zeros((trees, 2**depth)), np.zeros((trees, 2**depth))
+    reach = min(depth, max(0, int(np.log2(max(1, len(sample)) / 8))))
+    low, high, deeper = np.zeros((trees, 2**reach - 1)), np.zeros((trees, 2**reach - 1)), np.zeros((trees, depth, 2))
     for t in range(trees):
         node = np.zeros(len(sample), np.int64)
-        for level in range(depth):
+        for level in range(depth if len(sample) else 0):
             p = sample @ directions[t, level]
+            deeper[t, level] = np.quantile(p, (0.5 - spill, 0.5 + spill))
+            if level >= reach:
+                continue
             order = np.argsort(node, kind="stable")
             bounds = np.searchsorted(node[order], np.arange(2**level - 1, 2 ** (level + 1)))
             for i in range(2**level):
                 part, at = p[order[bounds[i] : bounds[i + 1]]], 2**level - 1 + i
-                if len(part) >= 8:
-                    low[t, at], high[t, at] = np.quantile(part, (0.5 - spill, 0.5 + spill))
-                elif at:
-                    low[t, at], high[t, at] = low[t, (at - 1) // 2], high[t, (at - 1) // 2]
+                low[t, at], high[t, at] = np.quantile(part, (0.5 - spill, 0.5 + spill)) if len(part) >= 8 else deeper[t, level]
             node = 2 * node + 1 + (p > (low[t, node] + high[t, node]) / 2)
-    return Forest(directions[:, :depth], low, high)
+    return Forest(directions[:, :depth], low, high, deeper)
 
 
 def units(column: pa.Array, dims: int) -> np.ndarray:
@@ -115,90 +137,108 @@ def units(column: pa.Array, dims: int) -> np.ndarray:
 
 def leaf_links(reps: DataFrame, forest: Forest, n: int, dims: int, least: float) -> DataFrame:
     """(rep, links, root): for vectors with links, the rows that they link with (weights of the others summed), each
-    pair counted in the first leaf that both share; root joins what a task has found, with one row for each member."""
+    pair counted in the first leaf that both share; root joins what a task has found, with one row for each member.
+
+    A vector is sent to each branch that holds a leaf of it, and finds its leaves there again."""
+    spread = 2**forest.spills
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = forest.leaves(units(batch.column(2), dims))
-            row, slot = np.nonzero(found >= 0)
+            found = np.sort(forest.branches(forest.leaves(units(batch.column(2), dims))), axis=1)
+            first = np.concatenate([np.ones((len(found), 1), bool), found[:, 1:] != found[:, :-1]], axis=1)
+            row, slot = np.nonzero(first & (found >= 0))
             take = pa.array(row)
-            yield pa.record_batch([pa.array(found[row, slot]), *(c.take(take) for c in batch.columns)], ["leaf", "rep", "weight", "v"])
+            yield pa.record_batch([pa.array(found[row, slot]), *(c.take(take) for c in batch.columns)], ["branch", "rep", "weight", "v"])
 
-    routed = reps.mapInArrow(route, f"leaf long, rep long, weight long, v {reps.schema['v'].dataType.simpleString()}")
-    sizes = routed.groupBy("leaf").count().where(F.col("count") > 4 * BLOCK)
-    # members of a large leaf are dealt to blocks, and every two blocks meet in one task: all its pairs, in bounded memory
-    k = F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1))
-    dealt = routed.join(sizes, "leaf", "left").withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select("leaf", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "rep", "weight", "v")
+    routed = reps.mapInArrow(route, f"branch long, rep long, weight long, v {reps.schema['v'].dataType.simpleString()}")
+    sizes = checkpointed(routed.groupBy("branch").count().where(F.col("count") > 2 * LARGE))
+    to = partitions(reps, 2 * len(forest.directions) * n, 100_000)
+    if sizes.isEmpty():
+        dealt, keys = routed.select("branch", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("mine"), "rep", "weight", "v"), ["branch"]
+    else:  # members of a large branch are dealt to blocks, and every two blocks meet in one task: all its pairs, in bounded memory
+        k = F.coalesce(F.ceil(F.col("count") / LARGE).cast("int"), F.lit(1))
+        dealt = routed.join(sizes, "branch", "left").withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select("branch", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "rep", "weight", "v")
+        keys = ["branch", "one", "two"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         whole = pa.Table.from_batches(parts).combine_chunks()
-        leaf, one, two, mine, rep, weight = (whole.column(c).to_numpy() for c in ("leaf", "one", "two", "mine", "rep", "weight"))
+        branch, one, two, mine, rep, weight = (whole.column(c).to_numpy() for c in ("branch", "one", "two", "mine", "rep", "weight"))
+        vectors = whole.column("v").chunk(0) if whole.column("v").num_chunks else whole.column("v")
         ids, at = np.unique(rep, return_inverse=True)
         links, joined = np.zeros(len(ids), np.int64), Union(len(ids))
-        order = np.lexsort((rep, mine, two, one, leaf))
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(leaf[order]) != 0) | (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0), [True]]))
-        vectors = whole.column("v").chunk(0) if whole.column("v").num_chunks else whole.column("v")
+        order = np.lexsort((rep, mine, two, one, branch))
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(branch[order]) != 0) | (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0), [True]]))
         for a, b in zip(edge, edge[1:]):
-            if b - a < 2:
-                continue
             rows = order[a:b]
+            if len(rows) < 2:
+                continue
             x = units(vectors.take(pa.array(rows)), dims)
             seen = forest.leaves(x)
-            left = rows if one[rows[0]] == two[rows[0]] else rows[mine[rows] == one[rows[0]]]
-            cut = len(left) if len(left) < len(rows) else 0
-            for i in range(0, len(left), BLOCK):
-                for j in range(cut, len(rows), BLOCK):
-                    if not cut and j < i:
-                        continue
-                    p, q = np.nonzero(x[i : min(i + BLOCK, len(left))] @ x[j : j + BLOCK].T >= least)
-                    p, q = p + i, q + j
-                    p, q = p[p < q], q[p < q]
-                    if not len(p):
-                        continue
-                    for c in range(0, len(p), 1 << 16):  # count a pair where its first common leaf is
-                        u, v = p[c : c + (1 << 16)], q[c : c + (1 << 16)]
-                        common = np.full(len(u), np.iinfo(np.int64).max)
-                        for t in range(0, seen.shape[1], 2**forest.spills):  # a leaf is of one tree: memory doesn't grow with their number
-                            su, sv = (seen[w, t : t + 2**forest.spills] for w in (u, v))
-                            common = np.minimum(common, np.where((su[:, :, None] == sv[:, None, :]) & (su[:, :, None] >= 0), su[:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2)))
-                        first = common == leaf[rows[0]]
-                        u, v = at[rows[u]], at[rows[v]]
-                        np.add.at(links, u[first], weight[rows[q[c : c + (1 << 16)]]][first])
-                        np.add.at(links, v[first], weight[rows[p[c : c + (1 << 16)]]][first])
-                        joined.link(u, v)
+            own = seen.reshape(len(x), -1, spread)[:, branch[rows[0]] >> 40]
+            r, slot = np.nonzero(forest.branches(own) == branch[rows[0]])
+            leaf = own[r, slot]
+            by = np.lexsort((r, leaf))
+            r, leaf = r[by], leaf[by]
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(leaf) != 0, [True]]))
+            left = mine[rows] == one[rows[0]]
+            for c, d in zip(cut, cut[1:]):
+                members = r[c:d]
+                u, v = (members, members) if one[rows[0]] == two[rows[0]] else (members[left[members]], members[~left[members]])
+                for i in range(0, len(u), BLOCK):
+                    for j in range(i if u is v else 0, len(v), BLOCK):
+                        p, q = np.nonzero(x[u[i : i + BLOCK]] @ x[v[j : j + BLOCK]].T >= least)
+                        p, q = u[p + i], v[q + j]
+                        if u is v:
+                            p, q = p[p < q], q[p < q]
+                        for k in range(0, len(p), 1 << 16):  # count a pair where its first common leaf is
+                            s, w = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+                            common = np.full(len(s), np.iinfo(np.int64).max)
+                            for t in range(0, seen.shape[1], spread):  # a leaf is of one tree: memory doesn't grow with their number
+                                su, sv = (seen[z, t : t + spread] for z in (s, w))
+                                common = np.minimum(common, np.where((su[:, :, None] == sv[:, None, :]) & (su[:, :, None] >= 0), su[:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2)))
+                            first = common == leaf[c]
+                            np.add.at(links, at[rows[s[first]]], weight[rows[w[first]]])
+                            np.add.at(links, at[rows[w[first]]], weight[rows[s[first]]])
+                            joined.link(at[rows[s]], at[rows[w]])
         root = joined.root
         some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
         yield pa.record_batch([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["rep", "links", "root"])
 
-    to = partitions(reps, 2 * len(forest.directions) * n, 100_000)
-    return dealt.repartition(to, "leaf", "one", "two").mapInArrow(compare, "rep long, links long, root long")
+    return dealt.repartition(to, *keys).mapInArrow(compare, "rep long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
 
     Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite components link with
-    nothing. Equal vectors count as one with their number as its weight, and link with each other. Rows link if their
-    cosine in double precision is at least ``least`` and a leaf of the forest holds both: none below it, and of those at
-    it what the forest's recall gives (the tests hold it against brute force). A null vec_id gives a row of its own
-    without links; a vec_id that repeats counts as often as it does; an empty table gives no rows."""
+    nothing. Equal vectors count as one with their number as its weight, and link with each other; they are told by a
+    hash of 128 bits. Rows link if their cosine in double precision is at least ``least`` and a leaf of the forest holds
+    both: none below it, and of those at it what the forest's recall gives (the tests hold it against brute force). A null
+    vec_id gives a row of its own without links; a vec_id that repeats counts as often as it does; an empty table gives
+    no rows. Other columns are left out."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     fine = "v is not null and size(v) > 0 and vec_id is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
     good = rows.where(fine)
     some = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(1, rows.count())) * (1 << 20)))).limit(2 * sample).select("v").toPandas()["v"]
     length = some.map(len).mode()
     dims = int(length[0]) if len(length) else 1
+    key = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]
     reps = checkpointed(good.where(F.size("v") == dims).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).select("rep", "weight", "v"))
     n = reps.count()
     fitted = units(pa.array([x for x in some if len(x) == dims], pa.list_(pa.float64())), dims) if len(some) else np.zeros((0, dims))
     found = checkpointed(leaf_links(reps, fit(fitted, n, least=least), n, dims, least))
     group = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     total = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.join(total, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    keyed = rows.withColumn("v", F.when(F.expr(fine), F.col("v")))
-    out = keyed.join(known, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    named = reps.select(*key, "rep", "weight")
+    known = named.join(total, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    keyed = checkpointed(rows.select("vec_id", *(F.when(F.expr(fine), k).alias(c) for k, c in zip(key, "hg"))))
+    known = known.select(F.struct("h", "g").alias("hash"), "n_links", "component")
+    linked = looked_up(keyed.where("h is not null").select("vec_id", F.struct("h", "g").alias("hash")), "hash", known).select("vec_id", "n_links", "component")
+    alone = keyed.where("h is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
+    out = linked.unionByName(alone).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
