@@ -82,7 +82,7 @@ def scan(docs: DataFrame, ratio: list[float], per_char: float = 0.6, least: int
     llr = "aggregate(zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> 128 * a + b), 0D, (s, q) -> s + __ratio[q])"
     score = f"transform(array(transform(split(v.m, ''), c -> ascii(c))), c -> {llr})[0] / length(v.m)"
     free = "not exists(base, b -> b.s < v.e and v.s < b.e)"
-    extra = f"if(not exists(__run, r -> length(r) >= {least}), {EMPTY}, {spans(text, RUN, 'markov', f'length(v.m) >= {least} and {free} and {score} > {per_char}')})"
+    extra = f"if(not exists(__run, r -> length(r) >= {least}), {EMPTY}, {spans(text, RUN, 'markov', f'length(v.m) >= {least} and {score} > {per_char} and {free}')})"
     model = json.dumps(ratio)
     found = found.withColumn("spans", F.expr(f"array_sort(concat(base, {extra.replace('__ratio', f'from_json({chr(39)}{model}{chr(39)}, {chr(39)}array<double>{chr(39)})')}), {order})"))
     return found.drop("__run", "__assign")
@@ -95,6 +95,16 @@ def written(spans: str) -> Column:
 
 
 def redacted(text: str = "text", spans: str = "spans") -> Column:
-    """The text with each run of overlapping spans replaced by <secret>; a text without spans stays as it is."""
-    done = f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, v) -> if(v.s >= a.at, named_struct('at', v.e, 'out', concat(a.out, array(substring({text}, a.at + 1, v.s - a.at), '<secret>'))), named_struct('at', greatest(a.at, v.e), 'out', a.out)), a -> concat(array_join(a.out, ''), substring({text}, a.at + 1)))"
+    """The text with <secret> for each span, and for those that begin within spans before them nothing; a text without spans stays
+    as it is. The cost is in proportion to the text: its characters are parted once, and how far the spans before one
+    reach comes from blocks of 128."""
+    bind = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    blocks = "transform(sequence(0, cast((size(e) - 1) div 128 as int)), b -> slice(e, b * 128 + 1, 128))"
+    tops = "transform(bs, x -> array_max(x))"
+    reach = "greatest(0, coalesce(array_max(slice(t, 1, b)), 0), coalesce(array_max(slice(x, 1, i)), 0))"
+    reaches = f"flatten(transform(bs, (x, b) -> transform(x, (z, i) -> {reach})))"  # the furthest end of all spans before
+    pieces = "zip_with(v, r, (s, at) -> if(s.s >= at, concat(array_join(slice(c, at + 1, s.s - at), ''), '<secret>'), ''))"
+    last = "array_join(slice(c, array_max(e) + 1, greatest(size(c) - array_max(e), 0)), '')"
+    whole = bind("c", f"split({text}, '')", f"concat(array_join({pieces}, ''), {last})")
+    done = bind("v", spans, bind("e", "transform(v, z -> z.e)", bind("bs", blocks, bind("t", tops, bind("r", reaches, whole)))))
     return F.expr(f"if(size({spans}) = 0, {text}, {done})")
