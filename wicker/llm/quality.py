@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wicker.llm.common import blocks, labelled_sample
+from wicker.llm.common import blocks, labelled_sample, scored
 
 #: Labelled rows that a fit takes at most.
 SAMPLE = 20_000
@@ -82,16 +82,15 @@ def fit(x: np.ndarray, y: np.ndarray, pooled: float = 0.1, ridge: float = 0.02)
     return Discriminant(centre, scale, np.array(mean), np.array(factor), np.array(offset))
 
 
-def document_features(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and x, the features of each row's whole text (null: empty)."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", x array<double>"
+def document_features(docs: DataFrame, label: str) -> DataFrame:
+    """label and x, the features of each row's whole text (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([*batch.columns[1:], pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
+            yield pa.record_batch([batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
-    return docs.select(F.col("text").cast("string"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col("text").cast("string"), F.col(label).cast("int")).mapInArrow(run, "label int, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Discriminant:
@@ -101,12 +100,6 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Discrimina
 
 
 def score_documents(docs: DataFrame, model: Discriminant, *keep: str) -> DataFrame:
-    """The kept columns and score, P(good), from the text alone; one row for each row of docs, none for an empty table."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t or "") for t in batch.column(0).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.record_batch([*batch.columns[1:], pa.array(model.scores(x))], [*keep, "score"])
-
-    return docs.select(F.col("text").cast("string").alias("text_"), *keep).mapInArrow(run, schema)
+    """The kept columns and score, P(good), from the text alone, in the place of a kept column of that name; one row for each row
+    of docs, none for an empty table."""
+    return scored(docs, lambda: lambda texts: model.scores(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))), *keep)
