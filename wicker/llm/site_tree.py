@@ -16,27 +16,30 @@ from wicker.llm.common import checkpointed
 
 # Element names of HTML and what they mean.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg select option button".split())
-BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+RAW = set("script style textarea title noscript template iframe svg select datalist button".split())
+BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements without an end tag that hide all that follows; other unclosed raw elements hide nothing.
+ENDLESS = {"script", "style", "textarea", "title"}
 CHROME = set("nav footer header aside form menu dialog".split())
 MARKED = re.compile(r"ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|notice|consent|gdpr|sidebar|side|menu|nav\w*|footer|header|masthead|comments?|disqus|replies|related|share|sharing|social|newsletter|subscribe|login|search|popup|modal|breadcrumbs?|widget")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>""", re.S)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
     """An element of a page: its style is its name with class, id and role, digits aside; path holds the styles above it.
-    wrapper is true where nothing but class words outside an article ruled it out: an article in it may still count."""
+    wrapper is true where nothing but class words outside an article ruled it out: an article in it may still count.
+    marked is true where class words speak against the element itself."""
 
-    __slots__ = ("tag", "path", "prior", "wrapper", "children", "text")
+    __slots__ = ("tag", "path", "prior", "wrapper", "marked", "children", "text")
 
-    def __init__(self, tag: str, path: int, prior: float | None, wrapper: bool = False):
-        self.tag, self.path, self.prior, self.wrapper, self.children, self.text = tag, path, prior, wrapper, [], []
+    def __init__(self, tag: str, path: int, prior: float | None, wrapper: bool = False, marked: bool = False):
+        self.tag, self.path, self.prior, self.wrapper, self.marked, self.children, self.text = tag, path, prior, wrapper, marked, [], []
 
 
 def host(url: str | None) -> str:
@@ -44,50 +47,36 @@ def host(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def parse(html: str) -> tuple[Node, list[tuple[list[Node], str]]]:
+def parse(html: str, bulk: frozenset[int] | set[int] = frozenset()) -> tuple[Node, list[tuple[list[Node], str]]]:
     """The root and the blocks in page order: the elements around each and its text. prior is 0 for elements whose style
     says that they aren't the article, 1 for the article and what it holds, 0.5 for an article in a wrapper whose class
-    words speak against it, None where style says nothing.
+    words speak against it, None where style says nothing. Class words don't count for the paths in bulk, which hold the
+    bulk of their host's text.
 
     Unclosed and misnested elements end where their parents do or where a sibling begins; hidden elements, scripts and
-    the like have no text."""
+    the like have no text. All white space of a block is one space, whatever Unicode has as such."""
     root = Node("", 0, None)
     stack, blocks, parts, at = [root], [], [], 0
 
     def flush() -> None:
-        text = SPACE.sub(" ", "".join(parts)).strip()
+        text = " ".join("".join(parts).split())
         parts.clear()
         if text:
             blocks.append((list(stack), text))
             stack[-1].text.append(text)
 
-    raw = None
-    for m in TAG.finditer(html):
-        name = (m[2] or "").lower()
-        if raw:
-            if not (m[1] and name == raw):
-                continue
-            raw, at = None, m.end()
-            continue
-        if m.start() > at:
-            parts.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if not name:
-            continue
+    def element(name: str, closing: str, attributes: str) -> None:
         if name in BLOCK:
             flush()
-        if m[1]:
+        if closing:
             if any(x.tag == name for x in stack):
                 while stack.pop().tag != name:
                     pass
-            continue
+            return
         if name == "br":
             parts.append(" ")
-        if name in VOID:
-            continue
-        if name in RAW:
-            raw = None if m[3].endswith("/") else name
-            continue
+        if name in VOID or name in RAW:
+            return
         for i in range(len(stack) - 1, 0, -1):  # a sibling ends what HTML lets stay open
             if stack[i].tag in CLOSES.get(name, ()):
                 del stack[i:]
@@ -98,7 +87,7 @@ def parse(html: str) -> tuple[Node, list[tuple[list[Node], str]]]:
                 del stack[i:]
                 break
         named, unseen = [], False
-        for key, value in ATTRIBUTE.findall(m[3]):
+        for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id", "role"):
                 named.append((key, value.lower()))
@@ -106,6 +95,7 @@ def parse(html: str) -> tuple[Node, list[tuple[list[Node], str]]]:
         style = re.sub(r"\d+", "", name + " " + " ".join(v for _, v in named).lower())
         marked = name not in ("html", "body", "article", "main") and any(MARKED.fullmatch(w.strip("-_")) for _, v in named for w in re.sub(r"\d+", "", v).split())
         top = stack[-1]
+        path = xxhash.xxh64_intdigest(f"{top.path}/{style}") >> 1
         prior, wrapper = top.prior, top.wrapper
         chrome = unseen or name == "head" or name in CHROME and not (name == "header" and prior in (1, 0.5))
         main = name in ("article", "main") or any(k == "role" and "main" in v.split() for k, v in named)
@@ -114,23 +104,37 @@ def parse(html: str) -> tuple[Node, list[tuple[list[Node], str]]]:
         elif prior == 0:
             if main and wrapper:
                 prior, wrapper = 0.5, False
-        elif marked:
+        elif marked and path not in bulk:
             prior, wrapper = 0, prior is None
         elif main and prior is None:
             prior = 1
-        node = Node(name, xxhash.xxh64_intdigest(f"{top.path}/{style}") >> 1, prior, wrapper)
+        node = Node(name, path, prior, wrapper, marked)
         top.children.append(node)
         stack.append(node)
-    if not raw and at < len(html):
+
+    m = TAG.search(html)
+    while m:
+        name = (m[2] or "").lower()
+        if m.start() > at:
+            parts.append(unescape(html[at : m.start()]))
+        at = m.end()
+        if name in RAW and not m[1] and not m[3].endswith("/"):  # what it holds is no markup: on after its end tag
+            end = RAW_END[name].search(html, at)
+            at = end.end() if end else len(html) if name in ENDLESS else at
+        elif name:
+            element(name, m[1], m[3])
+        m = TAG.search(html, at)
+    if at < len(html):
         parts.append(unescape(html[at:]))
     flush()
     return root, blocks
 
 
-def style_rows(root: Node) -> Iterator[tuple[int, int, int]]:
-    """For each path of the page that style doesn't rule out, those inside the article included: how it looks there (its
-    children's styles in order) and what it says in all its elements, as hashes."""
-    todo, nodes = [root], {}
+def style_rows(root: Node, blocks: list[tuple[list[Node], str]]) -> Iterator[tuple[int, int, int, int]]:
+    """For each path of the page: (path, kind, value, number). Kinds 0 and 1, of those that style doesn't rule out, inside the
+    article too: how it looks there (its children's styles in order) and what it says in all its elements, as hashes.
+    Kind 2, of elements that class words speak against: the thousandths of the page's text that they hold."""
+    todo, nodes, held = [root], {}, Counter()
     while todo:
         node = todo.pop()
         todo.extend(reversed(node.children))
@@ -139,14 +143,24 @@ def style_rows(root: Node) -> Iterator[tuple[int, int, int]]:
             look.update(dict.fromkeys(c.path for c in node.children))
             says.extend(node.text)
     for path, (look, says) in nodes.items():
-        yield path, xxhash.xxh64_intdigest(" ".join(map(str, look))) >> 1, xxhash.xxh64_intdigest("\n".join(says)) >> 1 if says else 0
-
-
-def unimportant(pages: DataFrame, least_pages: int = 3, threshold: float = 0.3) -> DataFrame:
+        yield path, 0, xxhash.xxh64_intdigest(" ".join(map(str, look))) >> 1, 1
+        if says:
+            yield path, 1, xxhash.xxh64_intdigest("\n".join(says)) >> 1, 1
+    for above, text in blocks:
+        for path in {x.path for x in above if x.marked}:
+            held[path] += len(text)
+    total = sum(len(text) for _, text in blocks)
+    for path, n in held.items():
+        yield path, 2, 0, 1000 * n // total
+
+
+def unimportant(pages: DataFrame, least_pages: int = 3, threshold: float = 0.3, bulk: float = 0.5) -> DataFrame:
     """(host, path) of the style tree's nodes of low importance: those on at least ``least_pages`` pages of the host whose
     text and look hardly vary. Importance is the larger of both entropies, to the base of the number of pages: 1 if all
-    pages differ, 0 if all agree. Nodes that style rules out aren't judged. Path 0, the page itself, is in the result for
-    each host with ``least_pages`` pages: there the tree can judge.
+    pages differ, 0 if all agree. Nodes that style rules out aren't judged so, but where class words alone speak against
+    one that holds more than ``bulk`` of the text of the host's pages on average, it is in the result as -1 - path: the
+    words say nothing there. Path 0, the page itself, is in the result for each host with ``least_pages`` pages: there the
+    tree can judge.
 
     Counts are summed in each batch and again before the shuffle, so a host with a third of all pages costs no more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +168,8 @@ def unimportant(pages: DataFrame, least_pages: int = 3, threshold: float = 0.3)
             count = Counter()
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 site = xxhash.xxh64_intdigest(host(url)) >> 1
-                for path, look, says in style_rows(parse(html or "")[0]):
-                    count[site, path, 0, look] += 1
-                    if says:
-                        count[site, path, 1, says] += 1
+                for path, kind, value, n in style_rows(*parse(html or "")):
+                    count[site, path, kind, value] += n
             rows = [(*k, n) for k, n in count.items()]
             if rows:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows)], ["host", "path", "kind", "value", "n"])
@@ -165,20 +177,25 @@ def unimportant(pages: DataFrame, least_pages: int = 3, threshold: float = 0.3)
     seen = pages.select("url", "html").mapInArrow(run, "host long, path long, kind long, value long, n long")
     value = seen.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     kind = value.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"))
+    of = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), F.col(c))
     imp = F.when(F.col("m") < least_pages, 1.0).otherwise((F.ln("m") - F.col("s") / F.col("m")) / F.ln("m"))
-    node = kind.withColumn("imp", imp).groupBy("host", "path").agg(F.max("imp").alias("imp"), F.max("kind").alias("says"), F.max("m").alias("m"))
-    low = (F.col("path") != 0) & (F.col("imp") < threshold) & (F.col("says") == 1)
-    return node.where(low | (F.col("path") == 0) & (F.col("m") >= least_pages)).select("host", "path")
+    node = kind.withColumn("imp", imp).groupBy("host", "path").agg(F.max(of("imp", 0, 1)).alias("imp"), F.max(of("kind", 0, 1)).alias("says"), F.max(of("m", 0, 1)).alias("m"), F.max(of("m", 2)).alias("held"))
+    node = checkpointed(node)
+    site = node.where("path = 0").select("host", F.col("m").alias("pages"))
+    low = node.where((F.col("path") != 0) & (F.col("imp") < threshold) & (F.col("says") == 1)).select("host", "path")
+    wide = node.where("held > 0").join(site, "host").where((F.col("pages") >= least_pages) & (F.col("held") > 1000 * bulk * F.col("pages"))).select("host", (-1 - F.col("path")).alias("path"))
+    return low.union(wide).union(site.where(F.col("pages") >= least_pages).select("host", F.lit(0).cast("long")))
 
 
 def article(html: str, low: set[int]) -> str:
-    """The page's blocks without those whose element style rules out or has low importance on its host.
+    """The page's blocks without those whose element style rules out or has low importance on its host; low is what
+    unimportant() has for it.
 
     Style is a prior only. Blocks that it takes for the article go like others if they are of low importance, unless more would
     go of it than stays on the page: then the host's pages are copies of each other, and the article stays. Where the host
     has too few pages to judge, the article's blocks stay alone if they are at least half of the text. An article in a
     marked wrapper counts on pages that have no other."""
-    blocks = [(above[-1], text) for above, text in parse(html)[1] if above[-1].prior != 0]
+    blocks = [(above[-1], text) for above, text in parse(html, {-1 - path for path in low if path < 0})[1] if above[-1].prior != 0]
     best = max((node.prior for node, _ in blocks if node.prior), default=1)
     found = [(node.prior == best, node.path in low and node.tag not in ("", "html", "body"), text) for node, text in blocks if node.prior in (best, None)]
     size = lambda rows: sum(len(text) for *_, text in rows)
