@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wicker.llm import packing, quality, secret_spans, simhash, toxicity
-from wicker.llm.common import checkpoint_folder, checkpointed, read_table
+from wicker.llm.common import checkpoint_folder, read_table
 from wicker.llm.queries import vocabulary
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,11 +26,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group stays; rows without a doc_id stay. Texts aren't
-    shuffled: the ids that go are joined to the documents."""
-    group = simhash.near_duplicates(docs)
-    gone = checkpointed(group.where("doc_id <> component_id").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENTS)
+    """One document of each near-duplicate group stays: that with the smallest doc_id. Texts differ where their doc_ids are
+    equal or null: groups are of rows, not of doc_ids."""
+    return simhash.representatives(docs).select(*DOCUMENTS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
