@@ -27,6 +27,7 @@ UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>""", re.S)
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+OPEN = re.compile(r"<[/!?]?[A-Za-z]")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -124,8 +125,9 @@ def parse(html: str, bulk: frozenset[int] | set[int] = frozenset()) -> tuple[Nod
         elif name:
             element(name, m[1], m[3])
         m = TAG.search(html, at)
-    if at < len(html):
-        parts.append(unescape(html[at:]))
+    if at < len(html):  # a tag that the page's end cuts off is no text
+        cut = OPEN.search(html, max(at, html.rfind(">") + 1))
+        parts.append(unescape(html[at : cut.start() if cut else len(html)]))
     flush()
     return root, blocks
 
