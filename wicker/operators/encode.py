@@ -3,7 +3,7 @@ leave the choice of a broadcast to the optimizer's size check."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wicker.operators.order import numbered
 
@@ -40,14 +40,14 @@ def target_means(df: DataFrame, column: str, label: str, smoothing: float) -> Da
 def target_encode_oof(df: DataFrame, column: str, label: str, fold: str, smoothing: float, fold_prior: bool = False) -> DataFrame:
     """df with te, from the rows of other folds only: per level the sums of all folds less those of the row's own. The prior
     is the overall mean, or with fold_prior the mean of the other folds. Null is a level like any other. Two small
-    aggregations, no loop over folds."""
+    aggregations and a window over their rows, no loop over folds."""
     by = df.groupBy(column, fold).agg(F.sum(label).alias("s"), F.count("*").alias("n"))
-    level = by.groupBy(column).agg(F.sum("s").alias("s_all"), F.sum("n").alias("n_all"))
+    level = Window.partitionBy(column)  # at most a row for each fold
     folds = by.groupBy(fold).agg(F.sum("s").alias("s_fold"), F.sum("n").alias("n_fold"))
     total = folds.agg(F.sum("s_fold").alias("s_tot"), F.sum("n_fold").alias("n_tot"))
     prior = (F.col("s_tot") - F.col("s_fold")) / (F.col("n_tot") - F.col("n_fold")) if fold_prior else F.col("s_tot") / F.col("n_tot")
-    level = level.withColumnRenamed(column, "_level")
-    table = by.join(level, F.col(column).eqNullSafe(F.col("_level"))).join(F.broadcast(folds), fold).crossJoin(F.broadcast(total))
+    table = by.select("*", F.sum("s").over(level).alias("s_all"), F.sum("n").over(level).alias("n_all"))
+    table = table.join(F.broadcast(folds), fold).crossJoin(F.broadcast(total))
     te = (F.col("s_all") - F.col("s") + smoothing * prior) / (F.col("n_all") - F.col("n") + smoothing)
     table = table.select(F.col(column).alias("_level"), F.col(fold).alias("_fold"), te.alias("te"))
     return df.join(table, F.col(column).eqNullSafe(F.col("_level")) & (F.col(fold) == F.col("_fold"))).drop("_level", "_fold")
