@@ -115,4 +115,40 @@ EMBEDDING_GROUPS = """
 HELD_OUT = f"select doc_id, if(doc_id is null, null, {crc32('encode(doc_id::varchar)')} % 3 = 1) as held_out from documents"
 
 
-ORACLE = {"op1_chat_windows": chat_windows(), "op8_embedding_groups": EMBEDDING_GROUPS, "media_payloads": MEDIA_PAYLOADS, "secret_base_spans": secret_base_spans(), "quality_held_out": HELD_OUT}
+def merkle_manifest() -> str:
+    """Levels of both trees by recursion; a path's runs, each led by the place in it, are folded as a list."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    value = lambda v: f"coalesce(octet_length(encode({v}::varchar)) || ':' || {v}::varchar, '-')"
+    digest = lambda text: "sha256(" + " || ".join(map(value, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    level = "level + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(d, '' order by i))"
+    place = "lpad(((x.{0} // (16 ** r.level)::bigint) % 16)::varchar, 2, '0') || r.run"
+    return f"""
+    with recursive leaves as (
+        select row_number() over () as row, doc_id, source, {digest('text')} as leaf,
+            if({crc32('encode(doc_id::varchar)')} % 5 = 0, {digest(lower)}, leaf) as claim from documents),
+    placed as (
+        select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i,
+            count(*) over (partition by source) as n, dense_rank() over (order by source nulls first) - 1 as g from leaves),
+    tree(g, level, i, n, d) as (
+        select g, 0, i, n, leaf from placed
+        union all select g, {level} from tree where n > 1 group by g, level, i // 16),
+    subroots as (select g, d from tree where n = 1),
+    tops(level, i, n, d) as (
+        select 0, g, count(*) over (), d from subroots
+        union all select {level} from tops where n > 1 group by level, i // 16),
+    runs as (select g, level, i // 16 as j, string_agg(d, '' order by i) as run from tree where n > 1 group by all),
+    top_runs as (select level, i // 16 as j, string_agg(d, '' order by i) as run from tops where n > 1 group by all),
+    steps as (
+        select row, list(s order by tier, level) as path from (
+            select row, 0 as tier, level, {place.format('i')} as s
+            from placed x join runs r on r.g = x.g and r.j = x.i // (16 ** (r.level + 1))::bigint
+            union all select row, 1, level, {place.format('g')} from placed x join top_runs r on r.j = x.g // (16 ** (r.level + 1))::bigint)
+        group by row)
+    select doc_id, leaf, subroots.d as subroot, tops.d as root,
+        sha256(array_to_string(list_transform(coalesce(path, []), lambda s: s[3:2 + 64 * s[:2]::int] || s[67 + 64 * s[:2]::int:]), '')) as proof_sha256,
+        list_reduce(list_prepend(coalesce(claim, leaf), coalesce(path, [])), lambda d, s: sha256(s[3:2 + 64 * s[:2]::int] || d || s[67 + 64 * s[:2]::int:])) as folded_root,
+        folded_root = tops.d as verified
+    from placed join subroots using (g) join tops on tops.n = 1 left join steps using (row)"""
+
+
+ORACLE = {"op1_chat_windows": chat_windows(), "op8_embedding_groups": EMBEDDING_GROUPS, "media_payloads": MEDIA_PAYLOADS, "secret_base_spans": secret_base_spans(), "quality_held_out": HELD_OUT, "op11_merkle_manifest": merkle_manifest()}
