@@ -151,4 +151,31 @@ def merkle_manifest() -> str:
     from placed join subroots using (g) join tops on tops.n = 1 left join steps using (row)"""
 
 
-ORACLE = {"op1_chat_windows": chat_windows(), "op8_embedding_groups": EMBEDDING_GROUPS, "media_payloads": MEDIA_PAYLOADS, "secret_base_spans": secret_base_spans(), "quality_held_out": HELD_OUT, "op11_merkle_manifest": merkle_manifest()}
+PREFIX_TRIE = f"""
+    with turns as (
+        select conv_id as c, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) as mark,
+            length(coalesce(text, ''))::bigint as chars, row_number() over (partition by conv_id order by turn nulls first, mark) as i
+        from conversations where conv_id is not null),
+    convs as (select distinct c, c - c % 100 as base, {crc32('encode(c::varchar)')} % 6 as h from turns),
+    parts as (
+        select v.c, 0 as own, t.i, mark, chars from convs v join turns t on t.c = base and t.i <= h
+        union all select c, 1, i, mark, chars from convs join turns using (c) where i > h),
+    placed as (select *, row_number() over (partition by c order by own, i) as d from parts),
+    paths as (
+        select c, d, chars, string_agg(mark, '' order by d) over (partition by c order by d) as key, max(d) over (partition by c) = d as last from placed
+        union all select c, 0, 0, '', c not in (select c from placed) from convs),
+    nodes as (
+        select key, d, min(c) as conv_id, count(*) as n, any_value(chars) as chars, if(d = 0, null, key[:-65]) as up,
+            sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where last), '')) as ends from paths group by key, d),
+    degrees as (select up as key, count(*) as k from nodes where d > 0 group by up),
+    under as (
+        select p.key, u.n, u.chars, u.d, k from nodes u join paths p on p.c = u.conv_id and p.d <= u.d
+        left join degrees on degrees.key = u.key),
+    sums as (
+        select key, count(*) filter (where k is null) as leaves, sum(if(d = 0, 0, (n - 1) * chars)) as saved from under group by key)
+    select x.conv_id, x.d::bigint as depth, p.conv_id as parent_conv_id, x.n::bigint as n_convs, coalesce(k, 0)::bigint as n_children,
+        leaves::bigint as n_leaves, saved::bigint as saved_tokens, x.ends as ends_sha256
+    from nodes x left join nodes p on p.key = x.up left join degrees on degrees.key = x.key join sums on sums.key = x.key"""
+
+
+ORACLE = {"op1_chat_windows": chat_windows(), "op8_embedding_groups": EMBEDDING_GROUPS, "media_payloads": MEDIA_PAYLOADS, "secret_base_spans": secret_base_spans(), "quality_held_out": HELD_OUT, "op11_merkle_manifest": merkle_manifest(), "op12_prefix_trie": PREFIX_TRIE}
