@@ -178,4 +178,25 @@ PREFIX_TRIE = f"""
     from nodes x left join nodes p on p.key = x.up left join degrees on degrees.key = x.key join sums on sums.key = x.key"""
 
 
-ORACLE = {"op1_chat_windows": chat_windows(), "op8_embedding_groups": EMBEDDING_GROUPS, "media_payloads": MEDIA_PAYLOADS, "secret_base_spans": secret_base_spans(), "quality_held_out": HELD_OUT, "op11_merkle_manifest": merkle_manifest(), "op12_prefix_trie": PREFIX_TRIE}
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+BENCHMARK_LEAKS = f"""
+    with items as (select item_id, {WORDS} as w from benchmark),
+    windows as (
+        select distinct item_id, size, array_to_string(w[k:k + size - 1], ' ') as said
+        from (select *, unnest(range(1, len(w) - size + 2)) as k from (select *, least(10, len(w)) as size from items where len(w) > 0))),
+    docs as (select row_number() over () as row, doc_id, {WORDS} as w from documents),
+    places as (
+        select row, size, k, array_to_string(w[k:k + size - 1], ' ') as said
+        from (select row, size, w, unnest(range(1, len(w) - size + 2)) as k from docs, (select distinct size from windows) where len(w) >= size)),
+    met as (select row, k, size, item_id from places join windows using (size, said)),
+    hits as (select row, count(distinct p) as n from (select row, unnest(range(k, k + size)) as p from met) group by row),
+    whose as (
+        select row, count(*) as n, string_agg(i, ',' order by i) as ids
+        from (select distinct row, item_id::varchar as i from met where item_id is not null) group by row)
+    select doc_id, len(w)::bigint as n_words, coalesce(hits.n, 0)::bigint as n_hit, coalesce(whose.n, 0)::bigint as n_items,
+        sha256(coalesce(ids, '')) as items_sha256, coalesce(hits.n, 0) > 0 as contaminated
+    from docs left join hits using (row) left join whose using (row)"""
+
+
+ORACLE = {"op1_chat_windows": chat_windows(), "op8_embedding_groups": EMBEDDING_GROUPS, "media_payloads": MEDIA_PAYLOADS, "secret_base_spans": secret_base_spans(), "quality_held_out": HELD_OUT, "op11_merkle_manifest": merkle_manifest(), "op12_prefix_trie": PREFIX_TRIE, "op13_benchmark_leaks": BENCHMARK_LEAKS}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wicker.llm import chat, forest, media, merkle, packing, pieces, quality, secret_spans, simhash, site_tree, toxicity, trie
+from wicker.llm import chat, forest, leaks, media, merkle, packing, pieces, quality, secret_spans, simhash, site_tree, toxicity, trie
 from wicker.llm.common import held_out, read_table
 from wicker.llm.oracles import ORACLE  # noqa: F401  (the entry point takes both from here)
 
@@ -92,6 +92,13 @@ def op12_prefix_trie(spark, sf_dir):
     return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_benchmark_leaks(spark, sf_dir):
+    """What of all documents stands in benchmark items; one row for each."""
+    got = leaks.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return got.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 def media_payloads(spark, sf_dir):
     """What op2_media_clips reads back of each payload, without what its film's format decides: SQL can tell these columns."""
     return op2_media_clips(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
@@ -114,5 +121,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-OPERATORS = (op1_chat_windows, op2_media_clips, op3_main_text, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op8_embedding_groups, op9_simhash_groups, op10_toxicity_scores, op11_merkle_manifest, op12_prefix_trie, pipeline)
+OPERATORS = (op1_chat_windows, op2_media_clips, op3_main_text, op4_secret_spans, op5_piece_encoding, op6_best_fit_packing, op7_quality_scores, op8_embedding_groups, op9_simhash_groups, op10_toxicity_scores, op11_merkle_manifest, op12_prefix_trie, op13_benchmark_leaks, pipeline)
 QUERIES = {f.__name__: f for f in (*OPERATORS, media_payloads, secret_base_spans, quality_held_out)}
