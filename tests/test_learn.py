@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wicker.operators import learn
-from wicker.plans import further, queries as tabular, wider  # noqa: F401
+from wicker.plans import deeper, further, queries as tabular, wider  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import wicker.plans.queries as tabular
+import wicker.plans.deeper  # noqa: F401
 import wicker.plans.further  # noqa: F401
 import wicker.plans.wider  # noqa: F401
 

@@ -58,9 +58,12 @@ def group_stats(df: DataFrame, column: str, numbers: list[str]) -> DataFrame:
     return df.groupBy(F.col(column).alias("level")).agg(*(x for c in numbers for x in (F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev(c), F.lit(0.0)).alias(f"{c}_std"))))
 
 
-def apply_all(df: DataFrame, column: str, fitted: DataFrame, default: float = 0.0) -> DataFrame:
-    """df with all the fitted numbers of its level (group_stats); unseen levels and nulls take the default."""
-    return df.join(fitted.withColumnRenamed("level", column), column, "left").fillna(default, [c for c in fitted.columns if c != "level"])
+def apply_all(df: DataFrame, column: str, fitted: DataFrame) -> DataFrame:
+    """df with all the fitted numbers of its level (group_stats); unseen levels and nulls take the mean over the fitted levels."""
+    numbers = [c for c in fitted.columns if c != "level"]
+    mean = fitted.agg(*(F.avg(c).alias(f"_{c}") for c in numbers))
+    whole = df.join(fitted.withColumnRenamed("level", column), column, "left").crossJoin(F.broadcast(mean))
+    return whole.withColumns({c: F.coalesce(c, f"_{c}") for c in numbers}).drop(*(f"_{c}" for c in numbers))
 
 
 def levels(df: DataFrame, column: str, most: int = 50) -> list[str] | None:

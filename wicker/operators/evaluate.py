@@ -20,18 +20,29 @@ def folds(df: DataFrame, key: str, k: int, label: str | None = None) -> DataFram
     return placed.withColumn("fold", (F.col("_at") % k).cast("int")).drop("_at")
 
 
-def curve(df: DataFrame, label: str = "y", score: str = "s") -> DataFrame:
-    """Counts and F1 at every distinct cut: rows with a score of at least threshold are positive. Rows without a score are left
-    out."""
-    df = df.where(F.col(score).isNotNull())
-    each = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
-    total = df.agg(F.sum(label).cast("long").alias("all_p"), F.count("*").alias("all_n"))
-    c = running(each, "threshold", {"_p": "p", "_n": "n"}, inclusive=False).crossJoin(F.broadcast(total))
+def curve(df: DataFrame, label: str = "y", score: str = "s", by: list[str] | None = None) -> DataFrame:
+    """Counts and F1 at every distinct cut, in each group of ``by``: rows with a score of at least threshold are positive. Rows
+    without a score are left out."""
+    by = by or []
+    each = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
+    c = running(each, "threshold", {"_p": "p", "_n": "n"}, by, inclusive=False)
+    total = c.groupBy(*by).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))  # of the distinct scores, already counted
+    c = same_group(c, total, by)
     c = c.withColumns({"tp": F.col("all_p") - F.col("_p"), "n_pred_pos": F.col("all_n") - F.col("_n")})
     c = c.withColumns({"fp": F.col("n_pred_pos") - F.col("tp"), "fn": F.col("all_p") - F.col("tp")}).withColumn("tn", F.col("all_n") - F.col("all_p") - F.col("fp"))
     f1 = lambda hit, a, b: F.when(2 * F.col(hit) + F.col(a) + F.col(b) > 0, 2 * F.col(hit) / (2 * F.col(hit) + F.col(a) + F.col(b))).otherwise(0.0)
     c = c.withColumn("binary_f1", f1("tp", "fp", "fn"))
-    return c.withColumn("macro_f1", (F.col("binary_f1") + f1("tn", "fp", "fn")) / 2).select("threshold", "n_pred_pos", "tp", "fp", "fn", "tn", "binary_f1", "macro_f1")
+    return c.withColumn("macro_f1", (F.col("binary_f1") + f1("tn", "fp", "fn")) / 2).select(*by, "threshold", "n_pred_pos", "tp", "fp", "fn", "tn", "binary_f1", "macro_f1")
+
+
+def same_group(rows: DataFrame, each: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of the one row of ``each`` that their group has."""
+    if not by:
+        return rows.crossJoin(F.broadcast(each))
+    join = F.lit(True)
+    for c in by:
+        join = join & F.col(f"_a.`{c}`").eqNullSafe(F.col(f"_b.`{c}`"))
+    return rows.alias("_a").join(each.alias("_b"), join).select("_a.*", *(F.col(f"_b.`{c}`") for c in each.columns if c not in by))
 
 
 def best_threshold(df: DataFrame, label: str = "y", score: str = "s") -> DataFrame:

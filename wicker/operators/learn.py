@@ -9,17 +9,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wicker.operators.evaluate import auc, folds, uniform
+from wicker.operators.neighbours import nearest_category, neighbours, nominal_penalty  # noqa: F401  (users take all three from here)
 from wicker.operators.order import dealt, quantiles
-from wicker.sources.tables import shared_folder
+from wicker.sources.tables import checkpointed, shared_folder
 
 
 def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -177,78 +178,6 @@ def quantile_normal(df: DataFrame, column: str, fitted_on: DataFrame, knots: int
     return df.crossJoin(F.broadcast(q)).withColumn(column, normal_quantile(u)).drop("_q")
 
 
-def celled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with _v, the columns as an array, and features, the same as a vector."""
-    return df.withColumn("_v", F.array(*(F.col(c).cast("double") for c in columns))).withColumn("features", array_to_vector("_v"))
-
-
-def squared(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, y: s + y)
-
-
-def nearest(a: DataFrame, b: DataFrame, centres: list[np.ndarray], k: int, same: bool) -> DataFrame:
-    """(source, v, w, neighbour, ..., gap, k): the k nearest rows of b (neighbour, w, _cell, ...) to each row of a (source, v,
-    _cell), ties by neighbour; with ``same``, a row isn't its own neighbour.
-
-    The k nearest of a row's own cell come first. Then every other cell is searched that may hold a nearer one: whose
-    centre is no further than its radius and the k-th gap (triangle inequality). Where the own cell has fewer than k, the
-    cells' centres, radii and sizes bound the gap. Centres and radii, one for each cell, go to every task."""
-    a, b = a.persist(), b.persist()
-    cells = a.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "_cell int, _centre array<double>")
-    known = b.join(F.broadcast(cells), "_cell").groupBy("_cell").agg(F.sqrt(F.max(squared("w", "_centre"))).alias("radius"), F.count("*").alias("m")).orderBy("_cell").collect()
-    cell, radius, m = (np.array([r[i] for r in known]) for i in range(3))
-    middle = np.array(centres)[cell] if len(cell) else np.zeros((0, 1))
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("gap", "neighbour"))).where(F.col("k") <= k)
-
-    def met(sources: DataFrame) -> DataFrame:
-        pairs = sources.join(b, "_cell").withColumn("gap", squared("v", "w")).drop("_cell")
-        return pairs.where("source <> neighbour") if same else pairs
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, 2_000_000 // max(1, middle.size))
-        for whole in batches:
-            for i in range(0, whole.num_rows, step):
-                batch = whole.slice(i, step)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                own, far = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)
-                d = np.sqrt(((x[:, None] - middle) ** 2).sum(axis=2))
-                order = np.argsort(d + radius, axis=1)
-                enough = np.cumsum(m[order], axis=1) >= k + same
-                upper = np.where(enough.any(axis=1), np.take_along_axis((d + radius), np.take_along_axis(order, enough.argmax(axis=1)[:, None], 1), 1)[:, 0], np.inf)
-                bound = np.fmin(np.sqrt(far), upper)
-                row, j = np.nonzero((d - radius - 1e-9 * (d + radius) <= bound[:, None] * (1 + 1e-9)) & (cell != own[:, None]))
-                yield pa.record_batch([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell[j], pa.int32())], ["source", "v", "_cell"])
-
-    first = ranked(met(a)).drop("k").persist()
-    far = first.groupBy("source").agg(F.max("gap").alias("far"), F.count("*").alias("m")).where(F.col("m") == k).select("source", "far")
-    if not len(cell):
-        return ranked(first)
-    sought = a.join(far, "source", "left").select("source", "v", "_cell", "far").mapInArrow(route, f"source {a.schema['source'].dataType.simpleString()}, v array<double>, _cell int")
-    return ranked(first.unionByName(met(sought)))
-
-
-def neighbours(df: DataFrame, columns: list[str], key: str, k: int = 5, cells: int = 8, sides: list[str] | None = None) -> DataFrame:
-    """(source, v, w, neighbour, sides, gap, k): the k nearest rows to each row, with both rows' numbers. Cells of a k-means
-    partition, which follow df's size at about 500 rows each, say where to look."""
-    n = df.count()
-    spread = celled(df.select(key, *columns, *(sides or [])), columns)
-    model = KMeans(k=min(max(cells, n // 500), max(2, n // 2)), seed=7, maxIter=5).fit(spread)
-    placed = model.transform(spread).select(F.col(key).alias("source"), F.col("_v").alias("v"), F.col("prediction").alias("_cell"), *(sides or []))
-    found = nearest(placed.select("source", "v", "_cell"), placed.select(F.col("source").alias("neighbour"), F.col("v").alias("w"), "_cell", *(sides or [])), model.clusterCenters(), k, True)
-    return found.select("source", "v", "w", "neighbour", *(sides or []), "gap", "k")
-
-
-def nearest_category(made: DataFrame, real: DataFrame, columns: list[str], made_key: str, real_key: str, category: str) -> DataFrame:
-    """(made_key, category): the category of the nearest real row; ties go to the smallest key."""
-    rows = celled(real.select(real_key, category, *columns), columns)
-    model = KMeans(k=max(2, real.count() // 500), seed=7, maxIter=5).fit(rows)
-    a = model.transform(celled(made, columns)).select(F.col(made_key).alias("source"), F.col("_v").alias("v"), F.col("prediction").alias("_cell"))
-    b = model.transform(rows).select(F.col(real_key).alias("neighbour"), F.col("_v").alias("w"), F.col("prediction").alias("_cell"), F.col(category).alias("_category"))
-    return nearest(a, b, model.clusterCenters(), 1, False).select(F.col("source").alias(made_key), F.col("_category").alias(category))
-
-
 def arm_search(df: DataFrame, arms: dict[str, list[str]], weights: tuple[float, ...]) -> DataFrame:
     """(arm, weight, f1), best first: logistic models of each set of columns and weight of positives, fitted on the folds but
     the first, with their F1 on that. The search loops over arms, whose number is a parameter."""
@@ -262,25 +191,89 @@ def arm_search(df: DataFrame, arms: dict[str, list[str]], weights: tuple[float,
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (-r[2], r[0], r[1])), "arm string, weight double, f1 double")
 
 
-def bundled(df: DataFrame, models: list[Estimator], key: str = "row_id") -> DataFrame:
-    """(key, p): the mean score of models fitted on df, written to the shared folder and read again."""
-    folder, parts = f"{shared_folder(df.sparkSession)}/bundle-{uuid.uuid4().hex}", []
+def store_bundle(train: DataFrame, columns: list[str], models: list[Estimator]) -> str:
+    """The folder of a bundle: for each model a pipeline that scales and assembles the columns as train's are, and the model, fitted
+    on train, which has a label y."""
+    folder = f"{shared_folder(train.sparkSession)}/bundle-{uuid.uuid4().hex}"
     for i, model in enumerate(models):
-        fitted = model.fit(df)
-        fitted.write().overwrite().save(f"{folder}/{i}")
-        parts.append(type(fitted).load(f"{folder}/{i}").transform(df).select(key, vector_to_array("probability")[1].alias("p")))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy(key).agg(F.avg("p").alias("p"))
-
-
-def smote(df: DataFrame, columns: list[str], label: str, key: str, ratio: float, k: int = 5, cells: int = 8, sides: list[str] | None = None) -> DataFrame:
+        stages = [VectorAssembler(inputCols=columns, outputCol="_raw", handleInvalid="keep"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), model]
+        Pipeline(stages=stages).fit(train).write().overwrite().save(f"{folder}/{i}")
+    train.sparkSession.createDataFrame([(len(models), columns)], "models int, columns array<string>").write.json(f"{folder}/bundle")
+    return folder
+
+
+def serve_bundle(spark: SparkSession, folder: str, df: DataFrame, key: str = "row_id") -> DataFrame:
+    """(key, p): the mean score of all models of a stored bundle for rows that have its columns; missing ones are an error."""
+    known = spark.read.schema("models int, columns array<string>").json(f"{folder}/bundle").first()
+    if lost := sorted(set(known.columns) - set(df.columns)):
+        raise ValueError(f"columns are missing: {lost}")
+    for i in range(known.models):
+        df = PipelineModel.load(f"{folder}/{i}").transform(df).withColumn(f"_p{i}", vector_to_array("probability")[1]).drop("_raw", "features", "rawPrediction", "probability", "prediction")
+    return df.select(key, (sum((F.col(f"_p{i}") for i in range(known.models)), F.lit(0.0)) / known.models).alias("p"))
+
+
+def minibatch_centres(df: DataFrame, vector: str, key: str, k: int, batches: int = 12, epochs: int = 2, seed: int = 7, sample: int = 4096) -> np.ndarray:
+    """k centres that move with each batch of rows to the mean of all rows they have had so far, in batches by a hash of the key;
+    the first centres are drawn from a sample of at most ``sample`` rows, each the further from the others the likelier.
+
+    Sums are of whole numbers, the vectors in steps of a 2^30th of their largest number, so the centres don't depend on how rows
+    are dealt to tasks. Rows whose vector is null or holds null or non-finite numbers are left out."""
+    rows = df.select(F.col(key).alias("_key"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+    first = np.array([r.v for r in rows.orderBy(F.xxhash64("_key", F.lit(seed)), "_key").limit(sample).collect()], float)
+    if not len(first):
+        raise ValueError("no rows to cluster")
+    rng, chosen = np.random.default_rng(seed), [first[0]]
+    for _ in range(1, min(k, len(first))):
+        gap = np.min([((first - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        best = [rng.choice(len(first), p=gap / gap.sum()) if gap.sum() else 0 for _ in range(4)]
+        chosen.append(first[min(best, key=lambda i: np.minimum(gap, ((first - first[i]) ** 2).sum(axis=1)).sum())])
+    centres, dims = np.array(chosen), first.shape[1]
+    most = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    step = most / (1 << 30)
+
+    def assign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dims)
+            own, whole = nearest_centre(x, centres), np.rint(x / step).astype(np.int64)
+            sums, n = np.zeros((len(centres), dims), np.int64), np.bincount(own, minlength=len(centres))
+            np.add.at(sums, own, whole)
+            yield pa.record_batch([pa.array(range(len(centres)), pa.int32()), pa.array(n), pa.array(sums.tolist(), pa.list_(pa.int64()))], ["c", "n", "sums"])
+
+    weight = np.zeros(len(centres))
+    batch = F.pmod(F.xxhash64("_key", F.lit(seed + 1)), F.lit(batches))
+    for e in range(epochs * batches):
+        found = rows.where(batch == e % batches).select("v").mapInArrow(assign, "c int, n long, sums array<long>")
+        total = found.groupBy("c").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("sums")[i].cast("decimal(38,0)")) for i in range(dims))).alias("sums")).collect()
+        for r in total:
+            if r.n:
+                weight[r.c] += r.n
+                centres[r.c] += (np.array([float(s) for s in r.sums]) * step / r.n - centres[r.c]) * (r.n / weight[r.c])
+    return centres
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, of equal ones the first; dimensions are added in order, so a row's gaps are its own."""
+    gap = np.zeros((len(x), len(centres)))
+    for i in range(x.shape[1]):
+        gap += (x[:, i, None] - centres[None, :, i]) ** 2
+    return gap.argmin(axis=1)
+
+
+def labelled(df: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
+    """df with cluster and nearest, the number of the nearest centre and the distance to it."""
+    gaps = F.array(*(F.aggregate(F.zip_with(vector, F.lit(c.tolist()), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y) for c in centres))
+    rows = df.withColumn("_gaps", gaps).withColumn("nearest", F.sqrt(F.array_min("_gaps")))
+    return rows.withColumn("cluster", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int")).drop("_gaps")
+
+
+def smote(df: DataFrame, columns: list[str], label: str, key: str, ratio: float, k: int = 5, cells: int = 1, sides: list[str] | None = None) -> DataFrame:
     """Synthetic minority rows, enough for ``ratio`` of the majority: between a row and one of its k nearest neighbours, at
-    a share drawn from an md5; columns in ``sides`` take the most frequent value among the k neighbours, the smallest of equals."""
+    a share drawn from an md5; categories in ``sides`` take the most frequent value among the k neighbours, the smallest of equals.
+    Between neighbours a category that differs counts as the median of the minority's standard deviations."""
     n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     want = max(0, int(ratio * n.get(0, 0)) - n.get(1, 0))
-    near = neighbours(df.where(F.col(label) == 1), columns, key, k, cells, sides)
+    rare = df.where(F.col(label) == 1)
+    near = checkpointed(neighbours(rare, columns, key, k, cells, sides, nominal_penalty(rare, columns) if sides else 0.0))
     if sides:
         most = near.groupBy("source").agg(*(F.mode(c, True).alias(c) for c in sides))
         near = near.drop(*sides).join(most, "source")

@@ -1,142 +1,177 @@
-"""Global orders and exact quantiles without a task that holds all rows: values are parted into ranges, and what stands before
-a range is added to what stands before a row within it."""
+"""Global orders and exact quantiles without a task that holds all rows: rows are dealt to ranges, one for each partition, and what
+stands before a range is added to what stands before a row within it."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DataType, NumericType
+from pyspark.sql.types import DoubleType, IntegralType, LongType, StructField, StructType
 
-#: Digits of a digest that part rows into ranges, of equal size by nature.
-DIGITS = 3
-
-
-def cuts(df: DataFrame, column: str, parts: int) -> list:
-    """At most parts - 1 ascending values that part the column's values into ranges of like size: quantiles of a sketch, or for
-    other types than numbers those of the 100 parts values with the smallest hashes. Any values would do for a right order."""
-    if parts < 2:
-        return []
-    if isinstance(df.schema[column].dataType, NumericType):
-        at = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first()["q"] or []
-        return sorted({x for x in at if x is not None and x == x})
-    some = df.select(column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(column)).limit(100 * parts)
-    values = [r[0] for r in some.orderBy(column).collect()]
-    return list(dict.fromkeys(values[len(values) * i // parts] for i in range(1, parts))) if values else []
-
-
-def part(column: Column, at: list, kind: DataType) -> Column:
-    """How many of the ascending cuts are not above the value, by bisection; -1 for null, which comes first in an order."""
-    cut = lambda v: (F.struct(*map(F.lit, v)) if isinstance(v, tuple) else F.lit(v)).cast(kind)
-
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(column < cut(at[mid]), between(low, mid)).otherwise(between(mid + 1, high))
-
-    return F.when(column.isNull(), -1).otherwise(between(0, len(at)))
+from wicker.sources.tables import checkpointed
 
 
 def ranges(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parted(df: DataFrame, column: str) -> DataFrame:
-    """df with _part, the range of the column's value: as many ranges as a shuffle has partitions."""
-    return df.withColumn("_part", part(F.col(column), cuts(df, column, ranges(df)), df.schema[column].dataType))
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df with _part: partition p has the p-th range of the columns' order, nulls first, and is sorted within."""
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    return df.repartitionByRange(ranges(df), *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
 
 
 def before(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
-    """(by, _part, names): for each range, the sums over the ranges before it. A row for each range and group: small."""
+    """(by, _part, names): for each range, the sums over the ranges before it; the first range of a group isn't there."""
     total = rows.groupBy(*by, "_part").agg(*(f.alias(n) for n, f in sums.items()))
-    over = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return total.select(*by, "_part", *(F.coalesce(F.sum(n).over(over), F.lit(0)).alias(n) for n in sums))
+    over = Window.partitionBy(*by).orderBy("_part")
+    earlier = [F.coalesce(F.sum(n).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(n) for n in sums]
+    return total.select(*by, "_part", F.row_number().over(over).alias("_first"), *earlier).where("_first > 1").drop("_first")
+
+
+def with_before(rows: DataFrame, base: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    join = F.lit(True)
+    for c in [*by, "_part"]:
+        join = join & F.col(f"_a.`{c}`").eqNullSafe(F.col(f"_b.`{c}`"))
+    return rows.alias("_a").join(base.alias("_b"), join, "left").select("_a.*", *(F.coalesce(f"_b.{n}", F.lit(0)).alias(n) for n in sums))
 
 
 def running(df: DataFrame, column: str, sums: dict[str, str], by: list[str] | None = None, inclusive: bool = True) -> DataFrame:
     """df, which has each value of column once in a group of ``by``, with the sums (name: column) over all rows up to the row's value;
-    not inclusive: below it. Groups share the ranges, which are those of all their values together."""
+    not inclusive: below it. Null counts as 0 in a sum.
+
+    Ranges are of group and value together, so only a range's first group goes on from an earlier one: what it adds is at most
+    a row for each range, and goes to every task. Ranges come from a sample, so the rows are written to the checkpoint folder
+    with them; both reads see the same."""
     by = by or []
-    rows = parted(df, column)
-    base = before(rows, by, {f"_{n}": F.sum(c) for n, c in sums.items()})
-    over = Window.partitionBy(*by, "_part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    inner = rows.withColumns({n: F.coalesce(F.sum(c).over(over), F.lit(0)) for n, c in sums.items()})
-    whole = inner.join(F.broadcast(base), [*by, "_part"])
-    return whole.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_part", *(f"_{n}" for n in sums))
+    kinds = {n: LongType() if isinstance(df.schema[c].dataType, IntegralType) else DoubleType() for n, c in sums.items()}
+    rows = ranged(df, *by, column)
+    schema = StructType([*rows.schema.fields, *(StructField(n, k) for n, k in kinds.items())])
+    names, sizes = rows.columns, {n: "int64" if isinstance(k, LongType) else "float64" for n, k in kinds.items()}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, dict.fromkeys(sums, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = np.zeros(batch.num_rows, bool)
+            for c in by:
+                x = batch.column(names.index(c))
+                a, b = x[1:], x[:-1]
+                first[1:] |= pc.fill_null(pc.not_equal(a, b), True).to_numpy(zero_copy_only=False) & ~pc.and_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+            here = [batch.column(names.index(c)) for c in by]
+            first[0] = last != [x[0].as_py() for x in here]
+            start, group = np.flatnonzero(first), np.cumsum(first) - 1
+            out = []
+            for n, c in sums.items():
+                v = pc.fill_null(batch.column(names.index(c)), 0).to_numpy(zero_copy_only=False).astype(sizes[n])
+                total = np.cumsum(v)
+                offset = np.concatenate([total[start] - v[start], [-carried[n]]])  # the last one stands for a group begun earlier
+                total = total - offset[group]
+                carried[n] = total[-1]
+                out.append(pa.array(total if inclusive else total - v))
+            last = [x[-1].as_py() for x in here]
+            yield pa.record_batch([*batch.columns, *out], [*names, *sums])
+
+    laid = checkpointed(rows.mapInArrow(scan, schema))
+    base = before(laid, by, {f"_{n}": F.sum(c) for n, c in sums.items()})
+    whole = with_before(laid, F.broadcast(base), by, [f"_{n}" for n in sums])
+    return whole.withColumns({n: F.col(n) + F.col(f"_{n}").cast(kinds[n]) for n in sums}).drop("_part", *(f"_{n}" for n in sums))
 
 
 def numbered(df: DataFrame, *keys: str | Column, name: str = "k") -> DataFrame:
     """df with its row's position, from 0, in the order of the keys, which together are unique; null keys come first."""
-    order = [F.col(k) if isinstance(k, str) else k for k in keys]
-    keyed = df.withColumn("_key", F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order))) if len(order) > 1 else order[0])
-    return placed(parted(keyed, "_key"), [], "_key", name).drop("_key")
+    order = {f"_key{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(keys)}
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the row's place in its partition
+    laid = checkpointed(ranged(df.withColumns(order), *order).withColumn(name, within).drop(*order))
+    base = before(laid, [], {"_before": F.count("*")})
+    return with_before(laid, F.broadcast(base), [], ["_before"]).withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
 def dealt(df: DataFrame, digest: Column, keys: list[str], by: list[str] | None = None, name: str = "k") -> DataFrame:
-    """The same in the order of a hexadecimal digest and keys, within each group of ``by``: its first digits are the ranges."""
-    keyed = df.withColumn("_key", digest)
-    rows = keyed.withColumn("_part", F.conv(F.left("_key", F.lit(DIGITS)), 16, 10).cast("int"))
-    return placed(rows, by or [], F.struct("_key", *keys), name).drop("_key")
-
-
-def placed(rows: DataFrame, by: list[str], key: str | Column, name: str) -> DataFrame:
-    base = before(rows, by, {"_before": F.count("*")})
-    at = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(key)) - 1
-    join = F.lit(True)
-    for c in [*by, "_part"]:
-        join = join & F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))
-    whole = rows.withColumn(name, at).alias("_a").join(F.broadcast(base).alias("_b"), join)
-    return whole.select("_a.*", "_b._before").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
+    """The same in the order of a hexadecimal digest and keys, within each group of ``by``: the digest's first digits are the ranges,
+    of equal size by nature and some for each partition."""
+    by = by or []
+    digits = max(1, math.ceil(math.log(4 * ranges(df), 16)))
+    rows = df.withColumn("_key", digest).withColumn("_part", F.conv(F.left("_key", F.lit(digits)), 16, 10).cast("int"))
+    at = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_key", *keys)) - 1
+    whole = with_before(rows.withColumn(name, at), before(rows, by, {"_before": F.count("*")}), by, ["_before"])
+    return whole.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_key", "_part", "_before")
+
+
+def within(df: DataFrame, bounds: dict[tuple[str, int], tuple[float, float]], values: bool) -> DataFrame:
+    """(j, v, m) for the j-th bounds (column, number): (low, high) of a column: a row without v for the m values below low, and one
+    for each value within, or without ``values`` one for all of them (v is 0). Added up over all rows, NaN aside."""
+    keys, columns = list(bounds), sorted({c for c, _ in bounds})
+    of = {c: [j for j, k in enumerate(keys) if k[0] == c] for c in columns}
+    edges = {c: np.array([bounds[keys[j]] for j in js], float) for c, js in of.items()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            js, vs, ms, null = [], [], [], []
+            for c, x in zip(columns, batch.columns):
+                x = x.drop_null().to_numpy(zero_copy_only=False)
+                x = np.sort(x[~np.isnan(x)]) + 0.0
+                low, high = np.searchsorted(x, edges[c][:, 0], "left"), np.searchsorted(x, edges[c][:, 1], "right")
+                for j, a, b in zip(of[c], low.tolist(), np.maximum(low, high).tolist()):
+                    v, m = np.unique(x[a:b], return_counts=True) if values else (np.zeros(1), np.array([b - a]))
+                    js.append(np.full(len(v) + 1, j))
+                    vs.append(np.concatenate([[0.0], v]))
+                    ms.append(np.concatenate([[a], m]))
+                    null.append(np.arange(len(v) + 1) == 0)
+            js, vs, ms, null = map(np.concatenate, (js, vs, ms, null))
+            keep = ms > 0
+            yield pa.record_batch([pa.array(js[keep], pa.int32()), pa.array(vs[keep], mask=null[keep]), pa.array(ms[keep], pa.int64())], ["j", "v", "m"])
+
+    found = df.select(*(F.col(f"`{c}`").cast("double") for c in columns)).mapInArrow(count, "j int, v double, m long")
+    return found.groupBy("j", "v").agg(F.sum("m").alias("m"))
 
 
 def quantiles(df: DataFrame, wanted: dict[str, list[float]], few: int = 100_000, near: float = 5e-4) -> dict[str, list[float | None]]:
     """Exact quantiles of numbers, linear between neighbours, nulls and NaN aside; None where there is no value.
 
-    A sketch gives bounds around each rank, the share ``near`` of the rows to either side, and the rows below them are
-    counted; bounds that hold more than ``few`` rows are drawn closer in the same way. Only values within bounds are then
-    counted one by one. few times near has to be some rows, for a sketch's own error is 1e-4."""
+    A sketch gives bounds around each rank, the share ``near`` of the rows to either side. Bounds that may hold more than ``few``
+    rows are drawn closer in the same way until they don't, or hold one value. Then the values within bounds are counted and
+    ranked, a quantile's in a task, and one row for each quantile comes back. few times near has to be some rows, for a sketch's
+    own error is 1e-4."""
     if few * near < 10:
         raise ValueError("few times near is less than 10 rows")
     value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in wanted}
-    n = df.agg(F.lit(0).alias("_"), *(F.count(v).alias(c) for c, v in value.items()), *(F.percentile_approx(v, [x for p in wanted[c] for x in (max(0.0, p - near), min(1.0, p + near))], 10_000).alias(f"{c}_q") for c, v in value.items())).first()
+    n = df.agg(F.lit(0).alias("_"), *(F.count(v).alias(c) for c, v in value.items()), *(F.percentile_approx(v, [x for p in wanted[c] for x in (max(0.0, p - near), min(1.0, p + near))], 10_000).alias(f"{c}_q") for c, v in value.items() if wanted[c])).first()
     out = {c: [None] * len(ps) for c, ps in wanted.items()}
     bounds = {(c, i): (n[f"{c}_q"][2 * i], n[f"{c}_q"][2 * i + 1]) for c, ps in wanted.items() if n[c] for i in range(len(ps))}
     rank = {(c, i): wanted[c][i] * (n[c] - 1) for c, i in bounds}
-    held = {}
-    inside = lambda k: value[k[0]].between(*map(F.lit, bounds[k]))
-    while len(held) < len(bounds):
-        todo = [k for k in bounds if k not in held]
-        got = df.agg(*(F.struct(F.count_if(value[k[0]] < bounds[k][0]).alias("below"), F.count_if(inside(k)).alias("n")).alias(str(i)) for i, k in enumerate(todo))).first()
-        large = {}
-        for k, g in zip(todo, got):
-            at = rank[k] - g.below
-            if not 0 <= math.floor(at) <= math.ceil(at) < g.n:
+    large = [k for k in bounds if n[k[0]] * 2 * near > few / 2]
+    while large:
+        held = {(r.j, r.v is None): r.m for r in within(df, {k: bounds[k] for k in large}, False).collect()}  # two rows for each
+        closer = {}
+        for j, k in enumerate(large):
+            below, inside = held.get((j, True), 0), held.get((j, False), 0)
+            if not below <= math.floor(rank[k]) <= math.ceil(rank[k]) < below + inside:
                 bounds[k] = (-math.inf, math.inf)  # the sketch missed: from all values
-            elif g.n <= few or bounds[k][0] == bounds[k][1]:
-                held[k] = g.below
-            else:
-                share = at / (g.n - 1)
-                large[k] = (g.below, [max(0.0, share - near), min(1.0, share + near)])
-        if large:
-            drawn = df.agg(*(F.percentile_approx(F.when(inside(k), value[k[0]]), p, 10_000).alias(str(i)) for i, (k, (_, p)) in enumerate(large.items()))).first()
-            for (k, (below, _)), closer in zip(large.items(), drawn):
-                if tuple(closer) == bounds[k]:
-                    held[k] = below
-                bounds[k] = tuple(closer)
-    if not bounds:
-        return out
-    keys = list(bounds)
-    hits = F.array(*(F.when(value[c].between(*map(F.lit, bounds[c, i])), F.struct(F.lit(j).alias("j"), value[c].alias("v"))) for j, (c, i) in enumerate(keys)))
-    found: dict[int, list] = {}
-    for r in df.select(F.explode(hits).alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("m")).collect():
-        found.setdefault(r.x.j, []).append((r.x.v, r.m))
-    for j, (c, i) in enumerate(keys):
-        at, values = held[c, i], sorted(found[j])
-        low, high = math.floor(rank[c, i]), math.ceil(rank[c, i])
-        pick = {}
-        for v, m in values:
-            pick |= {r: v for r in {low, high} if at <= r < at + m}
-            at += m
-        out[c][i] = pick[low] + (pick[high] - pick[low]) * (rank[c, i] - low)
+                closer[k] = rank[k] / max(1, n[k[0]] - 1)
+            elif inside > few and bounds[k][0] < bounds[k][1]:
+                closer[k] = (rank[k] - below) / (inside - 1)
+        if closer:
+            part = lambda k: F.when(value[k[0]].between(*map(F.lit, bounds[k])), value[k[0]])
+            drawn = df.agg(*(F.percentile_approx(part(k), [max(0.0, p - near), min(1.0, p + near)], 10_000).alias(str(j)) for j, (k, p) in enumerate(closer.items()))).first()
+            same = [k for k, b in zip(closer, drawn) if tuple(b) == bounds[k]]
+            bounds |= {k: tuple(b) for k, b in zip(closer, drawn)}
+            closer = {k: p for k, p in closer.items() if k not in same}
+        large = list(closer)
+    while bounds:
+        keys = list(bounds)
+        ranks = df.sparkSession.createDataFrame([(j, math.floor(rank[k]), math.ceil(rank[k])) for j, k in enumerate(keys)], "j int, low long, high long")
+        upto = F.sum("m").over(Window.partitionBy("j").orderBy(F.col("v").asc_nulls_first()))
+        rows = within(df, bounds, True).withColumn("upto", upto).where("v is not null").join(F.broadcast(ranks), "j")
+        at = lambda r: F.max(F.when((F.col("upto") - F.col("m") <= F.col(r)) & (F.col(r) < F.col("upto")), F.col("v"))).alias(r)
+        found = {keys[r.j]: (r.low, r.high) for r in rows.groupBy("j").agg(at("low"), at("high")).collect()}
+        bounds = {k: (-math.inf, math.inf) for k in bounds if None in found.get(k, (None,))}  # the sketch missed: from all values
+        for (c, i), (low, high) in found.items():
+            if low is not None and high is not None:
+                out[c][i] = low + (high - low) * (rank[c, i] - math.floor(rank[c, i]))
     return out

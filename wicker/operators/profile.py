@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wicker.operators.moments import correlations
 from wicker.operators.order import numbered, quantiles
 
 
@@ -102,15 +100,6 @@ def block_rates(df: DataFrame, key: str, label: str, blocks: int = 10) -> DataFr
     return numbered(df.select(key, label), key).groupBy(block.alias("block")).agg(F.count("*").alias("n"), F.round(F.avg(label), 9).alias("rate"))
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for every two columns, in their order: Pearson's correlation over the rows without a null in any, null where a
-    column is constant. One pass over the rows; the matrix, a number for each pair, is on the driver."""
-    rows = VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="skip").transform(df.select(*(F.col(c).cast("double") for c in columns)))
-    matrix = Correlation.corr(rows, "x").first()[0].toArray().tolist() if not rows.isEmpty() else [[math.nan] * len(columns)] * len(columns)
-    out = [(a, b, None if math.isnan(matrix[i][j]) else matrix[i][j]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
-    return df.sparkSession.createDataFrame(out, "a string, b string, r double")
-
-
 def near_duplicate_columns(df: DataFrame, columns: list[str], least: float = 0.999) -> DataFrame:
     """(column, group): columns joined by correlations beyond ``least`` in size; a group is named by its first column."""
     group = {c: c for c in columns}

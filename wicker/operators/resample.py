@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wicker.operators.evaluate import auc, curve, rank_norm, top as best, uniform
-from wicker.operators.order import numbered, quantiles
+from wicker.operators.evaluate import auc, curve, rank_norm, same_group, top as best, uniform
+from wicker.operators.order import numbered, quantiles, running
+from wicker.sources.tables import checkpointed
 
 
 def bootstrap(df: DataFrame, key: str, multiplier: float = 1.0, name: str = "boot") -> DataFrame:
@@ -68,32 +75,137 @@ def drop_top(importance: DataFrame, k: int) -> DataFrame:
     return top.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(share)).select("column", "importance", (F.col("_some") / F.col("_all")).alias("covered"))
 
 
-def composite(df: DataFrame, label: str = "y", score: str = "s") -> DataFrame:
-    """(threshold, n_pred_pos, composite) at every distinct cut: weighted F1, AUC, precision, recall, balanced accuracy and
-    specificity."""
+def composite_of(auc: Column, tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
+    """Weighted F1, AUC, precision, recall, balanced accuracy and specificity; null where one of them has no rows to be of."""
     # fixed values: the weights
-    c = curve(df, label, score).crossJoin(F.broadcast(auc(df, label, score)))
-    p, r, s = F.col("tp") / F.col("n_pred_pos"), F.col("tp") / (F.col("tp") + F.col("fn")), F.col("tn") / (F.col("tn") + F.col("fp"))
-    return c.select("threshold", "n_pred_pos", (0.3 * F.col("binary_f1") + 0.25 * F.col("auc") + 0.15 * p + 0.15 * r + 0.1 * (r + s) / 2 + 0.05 * s).alias("composite"))
-
-
-def plateau_rate(df: DataFrame, label: str = "y", score: str = "s", tol: float = 5e-4) -> DataFrame:
-    """(n_plateau, rate): the share of rows above the middle of the cuts whose composite is within tol of the best."""
-    c = composite(df, label, score)
-    near = c.crossJoin(F.broadcast(c.agg(F.max("composite").alias("best")))).where(F.col("composite") >= F.col("best") - tol)
-    k = near.agg(F.count("*").alias("n_plateau"), F.lit(quantiles(near, {"n_pred_pos": [0.5]})["n_pred_pos"][0]).cast("long").alias("k"))
-    return k.crossJoin(F.broadcast(df.agg(F.count("*").alias("n")))).select("n_plateau", (F.col("k") / F.col("n")).alias("rate"))
+    f1, p, r, s = 2 * tp / (2 * tp + fp + fn), tp / (tp + fp), tp / (tp + fn), tn / (tn + fp)
+    return 0.3 * f1 + 0.25 * auc + 0.15 * p + 0.15 * r + 0.1 * (r + s) / 2 + 0.05 * s
+
+
+def composite(df: DataFrame, label: str = "y", score: str = "s", by: list[str] | None = None) -> DataFrame:
+    """(by, threshold, n_pred_pos, composite) at every distinct cut, in each group of ``by``."""
+    by = by or []
+    c = same_group(curve(df, label, score, by), auc(df, label, score, by), by)
+    return c.select(*by, "threshold", "n_pred_pos", composite_of(*map(F.col, ("auc", "tp", "fp", "fn", "tn"))).alias("composite"))
+
+
+def plateau_rate(df: DataFrame, label: str = "y", score: str = "s", tol: float = 5e-4, by: list[str] | None = None) -> DataFrame:
+    """(by, n_plateau, rate): the share of rows above the middle of the cuts whose composite is within tol of the best, in each
+    group of ``by``. The middle of an even number of cuts is the mean of two, rounded down."""
+    by = by or []
+    c = checkpointed(composite(df, label, score, by))
+    near = same_group(c, c.groupBy(*by).agg(F.max("composite").alias("best")), by).where(F.col("composite") >= F.col("best") - tol).select(*by, "n_pred_pos", F.lit(1).alias("_one"))
+    at = checkpointed(running(near, "n_pred_pos", {"_upto": "_one"}, by))
+    size = at.groupBy(*by).agg(F.count("*").alias("n_plateau"))
+    middle = (F.col("_upto") == F.floor((F.col("n_plateau") + 1) / 2)) | (F.col("_upto") == F.floor(F.col("n_plateau") / 2) + 1)
+    k = same_group(at, size, by).where(middle).groupBy(*by).agg(F.first("n_plateau").alias("n_plateau"), F.floor(F.avg("n_pred_pos")).alias("k"))
+    rows = df.where(F.col(score).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    return same_group(k, rows, by).select(*by, "n_plateau", (F.col("k") / F.col("n")).alias("rate"))
+
+
+def best_rate(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
+    """(by, rate, composite): for each group the share of its rows above the cut with the largest composite; of equal ones the
+    cut with the fewest rows above."""
+    c = composite(df, label, score, by).where(F.col("composite").isNotNull())
+    best = c.groupBy(*by).agg(F.max(F.struct(F.round("composite", 12).alias("composite"), (-F.col("n_pred_pos")).alias("k"))).alias("b"))
+    rows = df.where(F.col(score).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    return same_group(best, rows, by).select(*by, (-F.col("b.k") / F.col("n")).alias("rate"), F.col("b.composite").alias("composite"))
+
+
+def rate_sweep(df: DataFrame, label: str, score: str, key: str, rate: float, deltas: tuple[float, ...]) -> DataFrame:
+    """(delta, rate, n_pred_pos, composite): what the composite is if the rows with the highest scores, ties by key, a share of
+    rate + delta of them, are called positive. Shares not between 0 and 1 are left out. One numbering serves all shares."""
+    scored = df.where(F.col(score).isNotNull()).select(key, score, label)
+    at = numbered(scored, -F.col(score), key, name="_at")
+    total = at.agg(F.count("*").alias("n"), F.sum(label).alias("pos")).crossJoin(auc(scored, label, score))
+    swept = [(d, rate + d) for d in deltas if 0 < rate + d < 1]
+    k = lambda r: F.floor(F.lit(r) * F.col("n") + 0.5)
+    hit = lambda d, r: F.struct(F.lit(d).alias("delta"), F.lit(r).alias("rate"), F.max(k(r)).alias("n_pred_pos"), F.sum(F.when(F.col("_at") < k(r), F.col(label)).otherwise(0)).alias("tp"))
+    rows = at.crossJoin(F.broadcast(total)).groupBy("n", "pos", "auc").agg(F.array(*(hit(d, r) for d, r in swept)).alias("a")).select("n", "pos", "auc", F.inline("a"))
+    tp, said, pos, n = map(F.col, ("tp", "n_pred_pos", "pos", "n"))
+    return rows.select("delta", "rate", "n_pred_pos", composite_of(F.col("auc"), tp, said - tp, pos - tp, n - pos - said + tp).alias("composite"))
+
+
+def candidates(models: int, draws: int, digits: int = 9) -> list[list[float]]:
+    """Weights to try: equal ones, each model alone, then ``draws`` from the flat Dirichlet law by md5 uniforms, rounded."""
+    fixed = [[1 / models] * models] + [[float(i == j) for j in range(models)] for i in range(models)]
+    drawn = []
+    for d in range(draws):
+        x = [-math.log(1 - int(md5(f"simplex{i}:{d}".encode()).hexdigest()[:8], 16) / 2**32) for i in range(models)]
+        drawn.append([round(v / sum(x), digits) for v in x])
+    return fixed + drawn
+
+
+def binned(ranked: DataFrame, columns: list[str], label: str, weights: dict[int, list[float]], bins: int) -> dict[int, tuple[int, int]]:
+    """candidate: (least, most) for the pairs of a positive and a negative row that its blend has in order, a tie as half: exact
+    counts of rows for each of ``bins`` equal ranges of the blend, over all rows, in one pass. Pairs within a range are unknown."""
+    names, w = list(weights), np.array(list(weights.values()))
+    step = max(1, 2_000_000 // len(names))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(names) * bins), np.int64)
+        for batch in batches:
+            y = batch.column(0).to_numpy()
+            x = [c.to_numpy() for c in batch.columns[1:]]
+            for a in range(0, batch.num_rows, step):
+                s = np.zeros((len(y[a : a + step]), len(names)))
+                for i, c in enumerate(x):
+                    s += c[a : a + step, None] * w[None, :, i]
+                at = np.clip((np.round(s, 12) * bins).astype(np.int64), 0, bins - 1) + np.arange(len(names)) * bins
+                for k in (0, 1):
+                    total[k] += np.bincount(at[y[a : a + step] == k].ravel(), minlength=total.shape[1])
+        rows = total.reshape(2, len(names), bins)
+        yield pa.record_batch([pa.array(range(len(names)), pa.int32()), pa.array([r.tobytes() for r in rows[0]], pa.binary()), pa.array([r.tobytes() for r in rows[1]], pa.binary())], ["j", "neg", "pos"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for j, *both in zip(*(c.to_pylist() for c in batch.columns)):
+                now = np.stack([np.frombuffer(x, np.int64) for x in both])
+                held[j] = held[j] + now if j in held else now
+        for j, (neg, pos) in held.items():
+            least = sum(a * b for a, b in zip(pos.tolist(), (np.cumsum(neg) - neg).tolist()))
+            most = least + sum(a * b for a, b in zip(pos.tolist(), neg.tolist()))
+            yield pa.record_batch([pa.array([j], pa.int32()), pa.array([str(least)]), pa.array([str(most)])], ["j", "least", "most"])
+
+    found = ranked.select(F.col(label).cast("int"), *columns).mapInArrow(count, "j int, neg binary, pos binary").repartition("j").mapInArrow(bound, "j int, least string, most string")
+    return {names[r.j]: (int(r.least), int(r.most)) for r in found.collect()}  # a row for each candidate
+
+
+def simplex_search(df: DataFrame, scores: list[str], label: str, weights: list[list[float]], bins: int = 512, few: int = 8) -> DataFrame:
+    """(candidate, weights, auc): of the candidates the one whose blend of rank-normalised scores has the largest AUC, to nine
+    digits, and of equal ones the first; blends are rounded to twelve digits.
+
+    Every pass bounds the AUC of all candidates left and drops those that can't be the best; ranges become finer as there are
+    fewer, so a pass's memory stays the same. The last ones' AUCs are exact; only these repeat rows. Rows where a score or the
+    label is missing are left out; where a class has no rows, the first candidate comes back without an AUC."""
+    ranked = df.select(label, *scores).dropna()
+    for i, c in enumerate(scores):
+        ranked = rank_norm(ranked, c, f"_r{i}")
+    columns = [f"_r{i}" for i in range(len(scores))]
+    ranked = checkpointed(ranked.select(label, *columns))
+    pairs = ranked.agg((F.count_if(F.col(label) == 1) * F.count_if(F.col(label) == 0)).alias("n")).first().n
+    left, memory = dict(enumerate(weights)), bins * len(weights)
+    while pairs and len(left) > few and bins <= 1 << 22:
+        found = binned(ranked, columns, label, left, bins)
+        best = max(low for low, _ in found.values()) - 2e-9 * pairs
+        kept = {j: w for j, w in left.items() if found[j][1] >= best}
+        bins, left = (4 * bins if len(kept) == len(left) else max(bins, min(1 << 22, memory // len(kept)))), kept
+    if not pairs:
+        return df.sparkSession.createDataFrame([(0, weights[0], None)], "candidate int, weights array<double>, auc double")
+    blend = lambda w: F.round(sum((F.lit(x) * F.col(c) for x, c in zip(w, columns)), F.lit(0.0)), 12)
+    long = ranked.select(label, F.explode(F.array(*(F.struct(F.lit(j).alias("candidate"), blend(w).alias("s")) for j, w in left.items()))).alias("x")).select(label, "x.candidate", "x.s")
+    exact = auc(long, label, "s", ["candidate"]).select("candidate", F.round("auc", 9).alias("auc"))
+    named = df.sparkSession.createDataFrame(list(left.items()), "candidate int, weights array<double>")
+    return exact.join(F.broadcast(named), "candidate").orderBy(F.desc("auc"), "candidate").limit(1).select("candidate", "weights", "auc")
 
 
 def blend_search(df: DataFrame, one: str, two: str, label: str, draws: int) -> DataFrame:
     """(candidate, weight, auc) of the best rank blend of two scores: equal weights, each alone, then ``draws`` weights from md5
-    uniforms. Each row is repeated for each candidate, whose number is a parameter; AUCs come from distinct blends."""
-    ranked = rank_norm(rank_norm(df.select(label, one, two), one, "a"), two, "b")
-    weights = F.array(F.lit(0.5), F.lit(1.0), F.lit(0.0), *(uniform("w", F.lit(i)) for i in range(draws)))
-    long = ranked.select(label, "a", "b", F.posexplode(weights).alias("candidate", "weight"))
-    long = long.select(label, "candidate", "weight", F.round(F.col("weight") * F.col("a") + (1 - F.col("weight")) * F.col("b"), 12).alias("s"))
-    found = auc(long, label, "s", ["candidate", "weight"])
-    return found.select("candidate", F.round("weight", 9).alias("weight"), F.round("auc", 9).alias("auc")).orderBy(F.desc("auc"), "candidate").limit(1)
+    uniforms."""
+    u = [int(md5(f"w{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(draws)]
+    found = simplex_search(df, [one, two], label, [[w, 1 - w] for w in (0.5, 1.0, 0.0, *u)])
+    return found.select("candidate", F.round(F.col("weights")[0], 9).alias("weight"), "auc")
 
 
 def simplex(spark: SparkSession, models: int, draws: int) -> DataFrame:

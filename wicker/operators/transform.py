@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wicker.operators.evaluate import rank_norm
 from wicker.operators.order import quantiles
 
 
@@ -92,3 +93,10 @@ def product_features(df: DataFrame, columns: list[str], top: int = 30, pairs: in
     names = sorted(columns, key=lambda c: (-(spread[c] or 0.0), c))[:top]
     some = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]][:pairs]
     return names, df.withColumns({f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in some})
+
+
+def rank_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with each column replaced by its average rank over the number of rows that have a value; nulls stay."""
+    for c in columns:
+        df = rank_norm(df, c, "_rank").withColumn(c, F.col("_rank")).drop("_rank")
+    return df

@@ -358,11 +358,15 @@ def ridge_calibrated(spark, d):
     return learn.out_of_fold(folded(spark, d), learn.ridge())
 
 
-@query()
+#: All pairs of the rarer class, and of each row the five nearest.
+NEAREST = "SELECT a.row_id AS source, b.row_id AS neighbour, row_number() OVER (PARTITION BY a.row_id ORDER BY gap, b.row_id)::INT AS k, round(gap, 6) AS gap FROM (SELECT * FROM wide WHERE y4 = 1) a JOIN (SELECT * FROM wide WHERE y4 = 1) b ON a.row_id <> b.row_id, LATERAL (SELECT (a.o_totalprice - b.o_totalprice) * (a.o_totalprice - b.o_totalprice) + (a.c_acctbal - b.c_acctbal) * (a.c_acctbal - b.c_acctbal) AS gap) QUALIFY k <= 5"
+
+
+@query(NEAREST, WIDE)
 def knn_minority(spark, d):
     from wicker.operators import learn
 
-    return learn.neighbours(wide(spark, d).where("y4 = 1"), ["o_totalprice", "c_acctbal"], "row_id").select("source", "neighbour", "k", "gap")
+    return learn.neighbours(wide(spark, d).where("y4 = 1"), ["o_totalprice", "c_acctbal"], "row_id").select("source", "neighbour", "k", F.round("gap", 6).alias("gap"))
 
 
 @query()
@@ -384,7 +388,9 @@ def arm_search(spark, d):
 
 @query()
 def model_bundle(spark, d):
+    """Models of the training rows, stored with what prepares their columns, read back and put to the test rows."""
     from wicker.operators import learn
 
-    rows = folded(spark, d)
-    return learn.bundled(rows, [learn.logistic(), learn.forest(10, 4)])
+    train, test = split(wide(spark, d))
+    path = learn.store_bundle(train.select("y", *NUMBERS), NUMBERS, [learn.logistic(), learn.forest(10, 4)])
+    return learn.serve_bundle(spark, path, test.select("row_id", *NUMBERS))

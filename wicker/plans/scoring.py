@@ -228,7 +228,13 @@ def affine_shift(spark, d):
     return pred(spark, d).select("id", F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("p") + 0.5 - 0.375)).alias("p"))
 
 
-@query("SELECT id, CASE WHEN p >= a THEN 1 ELSE 0 END::INT AS label FROM pred, (SELECT quantile_cont(p, 0.99) AS a, quantile_cont(p, 0.3) AS b FROM pred) WHERE p >= a OR p <= b", SCORES, PRED)
+#: Scores with both cuts, their place from the highest, and whether fewer than 50 reach the upper cut: then the 50 highest are positive.
+CUT = """cut AS (SELECT id, p, b, CASE WHEN count(*) FILTER (p >= a) OVER () >= 50 THEN p >= a
+ ELSE row_number() OVER (ORDER BY p DESC, id) <= 50 END AS pos
+ FROM pred, (SELECT quantile_cont(p, 0.99) AS a, quantile_cont(p, 0.3) AS b FROM pred))"""
+
+
+@query("SELECT id, pos::INT AS label FROM cut WHERE pos OR p <= b", SCORES, PRED, CUT)
 def pseudo_percentile(spark, d):
     return R.pseudo_percentile(pred(spark, d), "p", "id", 0.99, 0.3)
 

@@ -112,9 +112,13 @@ def one_hot_levels(spark, d):
     return w.drop("is_train", "c_mktsegment", "cust")
 
 
-@query("SELECT row_id, round(coalesce(m, 0), 6) AS o_totalprice_mean, round(coalesce(s, 0), 6) AS o_totalprice_std, round(coalesce(m2, 0), 6) AS c_acctbal_mean, round(coalesce(s2, 0), 6) AS c_acctbal_std FROM wide LEFT JOIN (SELECT cust AS level, avg(o_totalprice) AS m, coalesce(stddev(o_totalprice), 0) AS s, avg(c_acctbal) AS m2, coalesce(stddev(c_acctbal), 0) AS s2 FROM wide WHERE is_train = 1 GROUP BY 1) ON cust = level", WIDE)
+GROUPS = """groups AS (SELECT cust AS level, avg(o_totalprice) AS m, coalesce(stddev(o_totalprice), 0) AS s, avg(c_acctbal) AS m2, coalesce(stddev(c_acctbal), 0) AS s2
+ FROM wide WHERE is_train = 1 GROUP BY 1)"""
+
+
+@query("SELECT row_id, round(coalesce(m, (SELECT avg(m) FROM groups)), 6) AS o_totalprice_mean, round(coalesce(s, (SELECT avg(s) FROM groups)), 6) AS o_totalprice_std, round(coalesce(m2, (SELECT avg(m2) FROM groups)), 6) AS c_acctbal_mean, round(coalesce(s2, (SELECT avg(s2) FROM groups)), 6) AS c_acctbal_std FROM wide LEFT JOIN groups ON cust = level", WIDE, GROUPS)
 def group_agg_rows(spark, d):
-    """Statistics of each row's level in training rows; unseen levels take 0."""
+    """Statistics of each row's level in training rows; unseen levels take the mean of the levels' values."""
     w, numbers = wide(spark, d), ["o_totalprice", "c_acctbal"]
     out = E.apply_all(w.select("row_id", "cust"), "cust", E.group_stats(split(w)[0], "cust", numbers)).drop("cust")
     return rounded(out, *(f"{c}_{s}" for c in numbers for s in ("mean", "std")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,6 +31,46 @@ def write_report(df: DataFrame, path: str, separator: str = " | ") -> None:
     df.select(F.concat_ws(separator, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("line")).write.mode("overwrite").text(path)
 
 
+def decode_stream(spark: SparkSession, folder: str, schema: str, out: str, decode: Callable[[DataFrame], DataFrame]) -> None:
+    """The CSV files of a folder, with headers and a declared schema, decoded row by row to CSV files in another. Ends when all files
+    are read; what was read is kept beside the output, so a later run takes only files that are new, each once even if a run
+    is broken off."""
+    rows = spark.readStream.schema(schema).csv(folder, header=True, escape='"')
+    sink = decode(rows).writeStream.format("csv").option("header", True).option("path", out).option("checkpointLocation", f"{out}-progress")
+    sink.trigger(availableNow=True).start().awaitTermination()
+
+
+def schema_digest(df: DataFrame) -> str:
+    """A digest of the names and types of the columns, in order."""
+    return sha256(df.schema.simpleString().encode()).hexdigest()
+
+
+def sealed(fitted: DataFrame, source: DataFrame) -> DataFrame:
+    """A fitted frame that carries, with its first column, digests of the schema and of the plan that it was fitted on; they are
+    stored and read with it."""
+    first = fitted.columns[0]
+    return fitted.withMetadata(first, {"fitted_schema": schema_digest(source), "fitted_plan": str(source.semanticHash())})
+
+
+def check_seal(fitted: DataFrame, df: DataFrame, plan: bool = False) -> None:
+    """An error unless df has the schema that the frame was fitted on; with ``plan``, also the same plan, so that a fit can be told
+    to be that of df itself."""
+    seal = fitted.schema[0].metadata
+    if "fitted_schema" not in seal:
+        raise ValueError("the fitted frame has no seal")
+    if seal["fitted_schema"] != schema_digest(df):
+        raise ValueError("the schema differs from the one that was fitted on")
+    if plan and seal["fitted_plan"] != str(df.semanticHash()):
+        raise ValueError("the plan differs from the one that was fitted on")
+
+
+def schema_checks(train: DataFrame, test: DataFrame, target: str, key: str) -> DataFrame:
+    """(check, ok): target and key are there, the key is first, the key is last, test has train's columns in order but for the target."""
+    names, other = train.columns, [c for c in test.columns if c != target]
+    rows = [("target_present", target in names), ("key_present", key in names), ("key_first", names[:1] == [key]), ("key_last", names[-1:] == [key]), ("same_order", [c for c in names if c != target] == other)]
+    return train.sparkSession.createDataFrame(rows, "check string, ok boolean")
+
+
 def first_existing(spark: SparkSession, candidates: list[str]) -> str:
     """The first of the paths that exists, in whatever file system it names."""
     for path in candidates:
@@ -60,6 +102,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="shared")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, from the checkpoint folder: they stay as they are however often they are read, and whoever is lost."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def wide(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customers: row_id, numbers, categories, labels y and y4, is_train by date."""
     o, c = read(spark, folder, "orders"), read(spark, folder, "customer")
