@@ -341,6 +341,38 @@ def test_embeddings_against_all_pairs(spark):
     assert forest.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_embeddings_of_every_length_and_id_are_indexed(spark, monkeypatch):
+    """Vectors of other lengths than most link among themselves, with a forest or without one; so do rows of one vec_id."""
+    rng = np.random.default_rng(8)
+    many = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 64)))]
+    few = [(1000, [1.0, 2.0]), (1001, [1.0, 2.0]), (1002, [2.0, 4.0]), (1003, [2.0, -1.0]), (1004, [1.0, 2.0, 0.0])]
+    base = rng.normal(size=(260, 12))
+    other = [(2000 + i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + 0.05 * rng.normal(size=base.shape)]))]
+    for limit in (64, 1, 0):
+        monkeypatch.setattr(forest, "FORESTS", limit)
+        got = {r.vec_id: r for r in forest.near_duplicates(spark.createDataFrame(many + few + other, "vec_id long, embedding array<double>")).collect()}
+        assert [(got[i].n_links, got[i].component_id) for i in range(1000, 1005)] == [(2, 1000), (2, 1000), (2, 1000), (0, 1003), (0, 1004)]
+        assert sum(got[2260 + i].component_id == 2000 + i for i in range(260)) >= 250 and not any(got[i].n_links for i in range(300))
+    monkeypatch.undo()
+    base = rng.normal(size=(20_000, 8))
+    x = np.concatenate([base, base[:5000] * 2])
+    one = forest.near_duplicates(spark.createDataFrame([(7, v.tolist()) for v in x], "vec_id long, embedding array<double>"))
+    found = one.agg(F.sum("n_links").alias("n"), F.count("*").alias("rows"), F.bool_and("kept").alias("kept")).first()
+    assert found.n >= 10_000 and found.rows == 25_000 and found.kept
+
+
+def test_forest_recall_on_clustered_vectors(spark):
+    """Vectors about some hundred centres, in directions of unlike spread: recall of pairs at 0.9 and more."""
+    rng = np.random.default_rng(10)
+    spread = np.exp(-np.arange(48) / 12)
+    x = (rng.normal(size=(150, 48)) * spread)[rng.integers(0, 150, 6000)] + 0.25 * rng.normal(size=(6000, 48)) * spread
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = forest.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    print("recall", got.sum() / links.sum())
+    assert (got <= links).all() and got.sum() >= 0.95 * links.sum()
+
+
 def test_forest_recall_holds_as_tables_grow():
     rng = np.random.default_rng(9)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -14,7 +14,7 @@ import pytest
 from wicker.llm import site_tree
 from wicker.llm.queries import OPERATORS, ORACLE, QUERIES, vocabulary
 
-TABLES = ["documents", "labels", "embeddings", "pages", "conversations"]
+TABLES = ["documents", "labels", "embeddings", "pages", "conversations", "benchmark"]
 SMALL = "/root/testdata/sf0.001"
 KEY = "AKIA" + "Q7" * 8
 TEXTS = [
@@ -42,6 +42,10 @@ def odd_tables():
     body = f"<p>{' word' * 30_000}</p>"
     p = pd.DataFrame([(930_000, "u", None), (930_001, "u", ""), (930_002, None, "<html><body><article><p>a&amp;b</p></article></body></html>"), (930_002, None, "<p"), (930_003, "http://long/1", f"<article>{body}</article>")], columns=["page_id", "url", "html"])
     t["pages"] = pd.concat([t["pages"], p], ignore_index=True).assign(text="t", host="h")
+    b = t["benchmark"]
+    odd = pd.DataFrame({"item_id": [940_000, 940_001, 940_002, 940_003, 940_003, None], "text": [None, "", "One two three", b["text"][0].upper(), "b c d a b c d a b c d a", " ".join(b["text"][1].split()[:12])]})
+    b = pd.concat([b, odd], ignore_index=True)
+    t["benchmark"] = b.assign(item_id=b["item_id"].astype("Int64"), doc_id=1, h="h", window=2)
     return t
 
 

@@ -8,12 +8,16 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from wicker.llm.common import Union, checkpointed, components, looked_up, partitions
 
-#: Vectors that the forest's thresholds are fitted on at most; every vector is indexed.
-SAMPLE = 16_384
+#: Vectors that a forest's thresholds are fitted on at most, and lengths of vectors that have forests; every vector is indexed, those
+#: of other lengths in one leaf for each length.
+SAMPLE, FORESTS = 16_384, 64
+#: Vectors of a leaf.
+LEAF = 200
 #: Rows of a leaf that are compared at once; levels of a tree whose leaves are compared in one task; vectors of a branch beyond
 #: which it is split to blocks.
 BLOCK, BRANCH, LARGE = 2048, 6, 32_768
@@ -99,7 +103,7 @@ def trees_for(depth: int, cosine: float, spill: float = 0.06, recall: float = 0.
     return max(least, int(np.ceil(np.log(1 - recall) / np.log(1 - one))))
 
 
-def fit(sample: np.ndarray, n: int, trees: int | None = None, leaf: int = 200, spill: float = 0.06, seed: int = 7, least: float = 0.9) -> Forest:
+def fit(sample: np.ndarray, n: int, trees: int | None = None, leaf: int = LEAF, spill: float = 0.06, seed: int = 7, least: float = 0.9) -> Forest:
     """Thresholds are medians of the sample's projections at each node, with the quantiles ``spill`` to either side. Levels where
     a node has fewer than 16 of the sample on average take the level's own quantiles over the whole sample, and so does a
     node that fewer than eight reach: its direction is new to the tree, so they are near its own. Depth follows n, the
@@ -108,14 +112,16 @@ def fit(sample: np.ndarray, n: int, trees: int | None = None, leaf: int = 200, s
     rng = np.random.default_rng(seed)
     depth = int(np.clip(np.ceil(np.log2(max(n, 1) / leaf)), 0, 36))
     trees = trees or trees_for(depth, least, spill)
-    dims = sample.shape[1] if len(sample) else 1
+    if depth and not len(sample):
+        raise ValueError("no sample to fit a forest on")
+    dims = sample.shape[1]
     directions = rng.normal(size=(trees, max(depth, 1), dims))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
     reach = min(depth, max(0, int(np.log2(max(1, len(sample)) / 8))))
     low, high, deeper = np.zeros((trees, 2**reach - 1)), np.zeros((trees, 2**reach - 1)), np.zeros((trees, depth, 2))
     for t in range(trees):
         node = np.zeros(len(sample), np.int64)
-        for level in range(depth if len(sample) else 0):
+        for level in range(depth):
             p = sample @ directions[t, level]
             deeper[t, level] = np.quantile(p, (0.5 - spill, 0.5 + spill))
             if level >= reach:
@@ -135,49 +141,70 @@ def units(column: pa.Array, dims: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def leaf_links(reps: DataFrame, forest: Forest, n: int, dims: int, least: float) -> DataFrame:
-    """(rep, links, root): for vectors with links, the rows that they link with (weights of the others summed), each
+def one_leaf(dims: int) -> Forest:
+    """A tree without splits."""
+    return Forest(np.zeros((1, 0, dims)), np.zeros((1, 0)), np.zeros((1, 0)), np.zeros((1, 0, 2)))
+
+
+def forests(reps: DataFrame, least: float, sample: int) -> dict[int, Forest]:
+    """length: forest, for the FORESTS most frequent lengths of vectors that have more than a leaf of them. Each is fitted on at most
+    about ``sample`` of them, by a hash of the vector: all are different, whatever their ids."""
+    often = reps.groupBy(F.size("v").alias("dims")).count().where(F.col("count") > LEAF).orderBy(F.desc("count"), "dims").limit(FORESTS).collect()
+    if not often:
+        return {}
+    kept = F.element_at(F.create_map(*(F.lit(x) for r in often for x in (r.dims, int(min(1.0, sample / r["count"]) * (1 << 20))))), F.size("v"))
+    some = reps.where(F.pmod(F.xxhash64("v", F.lit(2)), F.lit(1 << 20)) < kept).select("v").toPandas()["v"]
+    length = some.map(len)
+    return {r.dims: fit(units(pa.array(some[length == r.dims].tolist(), pa.list_(pa.float64())), r.dims), r["count"], least=least) for r in often}
+
+
+def leaf_links(reps: DataFrame, trees: dict[int, Forest], n: int, least: float) -> DataFrame:
+    """(rid, links, root): for vectors with links, the rows that they link with (weights of the others summed), each
     pair counted in the first leaf that both share; root joins what a task has found, with one row for each member.
 
-    A vector is sent to each branch that holds a leaf of it, and finds its leaves there again."""
-    spread = 2**forest.spills
+    A vector is sent to each branch that holds a leaf of it, and finds its leaves there again. Vectors of different lengths never
+    meet: each length has trees of its own."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.sort(forest.branches(forest.leaves(units(batch.column(2), dims))), axis=1)
-            first = np.concatenate([np.ones((len(found), 1), bool), found[:, 1:] != found[:, :-1]], axis=1)
-            row, slot = np.nonzero(first & (found >= 0))
-            take = pa.array(row)
-            yield pa.record_batch([pa.array(found[row, slot]), *(c.take(take) for c in batch.columns)], ["branch", "rep", "weight", "v"])
-
-    routed = reps.mapInArrow(route, f"branch long, rep long, weight long, v {reps.schema['v'].dataType.simpleString()}")
-    sizes = checkpointed(routed.groupBy("branch").count().where(F.col("count") > 2 * LARGE))
-    to = partitions(reps, 2 * len(forest.directions) * n, 100_000)
+        for whole in batches:
+            length = pc.list_value_length(whole.column(2)).to_numpy()
+            for dims in np.unique(length).tolist():
+                batch, forest = whole.filter(pa.array(length == dims)), trees.get(dims) or one_leaf(dims)
+                found = np.sort(forest.branches(forest.leaves(units(batch.column(2), dims))), axis=1)
+                first = np.concatenate([np.ones((len(found), 1), bool), found[:, 1:] != found[:, :-1]], axis=1)
+                row, slot = np.nonzero(first & (found >= 0))
+                take = pa.array(row)
+                yield pa.record_batch([pa.array(np.full(len(row), dims, np.int32)), pa.array(found[row, slot]), *(c.take(take) for c in batch.columns)], ["dims", "branch", "rid", "weight", "v"])
+
+    routed = reps.select("rid", "weight", "v").mapInArrow(route, f"dims int, branch long, rid long, weight long, v {reps.schema['v'].dataType.simpleString()}")
+    sizes = checkpointed(routed.groupBy("dims", "branch").count().where(F.col("count") > 2 * LARGE))
+    to = partitions(reps, 2 * max((len(f.directions) for f in trees.values()), default=1) * n, 100_000)
     if sizes.isEmpty():
-        dealt, keys = routed.select("branch", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("mine"), "rep", "weight", "v"), ["branch"]
+        dealt, keys = routed.select("dims", "branch", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("mine"), "rid", "weight", "v"), ["dims", "branch"]
     else:  # members of a large branch are dealt to blocks, and every two blocks meet in one task: all its pairs, in bounded memory
         k = F.coalesce(F.ceil(F.col("count") / LARGE).cast("int"), F.lit(1))
-        dealt = routed.join(sizes, "branch", "left").withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select("branch", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "rep", "weight", "v")
-        keys = ["branch", "one", "two"]
+        dealt = routed.join(sizes, ["dims", "branch"], "left").withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("k")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select("dims", "branch", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "rid", "weight", "v")
+        keys = ["dims", "branch", "one", "two"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         whole = pa.Table.from_batches(parts).combine_chunks()
-        branch, one, two, mine, rep, weight = (whole.column(c).to_numpy() for c in ("branch", "one", "two", "mine", "rep", "weight"))
+        length, branch, one, two, mine, rid, weight = (whole.column(c).to_numpy() for c in ("dims", "branch", "one", "two", "mine", "rid", "weight"))
         vectors = whole.column("v").chunk(0) if whole.column("v").num_chunks else whole.column("v")
-        ids, at = np.unique(rep, return_inverse=True)
+        ids, at = np.unique(rid, return_inverse=True)
         links, joined = np.zeros(len(ids), np.int64), Union(len(ids))
-        order = np.lexsort((rep, mine, two, one, branch))
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(branch[order]) != 0) | (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0), [True]]))
+        order = np.lexsort((rid, mine, two, one, branch, length))
+        edge = np.flatnonzero(np.concatenate([[True], np.any([np.diff(c[order]) != 0 for c in (length, branch, one, two)], axis=0), [True]]))
         for a, b in zip(edge, edge[1:]):
             rows = order[a:b]
             if len(rows) < 2:
                 continue
-            x = units(vectors.take(pa.array(rows)), dims)
-            seen = forest.leaves(x)
+            dims = int(length[rows[0]])
+            forest, x = trees.get(dims) or one_leaf(dims), units(vectors.take(pa.array(rows)), dims)
+            seen, spread = forest.leaves(x), 2**forest.spills
             own = seen.reshape(len(x), -1, spread)[:, branch[rows[0]] >> 40]
             r, slot = np.nonzero(forest.branches(own) == branch[rows[0]])
             leaf = own[r, slot]
@@ -206,38 +233,33 @@ def leaf_links(reps: DataFrame, forest: Forest, n: int, dims: int, least: float)
                             joined.link(at[rows[s]], at[rows[w]])
         root = joined.root
         some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
-        yield pa.record_batch([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["rep", "links", "root"])
+        yield pa.record_batch([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[root[some]])], ["rid", "links", "root"])
 
-    return dealt.repartition(to, *keys).mapInArrow(compare, "rep long, links long, root long")
+    return dealt.repartition(to, *keys).mapInArrow(compare, "rid long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
 
-    Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite components link with
-    nothing. Equal vectors count as one with their number as its weight, and link with each other; they are told by a
+    Vectors that are null, zero, or hold null or non-finite components link with nothing, and vectors of different lengths never
+    link. Equal vectors count as one with their number as its weight, and link with each other; they are told by a
     hash of 128 bits. Rows link if their cosine in double precision is at least ``least`` and a leaf of the forest holds
     both: none below it, and of those at it what the forest's recall gives (the tests hold it against brute force). A null
-    vec_id gives a row of its own without links; a vec_id that repeats counts as often as it does; an empty table gives
-    no rows. Other columns are left out."""
+    vec_id gives a row of its own without links; rows are told apart by their vectors, so a vec_id that repeats counts as often
+    as it does; an empty table gives no rows. Other columns are left out."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     fine = "v is not null and size(v) > 0 and vec_id is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
-    good = rows.where(fine)
-    some = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(1, rows.count())) * (1 << 20)))).limit(2 * sample).select("v").toPandas()["v"]
-    length = some.map(len).mode()
-    dims = int(length[0]) if len(length) else 1
     key = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]
-    reps = checkpointed(good.where(F.size("v") == dims).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).select("rep", "weight", "v"))
-    n = reps.count()
-    fitted = units(pa.array([x for x in some if len(x) == dims], pa.list_(pa.float64())), dims) if len(some) else np.zeros((0, dims))
-    found = checkpointed(leaf_links(reps, fit(fitted, n, least=least), n, dims, least))
-    group = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    total = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = reps.select(*key, "rep", "weight")
-    known = named.join(total, "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    reps = checkpointed(rows.where(fine).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))).withColumn("rid", F.monotonically_increasing_id())
+    found = checkpointed(leaf_links(reps, forests(reps, least, sample), reps.count(), least))
+    group = components(found.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rid"), "component")
+    total = found.groupBy("rid").agg(F.sum("links").alias("links"))
+    known = reps.select(F.struct(*key).alias("hash"), "rid", "rep", "weight").join(total, "rid", "left").join(group, "rid", "left")
+    known = checkpointed(known.select("hash", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "rep", "component"))
+    grouped = known.where("component is not null")
+    named = looked_up(grouped, "component", grouped.groupBy("component").agg(F.min("rep").alias("least")))
+    known = named.select("hash", "n_links", F.col("least").alias("component")).unionByName(known.where("component is null").select("hash", "n_links", F.col("rep").alias("component")))
     keyed = checkpointed(rows.select("vec_id", *(F.when(F.expr(fine), k).alias(c) for k, c in zip(key, "hg"))))
-    known = known.select(F.struct("h", "g").alias("hash"), "n_links", "component")
     linked = looked_up(keyed.where("h is not null").select("vec_id", F.struct("h", "g").alias("hash")), "hash", known).select("vec_id", "n_links", "component")
     alone = keyed.where("h is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
     out = linked.unionByName(alone).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
