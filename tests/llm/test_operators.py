@@ -423,3 +423,32 @@ def test_simhash_against_all_pairs(spark, docs):
     assert sorted(r._group for r in kept) == [1, 2, 3, 4] and [r.doc_id for r in kept if r._group == 1] == [5] and set(kept[0].asDict()) == {"doc_id", "text", "_group"}
     assert simhash.representatives(odd.limit(0)).count() == 0
     assert simhash.fingerprint("a b") == simhash.fingerprint("A  b") != 0 and simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_simhash_buckets_without_an_own_member_are_not_sent(spark):
+    """20,000 fingerprints that share two segments but for a bit that each has set beyond: their common buckets are nobody's own."""
+    rng = np.random.default_rng(12)
+    low = (np.uint64(1 << 13) - np.uint64(1)) << np.uint64(13) | np.uint64(1234)  # segments 0 and 1, all of the second one's bits set
+    fps = np.unique(rng.integers(0, 1 << 38, 20_000, dtype=np.uint64) << np.uint64(26) | low)
+    fps = np.concatenate([fps, fps[:50] ^ np.uint64(0b111 << 40)])
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").distinct()
+    keys, all_keys = simhash.keyed(df), len(simhash.chain_keys(np.unique(fps))[0])
+    size = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.bool_or("own").alias("any")).cache()
+    assert size.where("not any").agg(F.sum("n")).first()[0] < 0.1 * all_keys and keys.count() < 0.3 * all_keys
+    dealt = simhash.crowded(keys).groupBy("bucket", "one", "two").agg(F.count("*").alias("n"), F.bool_or("own").alias("any"))
+    assert dealt.where("any").agg(F.max("n")).first()[0] <= simhash.CROWD * 1.1
+    links = simhash.near_links(df, len(fps)).collect()
+    f = np.unique(fps)
+    a, b = zip(*((i, j) for i in range(0, len(f), 2000) for i, j in np.argwhere(np.triu(np.bitwise_count(f[i : i + 2000, None] ^ f[None, :]) <= 4, i + 1)) + [i, 0]))
+    whole, found, at = common.Union(len(f)), common.Union(len(f)), {int(v): i for i, v in enumerate(f.view(np.int64))}
+    whole.link(np.array(a), np.array(b))
+    found.link(np.array([at[r.a] for r in links]), np.array([at[r.b] for r in links]))
+    assert (whole.root == found.root).all()
+
+
+def test_a_labelled_id_counts_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in (2, 3, 5)] + [(2, "copy")] * 500 + [(3, None)] * 9 + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1), (3, 0), (5, 1), (5, 0), (None, 1), (2, 1)], "doc_id long, quality int")
+    held = {r.i for r in spark.range(10).select(F.col("id").alias("i")).where(common.held_out("i")).collect()}
+    got = sorted((r.text, r.label) for r in common.labelled_sample(docs, labels, "quality", 100).collect())
+    assert got == sorted((t, y) for i, t, y in ((2, "copy", 1), (3, "text 3", 0)) if i not in held)

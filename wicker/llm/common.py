@@ -57,11 +57,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     """(text, label) of at most ``bound`` labelled rows that aren't held out, the first in the order of a hash of doc_id.
 
     Only the ids and labels of the sample are broadcast; ``bound`` limits their size. A doc_id that is null, or
-    labelled more than once, counts once or not at all: labels are grouped by doc_id and averaged, ties are dropped."""
+    labelled more than once, counts once or not at all: labels are grouped by doc_id and averaged, ties are dropped. Of the
+    documents of one doc_id the least text counts, so there are no more rows than ids."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.avg(label).alias("label"))
     one = one.where(F.col("label") != 0.5).withColumn("label", (F.col("label") > 0.5).cast("int"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return found.select(F.coalesce("text", F.lit("")).alias("text"), "label")
 
 
 def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str]], object]], *keep: str) -> DataFrame:
@@ -143,6 +145,28 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+#: Bits of a filter at most.
+BITS = 1 << 28
+
+
+class Filter:
+    """Which hashes may be in a set: a bit for each value modulo the number of bits, none of the set's missing. Bits follow the
+    set up to BITS; beyond, more others pass."""
+
+    def __init__(self, hashes: DataFrame):
+        """The set is hashes.h."""
+        self.mask = min(BITS, 1 << max(16, (32 * hashes.count()).bit_length())) - 1
+        bit = F.col("h").bitwiseAND(F.lit(self.mask)) + 1
+        parts = hashes.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # BITS / 8 bytes at most
+        self.bits = np.zeros((self.mask + 1) // 8, np.uint8)
+        for r in parts:
+            self.bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)[: len(self.bits)]
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        bit = (h & np.uint64(self.mask)).astype(np.int64)
+        return (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
 class Table(dict):
     """key -> made(key), kept in two generations of at most ``size`` keys: keys in use survive, memory stays bounded."""
 

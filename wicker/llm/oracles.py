@@ -186,9 +186,12 @@ BENCHMARK_LEAKS = f"""
         select distinct item_id, size, array_to_string(w[k:k + size - 1], ' ') as said
         from (select *, unnest(range(1, len(w) - size + 2)) as k from (select *, least(10, len(w)) as size from items where len(w) > 0))),
     docs as (select row_number() over () as row, doc_id, {WORDS} as w from documents),
+    each as (select row, unnest(w) as word, unnest(range(1, len(w) + 1)) as k, len(w) as n from docs),
     places as (
-        select row, size, k, array_to_string(w[k:k + size - 1], ' ') as said
-        from (select row, size, w, unnest(range(1, len(w) - size + 2)) as k from docs, (select distinct size from windows) where len(w) >= size)),
+        select row, size, k, said from (
+            select row, size, k, n, string_agg(word, ' ') over (partition by row, size order by k rows between current row and size - 1 following) as said
+            from each, (select distinct size from windows))
+        where k + size - 1 <= n),
     met as (select row, k, size, item_id from places join windows using (size, said)),
     hits as (select row, count(distinct p) as n from (select row, unnest(range(k, k + size)) as p from met) group by row),
     whose as (

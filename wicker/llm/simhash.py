@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wicker.llm.common import Union, checkpointed, components, looked_up, numbered_rows, partitions
+from wicker.llm.common import Filter, Union, checkpointed, components, looked_up, numbered_rows, partitions
 
 SEED = 42  # fixed value: the hash's seed
 #: The ring of segments: first bit and width of each.
@@ -100,29 +100,53 @@ def near_pairs(run: np.ndarray, start: np.ndarray, own: np.ndarray, fp: np.ndarr
 
 
 def crowded(keys: DataFrame, few: int = 100_000) -> DataFrame:
-    """keys (bucket, own, fp) dealt to pairs of blocks, one and two: for buckets that more than CROWD fingerprints have as
-    their own, every two blocks meet; all others are a block of themselves. Up to ``few`` large buckets are broadcast."""
-    own = keys.where("own").groupBy("bucket").agg(F.count("*").alias("n"))
-    large = checkpointed(own.where(F.col("n") > CROWD))
+    """keys (bucket, own, fp) dealt to pairs of blocks, one and two: for buckets with more than CROWD fingerprints, one of
+    which has it as its own, every two blocks meet; all others are a block of themselves. Up to ``few`` large buckets are
+    broadcast."""
+    size = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.bool_or("own").alias("any"))
+    large = checkpointed(size.where(F.col("any") & (F.col("n") > CROWD)).select("bucket", "n"))
     if large.isEmpty():
         return keys.select("bucket", F.lit(0).alias("one"), F.lit(0).alias("two"), "own", "fp")
     large = F.broadcast(large) if large.count() <= few else large
-    k = F.coalesce(F.ceil(F.col("n") / (CROWD // 2)).cast("int"), F.lit(1))  # about as many come under a cleared bit
+    k = F.coalesce(F.ceil(F.col("n") / (CROWD // 2)).cast("int"), F.lit(1))
     dealt = keys.join(large, "bucket", "left").withColumn("k", k).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return met.select("bucket", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "own", "fp")
 
 
-def near_links(fps: DataFrame, n: int) -> DataFrame:
-    """(a, b): links between n distinct fingerprints fp, thinned to a forest within each task, so that a group of many
-    near copies gives as many rows as it has members, not as many as it has pairs."""
+def scattered(bucket: np.ndarray) -> np.ndarray:
+    """The bucket's bits spread, as filters take their lowest ones."""
+    with np.errstate(over="ignore"):
+        h = bucket.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(32)
+
+
+def keyed(fps: DataFrame) -> DataFrame:
+    """(bucket, own, fp): the fingerprints under their own keys, and under those with a cleared bit that some fingerprint may have
+    as its own: most of them meet nobody, and a filter of bounded size tells."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = chain_keys(batch.column(0).to_numpy().view(np.uint64))[0]
+            yield pa.record_batch([pa.array(scattered(key[key & np.uint64(1) > 0] >> np.uint64(1)).view(np.int64))], ["h"])
+
+    wanted = Filter(fps.select("fp").mapInArrow(own, "h long").distinct())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
             key, row = chain_keys(fp)
+            met = np.flatnonzero((key & np.uint64(1) > 0) | wanted(scattered(key >> np.uint64(1))))
+            key, row = key[met], row[met]
             yield pa.record_batch([pa.array((key >> np.uint64(1)).astype(np.int64)), pa.array((key & np.uint64(1)).astype(bool)), pa.array(fp[row].view(np.int64))], ["bucket", "own", "fp"])
 
+    return fps.select("fp").mapInArrow(spread, "bucket long, own boolean, fp long")
+
+
+def near_links(fps: DataFrame, n: int) -> DataFrame:
+    """(a, b): links between n distinct fingerprints fp, thinned to a forest within each task, so that a group of many
+    near copies gives as many rows as it has members, not as many as it has pairs."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
         if not parts:
@@ -131,6 +155,8 @@ def near_links(fps: DataFrame, n: int) -> DataFrame:
         order = np.lexsort((fp, two, one, bucket)) if two.any() else np.lexsort((fp, bucket))
         bucket, one, two, own, fp = (x[order] for x in (bucket, one, two, own, fp))
         run = np.cumsum(np.concatenate([[False], (np.diff(bucket) != 0) | (np.diff(one) != 0) | (np.diff(two) != 0)])[: len(fp)])
+        led = np.bincount(run, weights=own)[run] > 0  # runs where nobody has the key as its own hold no pair
+        run, bucket, own, fp = (x[led] for x in (run, bucket, own, fp))
         fp = fp.view(np.uint64)
         value, at = np.unique(fp, return_inverse=True)
         joined = Union(len(value))
@@ -139,8 +165,7 @@ def near_links(fps: DataFrame, n: int) -> DataFrame:
         member = np.flatnonzero(joined.root != np.arange(len(value)))
         yield pa.record_batch([pa.array(value[x].view(np.int64)) for x in (member, joined.root[member])], ["a", "b"])
 
-    keys = fps.select("fp").mapInArrow(spread, "bucket long, own boolean, fp long")
-    return crowded(keys).repartition(partitions(fps, 37 * n, 2_000_000), "bucket", "one", "two").mapInArrow(meet, "a long, b long")
+    return crowded(keyed(fps)).repartition(partitions(fps, 37 * n, 2_000_000), "bucket", "one", "two").mapInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, *keep: str) -> DataFrame:
