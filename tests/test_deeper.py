@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wicker.operators import encode as E, evaluate as V, learn, moments, neighbours as N, order as O, resample as R
+from wicker.operators import boost, encode as E, evaluate as V, learn, moments, neighbours as N, order as O, resample as R
 from wicker.sources import tables as S
 
 
@@ -291,3 +291,56 @@ def test_schema_checks(spark):
     train = spark.range(1).select(F.lit(1).alias("k"), F.lit(2).alias("a"), F.lit(0).alias("y"))
     got = {r.check: r.ok for r in S.schema_checks(train, train.select("a", "k"), "y", "k").collect()}
     assert got == {"target_present": True, "key_present": True, "key_first": True, "key_last": False, "same_order": False}
+
+
+# -- boosting
+
+
+def labelled_rows(seed, n):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 4))
+    y = (np.sin(2 * x[:, 0]) + x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=n) > 0.8).astype(int)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    return [(i, int(a), *(None if np.isnan(v) else float(v) for v in r)) for i, (a, r) in enumerate(zip(y, x))]
+
+
+def test_derivatives_are_differences():
+    rng = np.random.default_rng(1)
+    y, m, e = (rng.random(40) < 0.3).astype(float), rng.normal(size=40), 1e-5
+    loss = lambda v: -(y * np.log(boost.sigmoid(v)) + (1 - y) * np.log(1 - boost.sigmoid(v))).sum()
+    soft = lambda v: 40 * (1 - 2 * (boost.sigmoid(v) * y).sum() / (boost.sigmoid(v).sum() + y.sum()))
+    for f, value, totals in ((boost.log_loss, loss, np.zeros(0)), (boost.soft_f1, soft, np.array([*boost.soft_counts(y, m), 40]))):
+        first, second = f(y, m, totals)
+        for i in range(40):
+            up, down = m.copy(), m.copy()
+            up[i] += e
+            down[i] -= e
+            assert abs((value(up) - value(down)) / (2 * e) - first[i]) < 1e-6 and second[i] > 0
+            if f is boost.log_loss:
+                assert abs((f(y, up, totals)[0][i] - f(y, down, totals)[0][i]) / (2 * e) - second[i]) < 1e-6
+
+
+def test_boosting_by_log_loss_is_as_good_as_spark_s(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    columns = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(labelled_rows(2, 4000), "row_id long, y int, a double, b double, c double, d double").fillna(-9.0, columns)
+    train, test = df.where("row_id < 3000"), df.where("row_id >= 3000")
+    model = boost.fit(train, columns, "y", rounds=12, depth=3, rate=0.3)
+    ours = boost.scored(test, model, "row_id").join(test, "row_id")
+    spark_s = learn.boosted(12, 3).fit(learn.assemble(train, columns)).transform(learn.assemble(test, columns)).withColumn("p", vector_to_array("probability")[1])
+    assert V.auc(ours, "y", "p").first().auc > V.auc(spark_s, "y", "p").first().auc - 0.01
+
+
+def test_soft_f1_rises_with_the_rounds(spark):
+    columns = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(labelled_rows(3, 1500) + [(9000, None, 1.0, 1.0, 1.0, 1.0)], "row_id long, y int, a double, b double, c double, d double")
+    model = boost.fit(df, columns, "y", boost.SOFT_F1, rounds=6, every=3)
+    known, values = df.where("y is not null"), []
+    for k in (0, 1, 3, 6):
+        some = boost.Boosted(model.columns, model.edges, model.base, model.trees[:k])
+        values.append(boost.soft_f1_value(boost.scored(known, some, "row_id").join(known, "row_id")))
+    assert values == sorted(values) and values[-1] > values[0] + 0.1, values
+    assert boost.scored(df, model, "row_id").count() == 1501
+    alone = boost.fit(df.where("y = 1"), columns, "y", rounds=3)
+    assert alone.trees == [] and boost.scored(df.limit(3), alone, "row_id").where("p = 0.5").count() == 3

@@ -163,3 +163,13 @@ def kmeans_minibatch(spark, d):
 
     v = vectors(spark, d)
     return learn.labelled(v, "v", learn.minibatch_centres(v, "v", "vec_id", 8)).drop("v")
+
+
+@query()
+def soft_f1_boosted(spark, d):
+    """Test rows' scores by trees that were fitted on training rows to raise soft F1."""
+    from wicker.operators import boost
+
+    train, test = split(wide(spark, d))
+    model = boost.fit(train, NUMBERS, "y", boost.SOFT_F1, rounds=6)
+    return boost.scored(test, model, "row_id")
