@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegralType, LongType, StructField, StructType
 
 from wicker.sources.tables import checkpointed
@@ -131,17 +131,29 @@ def within(df: DataFrame, bounds: dict[tuple[str, int], tuple[float, float]], va
     return found.groupBy("j", "v").agg(F.sum("m").alias("m"))
 
 
-def quantiles(df: DataFrame, wanted: dict[str, list[float]], few: int = 100_000, near: float = 5e-4) -> dict[str, list[float | None]]:
+def numeric(column: str) -> Column:
+    """The column as a number, null for NaN."""
+    v = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def sketched(df: DataFrame, wanted: dict[str, list[float]], near: float, **also: Column) -> Row:
+    """One row: how many values each column has (its name), bounds around its wanted quantiles (name_q), and further aggregates, all in
+    one pass."""
+    edges = lambda ps: [x for p in ps for x in (max(0.0, p - near), min(1.0, p + near))]
+    return df.agg(F.lit(0).alias("_"), *(F.count(numeric(c)).alias(c) for c in wanted), *(F.percentile_approx(numeric(c), edges(ps), 10_000).alias(f"{c}_q") for c, ps in wanted.items() if ps), *(f.alias(n) for n, f in also.items())).first()
+
+
+def quantiles(df: DataFrame, wanted: dict[str, list[float]], few: int = 100_000, near: float = 5e-4, known: Row | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles of numbers, linear between neighbours, nulls and NaN aside; None where there is no value.
 
     A sketch gives bounds around each rank, the share ``near`` of the rows to either side. Bounds that may hold more than ``few``
     rows are drawn closer in the same way until they don't, or hold one value. Then the values within bounds are counted and
     ranked, a quantile's in a task, and one row for each quantile comes back. few times near has to be some rows, for a sketch's
-    own error is 1e-4."""
+    own error is 1e-4. ``known`` is what ``sketched`` has given for the same columns, if a caller needed more of that pass."""
     if few * near < 10:
         raise ValueError("few times near is less than 10 rows")
-    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in wanted}
-    n = df.agg(F.lit(0).alias("_"), *(F.count(v).alias(c) for c, v in value.items()), *(F.percentile_approx(v, [x for p in wanted[c] for x in (max(0.0, p - near), min(1.0, p + near))], 10_000).alias(f"{c}_q") for c, v in value.items() if wanted[c])).first()
+    n = known or sketched(df, wanted, near)
     out = {c: [None] * len(ps) for c, ps in wanted.items()}
     bounds = {(c, i): (n[f"{c}_q"][2 * i], n[f"{c}_q"][2 * i + 1]) for c, ps in wanted.items() if n[c] for i in range(len(ps))}
     rank = {(c, i): wanted[c][i] * (n[c] - 1) for c, i in bounds}
@@ -157,7 +169,7 @@ def quantiles(df: DataFrame, wanted: dict[str, list[float]], few: int = 100_000,
             elif inside > few and bounds[k][0] < bounds[k][1]:
                 closer[k] = (rank[k] - below) / (inside - 1)
         if closer:
-            part = lambda k: F.when(value[k[0]].between(*map(F.lit, bounds[k])), value[k[0]])
+            part = lambda k: F.when(numeric(k[0]).between(*map(F.lit, bounds[k])), numeric(k[0]))
             drawn = df.agg(*(F.percentile_approx(part(k), [max(0.0, p - near), min(1.0, p + near)], 10_000).alias(str(j)) for j, (k, p) in enumerate(closer.items()))).first()
             same = [k for k, b in zip(closer, drawn) if tuple(b) == bounds[k]]
             bounds |= {k: tuple(b) for k, b in zip(closer, drawn)}

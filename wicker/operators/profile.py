@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wicker.operators.moments import correlations
-from wicker.operators.order import numbered, quantiles
+from wicker.operators.order import numbered, quantiles, sketched
 
 
 def per_column(df: DataFrame, columns: list[str], **measures) -> DataFrame:
@@ -17,11 +17,13 @@ def per_column(df: DataFrame, columns: list[str], **measures) -> DataFrame:
 
 
 def describe_exact(df: DataFrame, columns: list[str]) -> DataFrame:
-    found = quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
-    rows = [(c, *(None if x is None else round(x, 6) for x in q)) for c, q in found.items()]
-    bulk = df.sparkSession.createDataFrame(rows, "column string, q25 double, q50 double, q75 double")
-    rest = per_column(df, columns, n=F.count, mean=lambda c: F.round(F.avg(c), 6), std=lambda c: F.round(F.stddev(c), 6), low=F.min, high=F.max)
-    return rest.join(F.broadcast(bulk), "column")
+    """(column, n, mean, std, low, high, q25, q50, q75) in two passes: the first has all but the exact quartiles, of which it
+    has bounds. A row for each column comes to the driver."""
+    wanted = {c: [0.25, 0.5, 0.75] for c in columns}
+    rest = lambda c: F.struct(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev(c), 6).alias("std"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"))
+    known = sketched(df, wanted, 5e-4, **{f"{c}_rest": rest(c) for c in columns})
+    rows = [(c, *known[f"{c}_rest"], *(None if x is None else round(x, 6) for x in q)) for c, q in quantiles(df, wanted, known=known).items()]
+    return df.sparkSession.createDataFrame(rows, "column string, n long, mean double, std double, low double, high double, q25 double, q50 double, q75 double")
 
 
 def zero_ratio(df: DataFrame, columns: list[str]) -> DataFrame:

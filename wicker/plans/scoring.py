@@ -214,7 +214,7 @@ def threshold_probes(spark, d):
 def composite_score(spark, d):
     df = pred(spark, d)
     c = df.agg(*(v.alias(k) for k, v in V.confusion("y", (F.col("p") >= 0.5).cast("int")).items())).crossJoin(F.broadcast(V.auc(df, "y", "p")))
-    return c.select(F.round(F.expr("0.3D * 2 * tp / (2 * tp + fp + fn) + 0.25D * auc + 0.15D * tp / (tp + fp) + 0.15D * tp / (tp + fn) + 0.1D * (tp / (tp + fn) + tn / (tn + fp)) / 2 + 0.05D * tn / (tn + fp)"), 9).alias("composite"))
+    return c.select(F.round(R.composite_of(*map(F.col, ("auc", "tp", "fp", "fn", "tn"))), 9).alias("composite"))
 
 
 @query("SELECT id, (row_number() OVER (ORDER BY p DESC, id) <= round(0.2 * (SELECT count(*) FROM pred)))::INT AS label FROM pred", SCORES, PRED)

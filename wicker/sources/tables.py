@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable
 from hashlib import sha256
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -74,9 +75,12 @@ def schema_checks(train: DataFrame, test: DataFrame, target: str, key: str) -> D
 def first_existing(spark: SparkSession, candidates: list[str]) -> str:
     """The first of the paths that exists, in whatever file system it names."""
     for path in candidates:
-        found = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
+        try:
+            spark.read.format("binaryFile").load(path).schema  # analysis looks for the path
             return path
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     raise FileNotFoundError(f"none of {candidates} exists")
 
 
