@@ -14,12 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wicker.llm.common import checkpointed, numbered_rows
+from wicker.llm.common import Filter, checkpointed, numbered_rows
 
 #: Words of a window, and of a shingle at most.
 WINDOW, SHINGLE = 10, 3
-#: Bytes of text that are looked at together; bits of the filter at most; bytes of windows that every task may get.
-SLAB, BITS, BROADCAST = 1 << 20, 1 << 28, 1 << 25
+#: Bytes of text that are looked at together; bytes of windows that every task may get.
+SLAB, BROADCAST = 1 << 20, 1 << 25
 #: An odd number, which has an inverse modulo 2^64.
 BASE, RING = 0x9E3779B97F4A7C15, 1 << 64
 
@@ -93,7 +93,7 @@ class Slab:
         return place[whole], h[at[whole]]
 
     def word(self, i: int) -> str:
-        return self.low[self.starts[i] : self.ends[i]].tobytes().decode()
+        return self.low[self.starts[i] : self.ends[i]].tobytes().decode(errors="replace")
 
 
 def slabs(column: pa.Array, words: Words) -> Iterator[Slab]:
@@ -137,24 +137,6 @@ def long_slabs(text: np.ndarray, row: int, words: Words) -> Iterator[Slab]:
         a, own, number = b, stop - keep, number + keep
 
 
-class Filter:
-    """Which hashes may be in a set: a bit for each value modulo the number of bits, none of the set's missing. Bits follow the
-    set up to BITS; beyond, more others pass."""
-
-    def __init__(self, hashes: DataFrame):
-        """The set is hashes.h."""
-        self.mask = min(BITS, 1 << max(16, (32 * hashes.count()).bit_length())) - 1
-        bit = F.col("h").bitwiseAND(F.lit(self.mask)) + 1
-        parts = hashes.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()  # BITS / 8 bytes at most
-        self.bits = np.zeros((self.mask + 1) // 8, np.uint8)
-        for r in parts:
-            self.bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)[: len(self.bits)]
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        bit = (h & np.uint64(self.mask)).astype(np.int64)
-        return (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-
-
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item_id, words, window): the windows of all items, each once for an item, and a digest that names it."""
 
@@ -163,7 +145,7 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 low, starts, ends, _ = words(np.frombuffer(text or b"", np.uint8))
-                said = [low[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+                said = [low[a:b].tobytes().decode(errors="replace") for a, b in zip(starts, ends)]
                 n = max(1, len(said) - size + 1) if said else 0
                 for a in range(0, n, 4096):
                     rows = [said[k : k + size] for k in range(a, min(a + 4096, n))]
@@ -229,7 +211,7 @@ def looked_at(docs: DataFrame, wanted: Filter, widths: list[int]) -> DataFrame:
                     place, h = slab.shingles(w, wanted)
                     for k in range(0, len(place), 4096):
                         some = place[k : k + 4096]
-                        low = np.maximum(np.maximum(some - WINDOW, 0), np.searchsorted(slab.row, slab.row[some]))
+                        low = np.maximum(np.maximum(some - WINDOW + w, 0), np.searchsorted(slab.row, slab.row[some]))
                         high = np.minimum(some + WINDOW, np.searchsorted(slab.row, slab.row[some], side="right"))
                         around = [[slab.word(i) for i in range(a, b)] for a, b in zip(low.tolist(), high.tolist())]
                         at = pa.array(slab.row[some])
