@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wicker.llm.common import checkpointed, partitions
 
 ROOT = bytes(16)
-#: Paths that may share a prefix within a shard; rows of all paths that one upper prefix stands for at least.
-CROWD, UPPER = 10_000, 100_000
+#: Paths that may share a prefix within a shard, at least; upper prefixes at most.
+CROWD, UPPER = 32, 100_000
 
 PATH = "conv_id long, depth int, key binary, up binary, chars long, last boolean"
 NODE = "key binary, up binary, top boolean, conv_id long, depth int, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
@@ -85,29 +85,37 @@ def rebuilt(turns: DataFrame, block: int = 100, head: int = 6) -> DataFrame:
 
 def endings(paths: DataFrame) -> DataFrame:
     """(key, conv_id, weight, ends): for each prefix that conversations end with, the smallest of them, their number, and the
-    digest of their ids. Ids stream through a task in order, however many end alike."""
+    digest of their ids. Ids are first joined where ranges of (key, id) put them, so of many that end alike few rows meet; these
+    stream through a task in order, as a digest has to."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                key, conv = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                edge = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+                out = [(key[a], conv[a], b - a, ",".join(map(str, conv[a:b]))) for a, b in zip(edge, edge[1:])]
+                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], names)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, conv, weight, state = None, None, 0, None
-        out: list[tuple] = []
+        now, state = None, None
         for batch in batches:
-            for k, c in zip(*(x.to_pylist() for x in batch.columns)):
-                if k != key:
-                    if key is not None:
-                        out.append((key, conv, weight, state.hexdigest()))
-                    key, conv, weight, state = k, c, 1, sha256(str(c).encode())
-                else:
-                    weight += 1
-                    state.update(f",{c}".encode())
+            out = []
+            for key, conv, n, ids in zip(*(x.to_pylist() for x in batch.columns)):
+                if now is not None and key == now[0]:
+                    state.update(f",{ids}".encode())
+                    now = (*now[:2], now[2] + n)
+                    continue
+                if now is not None:
+                    out.append((*now, state.hexdigest()))
+                now, state = (key, conv, n), sha256(ids.encode())
             if out:
-                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], ["key", "conv_id", "weight", "ends"])
-                out.clear()
-        if key is not None:
-            yield pa.record_batch([pa.array([x], t) for x, t in zip((key, conv, weight, state.hexdigest()), kinds)], ["key", "conv_id", "weight", "ends"])
+                yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], names)
+        if now is not None:
+            yield pa.record_batch([pa.array([x], t) for x, t in zip((*now, state.hexdigest()), kinds)], names)
 
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string())
-    last = paths.where("last").select("key", "conv_id")
-    return last.repartition("key").sortWithinPartitions("key", "conv_id").mapInArrow(digest, "key binary, conv_id long, weight long, ends string")
+    kinds, names, schema = (pa.binary(), pa.int64(), pa.int64(), pa.string()), ["key", "conv_id", "weight", "ends"], "key binary, conv_id long, weight long, ends string"
+    last = paths.where("last").select("key", "conv_id").repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
+    return last.mapInArrow(joined, schema).repartition("key").sortWithinPartitions("key", "conv_id").mapInArrow(digest, schema)
 
 
 def words(column: pa.Array) -> np.ndarray:
