@@ -147,3 +147,21 @@ def test_quantile_normal_takes_the_middle_of_ties(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([0, 0, 0, 1, 2])], "i int, x double")
     got = [r.x for r in learn.quantile_normal(df, "x", df, knots=5).orderBy("i").collect()]
     assert abs(got[0] - (-0.6744897501960817)) < 1e-6 and got[0] == got[2] and got[4] > 5
+
+
+def test_quantile_normal_searches_its_knots_once_a_row(spark):
+    """1000 knots on nulls, NaN, ties and values beyond the fitted ones against plain numpy; no array of knots is gone through for a row."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=20_000), 3)
+    odd = [(-1, None), (-2, float("nan")), (-3, -99.0), (-4, 99.0)]
+    fitted = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double")
+    made = learn.quantile_normal(fitted.unionByName(spark.createDataFrame(odd, "i int, x double")), "x", fitted, knots=1000)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and plan.count("share(") == plan.count("ArrowEvalPython")
+    got = {r.i: r.x for r in made.collect()}
+    at = np.linspace(0, 1, 1000)
+    q = np.quantile(x, at)
+    middle = (np.searchsorted(q, x, "left") + np.searchsorted(q, x, "right") - 1) / 2 / 999
+    u = np.clip(np.where(np.isin(x, q), middle, np.interp(x, q, at)), 1e-7, 1 - 1e-7)
+    assert max(abs(0.5 * math.erfc(-got[i] / math.sqrt(2)) - p) for i, p in enumerate(u)) < 1e-6
+    assert got[-1] is None and got[-2] == got[-4] > 5 and got[-3] < -5

@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -167,15 +168,23 @@ def normal_quantile(p: Column) -> Column:
 
 
 def quantile_normal(df: DataFrame, column: str, fitted_on: DataFrame, knots: int = 100, clip: float = 1e-7) -> DataFrame:
-    """df with the column mapped to a normal law through fitted quantiles: linear between knots, the middle of a flat stretch."""
-    at = [i / (knots - 1) for i in range(knots)]
-    q = df.sparkSession.createDataFrame([(quantiles(fitted_on, {column: at})[column],)], "_q array<double>")
-    x, n = F.col(column), F.lit(float(knots - 1))
-    below, upto = F.size(F.filter("_q", lambda v: v < x)), F.size(F.filter("_q", lambda v: v <= x))
-    inside = (below - 1 + (x - F.col("_q")[below - 1]) / (F.col("_q")[below] - F.col("_q")[below - 1])) / n
-    u = F.when(upto == 0, 0.0).when(below >= knots, 1.0).when(upto > below, (below + upto - 1) / 2 / n).otherwise(inside)
-    u = F.when(x.isNotNull(), F.greatest(F.least(u, F.lit(1 - clip)), F.lit(clip)))
-    return df.crossJoin(F.broadcast(q)).withColumn(column, normal_quantile(u)).drop("_q")
+    """df with the column mapped to a normal law through fitted quantiles: linear between knots, the middle of a flat stretch.
+    A value finds its knots by binary search, a batch of rows at a time; only the column goes to Python."""
+    found = quantiles(fitted_on, {column: [i / (knots - 1) for i in range(knots)]})[column]
+    q = np.array([v for v in found if v is not None], float)
+
+    def share(values: pa.Array) -> pa.Array:
+        x = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False)
+        below, upto = np.searchsorted(q, x, "left"), np.searchsorted(q, x, "right")
+        u = np.where(upto > below, (below + upto - 1) / 2 / (knots - 1), np.where(below > 0, 1.0, 0.0))
+        i = np.flatnonzero((upto == below) & (below > 0) & (below < len(q)))
+        low, high = q[below[i] - 1], q[below[i]]
+        u[i] = (below[i] - 1 + (x[i] - low) / (high - low)) / (knots - 1)
+        u[below >= len(q)] = 1.0 if len(q) else 0.0
+        return pa.array(np.clip(u, clip, 1 - clip), mask=pc.is_null(values).to_numpy(zero_copy_only=False))
+
+    u = F.arrow_udf(share, "double")(F.col(column).cast("double"))
+    return df.withColumn("_u", u).withColumn(column, normal_quantile(F.col("_u"))).drop("_u")
 
 
 def arm_search(df: DataFrame, arms: dict[str, list[str]], weights: tuple[float, ...]) -> DataFrame:
