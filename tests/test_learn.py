@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wicker.operators import learn
+from wicker.operators.deep_tree import tree_out_of_fold
 from wicker.operators.evaluate import auc, folds
 from wicker.plans import deeper, further, queries as tabular, wider  # noqa: F401
 from wicker.sources.tables import wide
@@ -165,3 +166,34 @@ def test_quantile_normal_searches_its_knots_once_a_row(spark):
     u = np.clip(np.where(np.isin(x, q), middle, np.interp(x, q, at)), 1e-7, 1 - 1e-7)
     assert max(abs(0.5 * math.erfc(-got[i] / math.sqrt(2)) - p) for i, p in enumerate(u)) < 1e-6
     assert got[-1] is None and got[-2] == got[-4] > 5 and got[-3] < -5
+
+
+def plain_tree(rows, depth=30):
+    """The share of label 1 in the leaf of each tuple of values, by recursion over (values, label)."""
+    n1 = sum(y for _, y in rows)
+    best = (0, 0, 0)
+    for j in range(len(rows[0][0])):
+        for v in sorted({x[j] for x, _ in rows})[:-1]:
+            side = [y for x, y in rows if x[j] <= v]
+            l1, l0 = sum(side), len(side) - sum(side)
+            r1, r0 = n1 - l1, len(rows) - len(side) - n1 + l1
+            gain = (l1 * r0 - l0 * r1) ** 2 / (len(side) * (len(rows) - len(side)))
+            best = max(best, (gain, -j, -v))
+    if not depth or not best[0]:
+        return {x: n1 / len(rows) for x, _ in rows}
+    j, v = -best[1], -best[2]
+    return plain_tree([r for r in rows if r[0][j] <= v], depth - 1) | plain_tree([r for r in rows if r[0][j] > v], depth - 1)
+
+
+@pytest.mark.parametrize("few,depth", [(10**6, 30), (40, 30), (40, 4)])
+def test_deep_tree_is_that_of_plain_recursion(spark, few, depth):
+    """Whether nodes are split by sums over tasks or within one; no leaves are merged, so a model knows what it has seen."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.random() < 0.4), i % 3, *map(float, rng.integers(0, 8, size=3))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "row_id long, y int, fold int, a double, b double, c double").repartition(5)
+    got = {r.row_id: r.p for r in tree_out_of_fold(df, ["a", "b", "c"], depth=depth, few=few).collect()}
+    assert len(got) == len(rows)
+    for f in range(3):
+        known = plain_tree([(r[3:], r[1]) for r in rows if r[2] != f], depth)
+        mine = [r for r in rows if r[2] == f and r[3:] in known]  # all but a few cells occur in both
+        assert len(mine) > 1200 and max(abs(got[r[0]] - known[r[3:]]) for r in mine) < 1e-12

@@ -339,9 +339,9 @@ def oof_scores(spark, d):
 
 @query()
 def tree_oof(spark, d):
-    from wicker.operators import learn
+    from wicker.operators.deep_tree import tree_out_of_fold
 
-    return learn.out_of_fold(folded(spark, d), learn.tree())
+    return tree_out_of_fold(folded(spark, d), NUMBERS)
 
 
 @query()
