@@ -1,10 +1,13 @@
 """Small hand-worked cases of the operators that draw, relax and rank."""
 
+import math
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from wicker.operators import learn, resample as R, transform as T
+from wicker.operators import evaluate as V, learn, resample as R, transform as T
+from wicker.sources.tables import checkpointed
 
 
 def test_numbered_counts_from_zero_in_key_order(spark):
@@ -72,3 +75,39 @@ def test_row_stats_of_empty_constant_and_missing_rows(spark):
     assert (got[1].n_valid, got[1].row_mean, got[1].row_median) == (0, None, None)
     assert (got[2].row_skew, got[2].row_kurt, got[2].row_std0) == (0.0, 0.0, 0.0)
     assert (got[3].n_valid, got[3].row_mean, got[3].row_std1) == (2, 2.0, 2.0**0.5)
+
+
+def test_ranks_without_a_join_are_those_of_the_join(spark):
+    """Ties, among them a value that a third of the rows have and is a range of its own, and a column of one value."""
+    draw = random.Random(4)
+    rows = [(i, draw.choice([draw.random(), 0.25, round(draw.random(), 2)]), round(draw.gauss(0, 1), 1), 7.0) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    made = V.rank_norms(df, ["a", "b", "c"])
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = df
+    for c in "abc":
+        want = V.rank_norm(want, c, f"r{c}")
+    assert {tuple(r) for r in made.select("id", "a", "b", "c").collect()} == {tuple(r) for r in want.select("id", "ra", "rb", "rc").collect()}
+
+
+def test_pairs_in_order_are_counted_exactly(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice([0, 0, 1]), round(draw.random(), 2), draw.choice([0.5, draw.random()])) for _ in range(700)]
+    weights = {3: [0.5, 0.5], 8: [1.0, 0.0], 9: [0.0, 1.0]}
+    df = R.chunks(spark.createDataFrame(rows, "y int, a double, b double").repartition(3), "y", ["a", "b"])
+    blend = lambda w: [(y, math.floor((a * w[0] + b * w[1]) * 1e12 + 0.5)) for y, a, b in rows]
+    want = {j: sum(2 * (s > t) + (s == t) for y, s in blend(w) if y for z, t in blend(w) if not z) for j, w in weights.items()}
+    assert R.ordered_pairs(df, weights, 1) == R.ordered_pairs(df, weights, 16) == want
+    for bins in (64, 1 << 16):
+        assert all(2 * low <= want[j] <= 2 * high for j, (low, high) in R.binned(df, weights, bins).items())
+
+
+def test_simplex_search_writes_its_rows_once(spark):
+    """The checkpoint folder gets the ranks and labels, once; blends of the last candidates are never written as rows."""
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("y"), V.uniform("a", F.col("id")).alias("a"), V.uniform("b", F.col("id")).alias("b"))
+    checkpointed(spark.range(1))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    written = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    began = written()
+    R.simplex_search(df, ["a", "b"], "y", R.candidates(2, 5)).collect()
+    assert written() - began < 100 * 20_000

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
 
-from wicker.operators.order import dealt, numbered, quantiles, running
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from wicker.operators.order import dealt, numbered, quantiles, ranges, running
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -86,6 +90,34 @@ def rank_norm(df: DataFrame, score: str, name: str = "rank") -> DataFrame:
     return df.join(ranked, score, "left").crossJoin(F.broadcast(total)).withColumn(name, F.col("_r") / F.col("_n")).drop("_r", "_n")
 
 
+def rank_norms(df: DataFrame, scores: list[str]) -> DataFrame:
+    """df with each score replaced by its average rank over the number of rows; none may be null. Rows are dealt to ranges once a
+    score, and no join brings ranks back. A range ends before a value at which the next begins; such values, which may hold
+    many rows, have one rank each and are spread over tasks."""
+    at = [i / ranges(df) for i in range(1, ranges(df))] or [0.5]
+    drawn = df.agg(*(F.percentile_approx(c, at, 10_000) for c in scores)).first()
+    cuts = [np.unique(np.array(x or [], float)) for x in drawn]
+
+    def code(q: np.ndarray) -> Callable[[Column], Column]:
+        return F.arrow_udf(lambda v: pa.array((np.searchsorted(q, x := v.to_numpy(zero_copy_only=False), "left") + np.searchsorted(q, x, "right")).astype(np.int32)), "int")
+
+    codes = [code(q)(F.col(c).cast("double")) for q, c in zip(cuts, scores)]
+    held = df.select(F.posexplode(F.array(*codes))).groupBy("pos", "col").count().collect()  # two rows for each range and score
+    for i, c in enumerate(scores):
+        n = np.zeros(2 * len(cuts[i]) + 1, np.int64)
+        for r in held:
+            if r.pos == i:
+                n[r.col] = r["count"]
+        below = F.get(F.lit((np.cumsum(n) - n).tolist()), F.col("_code"))
+        alone, own = F.col("_code") % 2 == 1, F.get(F.lit(n.tolist()), F.col("_code"))
+        rows = df.withColumn("_code", codes[i]).withColumn("_salt", F.when(alone, F.pmod(F.xxhash64(*scores), F.lit(ranges(df)))).otherwise(0))
+        part = Window.partitionBy("_code", "_salt")
+        rows = rows.withColumns({"_at": F.rank().over(part.orderBy(c)) - 1, "_m": F.count("*").over(Window.partitionBy("_code", "_salt", c))})
+        rank = F.when(alone, below + (own + 1) / 2).otherwise(below + F.col("_at") + (F.col("_m") + 1) / 2)
+        df = rows.withColumn(c, rank / F.lit(int(n.sum()))).drop("_code", "_salt", "_at", "_m")
+    return df
+
+
 def confusion(label: str, predicted: Column) -> dict[str, Column]:
     hit = lambda a, b: F.sum(((F.col(label) == a) & (predicted == b)).cast("long"))
     return {"tp": hit(1, 1), "fp": hit(0, 1), "fn": hit(1, 0), "tn": hit(0, 0)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from hashlib import md5
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wicker.operators.evaluate import auc, curve, rank_norm, same_group, top as best, uniform
+from wicker.operators.evaluate import auc, curve, rank_norms, same_group, top as best, uniform
 from wicker.operators.order import numbered, quantiles, running
 from wicker.sources.tables import checkpointed
 
@@ -136,68 +137,122 @@ def candidates(models: int, draws: int, digits: int = 9) -> list[list[float]]:
     return fixed + drawn
 
 
-def binned(ranked: DataFrame, columns: list[str], label: str, weights: dict[int, list[float]], bins: int) -> dict[int, tuple[int, int]]:
+def blended(x: list[np.ndarray], weights: list[float]) -> np.ndarray:
+    """The blends of ranks, rounded to twelve digits, as whole numbers of a 10^12th."""
+    s = np.zeros(len(x[0]))
+    for c, w in zip(x, weights):
+        s += c * w
+    return np.floor(s * 1e12 + 0.5)
+
+
+def chunks(ranked: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """The rows in partitions that a task can hold: as many as there are cores, more where they would hold over 4,000,000 numbers."""
+    n, cores = ranked.count(), ranked.sparkSession.sparkContext.defaultParallelism
+    return ranked.select(F.col(label).cast("int"), *columns).coalesce(max(cores, math.ceil(n * (len(columns) + 1) / 4_000_000)))
+
+
+def held(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The labels and the scores of a partition."""
+    parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+    y, *x = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0))
+    return y, x
+
+
+def binned(rows: DataFrame, weights: dict[int, list[float]], bins: int) -> dict[int, tuple[int, int]]:
     """candidate: (least, most) for the pairs of a positive and a negative row that its blend has in order, a tie as half: exact
-    counts of rows for each of ``bins`` equal ranges of the blend, over all rows, in one pass. Pairs within a range are unknown."""
-    names, w = list(weights), np.array(list(weights.values()))
-    step = max(1, 2_000_000 // len(names))
+    counts of rows for each of ``bins`` equal ranges of the blend, over all rows, in one pass. Pairs within a range are unknown.
+    A task goes through its rows a candidate at a time, so it holds the counts of one; they are sent compressed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(names) * bins), np.int64)
-        for batch in batches:
-            y = batch.column(0).to_numpy()
-            x = [c.to_numpy() for c in batch.columns[1:]]
-            for a in range(0, batch.num_rows, step):
-                s = np.zeros((len(y[a : a + step]), len(names)))
-                for i, c in enumerate(x):
-                    s += c[a : a + step, None] * w[None, :, i]
-                at = np.clip((np.round(s, 12) * bins).astype(np.int64), 0, bins - 1) + np.arange(len(names)) * bins
-                for k in (0, 1):
-                    total[k] += np.bincount(at[y[a : a + step] == k].ravel(), minlength=total.shape[1])
-        rows = total.reshape(2, len(names), bins)
-        yield pa.record_batch([pa.array(range(len(names)), pa.int32()), pa.array([r.tobytes() for r in rows[0]], pa.binary()), pa.array([r.tobytes() for r in rows[1]], pa.binary())], ["j", "neg", "pos"])
+        y, x = held(batches)
+        if not len(y):
+            return
+        low = y.astype(np.int32) * bins
+        for j, w in weights.items():
+            total = np.zeros(2 * bins, np.int64)
+            for a in range(0, len(y), 1 << 15):
+                at = np.clip(blended([c[a : a + (1 << 15)] for c in x], w) * (bins / 1e12), 0, bins - 1).astype(np.int32)
+                at += low[a : a + (1 << 15)]
+                if bins <= 1 << 15:
+                    total += np.bincount(at, minlength=2 * bins)
+                else:
+                    np.add.at(total, at, 1)
+            yield pa.record_batch([pa.array([j], pa.int32()), pa.array([zlib.compress(total.astype(np.int32).tobytes(), 1)], pa.binary())], ["j", "n"])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for j, *both in zip(*(c.to_pylist() for c in batch.columns)):
-                now = np.stack([np.frombuffer(x, np.int64) for x in both])
-                held[j] = held[j] + now if j in held else now
-        for j, (neg, pos) in held.items():
-            least = sum(a * b for a, b in zip(pos.tolist(), (np.cumsum(neg) - neg).tolist()))
-            most = least + sum(a * b for a, b in zip(pos.tolist(), neg.tolist()))
+            for j, n in zip(*(c.to_pylist() for c in batch.columns)):
+                now = np.frombuffer(zlib.decompress(n), np.int32)
+                if j in found:
+                    found[j] += now
+                else:
+                    found[j] = now.astype(np.int64)
+        for j, (neg, pos) in ((j, n.reshape(2, bins)) for j, n in found.items()):
+            some = np.flatnonzero(pos)
+            least = sum(a * b for a, b in zip(pos[some].tolist(), (np.cumsum(neg) - neg)[some].tolist()))
+            most = least + sum(a * b for a, b in zip(pos[some].tolist(), neg[some].tolist()))
             yield pa.record_batch([pa.array([j], pa.int32()), pa.array([str(least)]), pa.array([str(most)])], ["j", "least", "most"])
 
-    found = ranked.select(F.col(label).cast("int"), *columns).mapInArrow(count, "j int, neg binary, pos binary").repartition("j").mapInArrow(bound, "j int, least string, most string")
-    return {names[r.j]: (int(r.least), int(r.most)) for r in found.collect()}  # a row for each candidate
+    found = rows.mapInArrow(count, "j int, n binary").repartition("j").mapInArrow(bound, "j int, least string, most string")
+    return {r.j: (int(r.least), int(r.most)) for r in found.collect()}  # a row for each candidate
+
+
+def ordered_pairs(rows: DataFrame, weights: dict[int, list[float]], parts: int) -> dict[int, int]:
+    """candidate: twice the number of pairs of a positive and a negative row that its blend has in order, a tie as half, exactly.
+    A task sends its distinct blends with their counts to ``parts`` equal ranges of the blend, as differences, compressed; a
+    row for each range and candidate comes to the driver."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = held(batches)
+        for j, w in weights.items() if len(y) else ():
+            s, back = np.unique(blended(x, w).astype(np.int64), return_inverse=True)
+            n = [np.bincount(back[y == k], minlength=len(s)).astype(np.int32) for k in (0, 1)]
+            part = np.clip((s * (parts / 1e12)).astype(np.int64), 0, parts - 1)
+            ends = np.flatnonzero(np.diff(part, append=-1)) + 1
+            starts = np.concatenate([[0], ends[:-1]])
+            packed = [[zlib.compress(v.tobytes(), 1) for v in (np.diff(s[a:b], prepend=0), n[0][a:b], n[1][a:b])] for a, b in zip(starts, ends)]
+            yield pa.record_batch([pa.array(np.full(len(ends), j, np.int32)), pa.array(part[starts].astype(np.int32)), *(pa.array(c, pa.binary()) for c in zip(*packed))], ["j", "part", "s", "neg", "pos"])
+
+    def count(part: pa.Table) -> pa.Table:
+        s, neg, pos = (np.concatenate([np.frombuffer(zlib.decompress(v), kind) for v in part.column(c).to_pylist()]) if c != "s" else np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(v), kind)) for v in part.column(c).to_pylist()]) for c, kind in (("s", np.int64), ("neg", np.int32), ("pos", np.int32)))
+        back = np.unique(s, return_inverse=True)[1]
+        neg, pos = (np.bincount(back, v).astype(np.int64) for v in (neg, pos))
+        some = np.flatnonzero(pos)
+        twice = sum(a * b for a, b in zip(pos[some].tolist(), (2 * np.cumsum(neg) - neg)[some].tolist()))
+        return pa.table({"j": part.column("j")[:1], "part": part.column("part")[:1], "neg": [int(neg.sum())], "pos": [int(pos.sum())], "twice": [str(twice)]})
+
+    sent = rows.mapInArrow(send, "j int, part int, s binary, neg binary, pos binary")
+    out, below = dict.fromkeys(weights, 0), dict.fromkeys(weights, 0)
+    for r in sorted(sent.groupBy("j", "part").applyInArrow(count, "j int, part int, neg long, pos long, twice string").collect(), key=lambda r: r.part):
+        out[r.j] += int(r.twice) + 2 * r.pos * below[r.j]
+        below[r.j] += r.neg
+    return out
 
 
-def simplex_search(df: DataFrame, scores: list[str], label: str, weights: list[list[float]], bins: int = 512, few: int = 8) -> DataFrame:
+def simplex_search(df: DataFrame, scores: list[str], label: str, weights: list[list[float]], bins: int | None = None, few: int = 8) -> DataFrame:
     """(candidate, weights, auc): of the candidates the one whose blend of rank-normalised scores has the largest AUC, to nine
     digits, and of equal ones the first; blends are rounded to twelve digits.
 
     Every pass bounds the AUC of all candidates left and drops those that can't be the best; ranges become finer as there are
-    fewer, so a pass's memory stays the same. The last ones' AUCs are exact; only these repeat rows. Rows where a score or the
-    label is missing are left out; where a class has no rows, the first candidate comes back without an AUC."""
-    ranked = df.select(label, *scores).dropna()
-    for i, c in enumerate(scores):
-        ranked = rank_norm(ranked, c, f"_r{i}")
-    columns = [f"_r{i}" for i in range(len(scores))]
-    ranked = checkpointed(ranked.select(label, *columns))
-    pairs = ranked.agg((F.count_if(F.col(label) == 1) * F.count_if(F.col(label) == 0)).alias("n")).first().n
-    left, memory = dict(enumerate(weights)), bins * len(weights)
-    while pairs and len(left) > few and bins <= 1 << 22:
-        found = binned(ranked, columns, label, left, bins)
+    fewer, so what a pass sends stays the same. The last ones' AUCs are exact. Rows where a score or the label is missing are
+    left out; where a class has no rows, the first candidate comes back without an AUC."""
+    ranked = checkpointed(rank_norms(df.select(label, *scores).dropna(), scores))
+    n = ranked.agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")).first()
+    pairs, left = n.pos * n.neg, dict(enumerate(weights))
+    if not pairs:
+        return df.sparkSession.createDataFrame([(0, weights[0], None)], "candidate int, weights array<double>, auc double")
+    rows = chunks(ranked, label, scores)
+    bins = bins or min(8192, max(512, 1 << math.ceil(math.log2(4 * math.sqrt(n.pos + n.neg)))))
+    memory = bins * len(weights)
+    while len(left) > few and bins <= 1 << 22:
+        found = binned(rows, left, bins)
         best = max(low for low, _ in found.values()) - 2e-9 * pairs
         kept = {j: w for j, w in left.items() if found[j][1] >= best}
         bins, left = (4 * bins if len(kept) == len(left) else max(bins, min(1 << 22, memory // len(kept)))), kept
-    if not pairs:
-        return df.sparkSession.createDataFrame([(0, weights[0], None)], "candidate int, weights array<double>, auc double")
-    blend = lambda w: F.round(sum((F.lit(x) * F.col(c) for x, c in zip(w, columns)), F.lit(0.0)), 12)
-    long = ranked.select(label, F.explode(F.array(*(F.struct(F.lit(j).alias("candidate"), blend(w).alias("s")) for j, w in left.items()))).alias("x")).select(label, "x.candidate", "x.s")
-    exact = auc(long, label, "s", ["candidate"]).select("candidate", F.round("auc", 9).alias("auc"))
-    named = df.sparkSession.createDataFrame(list(left.items()), "candidate int, weights array<double>")
-    return exact.join(F.broadcast(named), "candidate").orderBy(F.desc("auc"), "candidate").limit(1).select("candidate", "weights", "auc")
+    exact = ordered_pairs(rows, left, min(4096, (n.pos + n.neg) // 20_000 + 1))
+    auc, j = min((-round(exact[j] / (2 * pairs), 9), j) for j in left)
+    return df.sparkSession.createDataFrame([(j, weights[j], -auc)], "candidate int, weights array<double>, auc double")
 
 
 def blend_search(df: DataFrame, one: str, two: str, label: str, draws: int) -> DataFrame:
