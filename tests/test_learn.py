@@ -197,3 +197,21 @@ def test_deep_tree_is_that_of_plain_recursion(spark, few, depth):
         known = plain_tree([(r[3:], r[1]) for r in rows if r[2] != f], depth)
         mine = [r for r in rows if r[2] == f and r[3:] in known]  # all but a few cells occur in both
         assert len(mine) > 1200 and max(abs(got[r[0]] - known[r[3:]]) for r in mine) < 1e-12
+
+
+def test_training_rows_are_made_once_for_all_folds(spark):
+    """Fits read what was written, not the joins and windows of the folds; what stands before a range goes to every task."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = noisy(spark).select("row_id", "y", "a", "b", "fold")
+    train, test = df.mapInArrow(count, df.schema), df.drop("fold")
+    got = {r.row_id: r.p for r in learn.averaged_over_folds(train, test, learn.logistic(), columns=["a", "b"]).collect()}
+    assert 600 <= seen.value < 3 * 600
+    same = learn.averaged_over_folds(learn.assemble(df, ["a", "b"]), learn.assemble(test, ["a", "b"]), learn.logistic()).collect()
+    assert len(got) == 600 and all(abs(got[r.row_id] - r.p) < 1e-9 for r in same)
+    assert "strategy=broadcast" in noisy(spark)._jdf.queryExecution().optimizedPlan().toString()

@@ -18,9 +18,9 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def folds(df: DataFrame, key: str, k: int, label: str | None = None) -> DataFrame:
-    """df with fold, 0..k-1: row numbers in md5 order, within each label if one is given; the md5's first digits part rows into
+    """df with fold, 0..k-1: row numbers in md5 order, within each label, of few classes, if one is given; the md5's first digits part rows into
     ranges, so no task sorts a whole class."""
-    placed = dealt(df, F.md5(F.col(key).cast("string").cast("binary")), [key], [label] if label else [], "_at")
+    placed = dealt(df, F.md5(F.col(key).cast("string").cast("binary")), [key], [label] if label else [], "_at", few=True)
     return placed.withColumn("fold", (F.col("_at") % k).cast("int")).drop("_at")
 
 

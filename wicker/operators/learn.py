@@ -82,9 +82,13 @@ def out_of_fold_smote(df: DataFrame, columns: list[str], model: Estimator, ratio
     return union(parts)
 
 
-def averaged_over_folds(train: DataFrame, test: DataFrame, model: Estimator, key: str = "row_id", k: int = 3) -> DataFrame:
-    """(key, p): test rows' mean score over the models of the training folds. A row's scores are columns side by side."""
-    scored = test
+def averaged_over_folds(train: DataFrame, test: DataFrame, model: Estimator, key: str = "row_id", k: int = 3, columns: list[str] | None = None) -> DataFrame:
+    """(key, p): test rows' mean score over the models of the training folds. A row's scores are columns side by side. What the
+    models read of the training rows is written once, so that a fit doesn't join and place them in folds again: features, or if
+    given the columns that these are then made of, which take less room."""
+    scored, train = test, checkpointed(train.select(*(columns or ["features"]), "y", "fold"))
+    if columns:
+        scored, train = assemble(test, columns), assemble(train, columns)
     for i in range(k):
         fitted = model.fit(train.where(F.col("fold") != i))
         scored = fitted.transform(scored).withColumn(f"_p{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")

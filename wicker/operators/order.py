@@ -92,14 +92,16 @@ def numbered(df: DataFrame, *keys: str | Column, name: str = "k") -> DataFrame:
     return with_before(laid, F.broadcast(base), [], ["_before"]).withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
-def dealt(df: DataFrame, digest: Column, keys: list[str], by: list[str] | None = None, name: str = "k") -> DataFrame:
+def dealt(df: DataFrame, digest: Column, keys: list[str], by: list[str] | None = None, name: str = "k", few: bool = False) -> DataFrame:
     """The same in the order of a hexadecimal digest and keys, within each group of ``by``: the digest's first digits are the ranges,
-    of equal size by nature and some for each partition."""
+    of equal size by nature and some for each partition. ``few`` says that there are few groups: what stands before their ranges then
+    goes to every task, and rows aren't shuffled once more to meet it."""
     by = by or []
     digits = max(1, math.ceil(math.log(4 * ranges(df), 16)))
     rows = df.withColumn("_key", digest).withColumn("_part", F.conv(F.left("_key", F.lit(digits)), 16, 10).cast("int"))
     at = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_key", *keys)) - 1
-    whole = with_before(rows.withColumn(name, at), before(rows, by, {"_before": F.count("*")}), by, ["_before"])
+    base = before(rows, by, {"_before": F.count("*")})
+    whole = with_before(rows.withColumn(name, at), F.broadcast(base) if few else base, by, ["_before"])
     return whole.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_key", "_part", "_before")
 
 

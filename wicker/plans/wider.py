@@ -218,7 +218,7 @@ def test_averaged(spark, d):
 
     w = T.standard_scale(wide(spark, d), NUMBERS, split(wide(spark, d))[0])
     train, test = split(w)
-    return learn.averaged_over_folds(V.folds(learn.assemble(train, NUMBERS), "row_id", 3, "y"), learn.assemble(test, NUMBERS), learn.logistic())
+    return learn.averaged_over_folds(V.folds(train, "row_id", 3, "y"), test, learn.logistic(), columns=NUMBERS)
 
 
 @query()
